@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators, and SQL where SQL can express them."""
 
-from . import exact_dedup, html_extraction, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, tokens
+from . import exact_dedup, html_extraction, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, tokens
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_token_counts": tokens.op4_token_counts,
