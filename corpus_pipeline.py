@@ -7,16 +7,27 @@ what a stage returns is written as Parquet to the shared folder and read again.
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import exact_dedup, mixing, packing
+from attestra.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier
 from attestra.llm.common import session, stored, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled rows that aren't held out."""
+    return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts (A-Z lower-cased) the one with the largest doc_id stays."""
     session(spark)
     return exact_dedup.deduplicated(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    session(spark)
+    return near_dedup.deduplicated(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: not at all, or one to three times."""
     session(spark)
@@ -29,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.best_fit(docs)
 
 
-STAGES = [("exact_dedup", exact), ("mix_sources", mix), ("best_fit_packing", pack)]
+STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("near_dedup", near), ("mix_sources", mix), ("best_fit_packing", pack)]
 
 #: The classifier, the balancing and the packing are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
