@@ -10,9 +10,11 @@
 3. In each bucket nodes are matched with the bucket's smallest node only. Matches of
    one component needn't be checked again: first each node's most frequent match is
    verified, then the matches across components, then, in buckets that still hold
-   several components, all others against them, in blocks. Before a check the sizes
-   must allow 0.8, and in blocks the similarity estimated jointly from both sketches
-   by maximum likelihood (sizes are known) must be within five standard errors of it.
+   several components, the nodes outside the largest against all, in blocks. Before a
+   check the sizes must allow 0.8, and in blocks the similarity estimated jointly from both
+   sketches by maximum likelihood (sizes are known) must be within five standard errors of
+   it. A pair is looked at in the first band it shares, and a block gives one link for a
+   pair of components: what leaves it doesn't grow with the pairs.
 4. A link counts only if the intersection of the full sets confirms it.
 
 Nothing is capped: buckets of any size are dealt in blocks, never as all pairs, and
@@ -42,9 +44,11 @@ from .graphs import components
 REGISTERS, ROWS = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Linked from this similarity on, in hundredths; estimates from FLOOR on are verified.
-LINK, FLOOR = 80, 0.62
-#: Nodes of a block of a bucket.
-BLOCK = 4000
+LINK, FLOOR = 80, 0.66
+#: Share of equal registers that a pair must have for its similarity to be estimated: six standard errors below 0.8.
+EQUAL = 0.58
+#: Shingles of the nodes of a block of a bucket, on average.
+BLOCK = 1_000_000
 #: Ids are broadcast up to this measured number (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Nodes of rows without doc_id lie above all ids.
@@ -124,7 +128,7 @@ def _bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(x):
             r = np.frombuffer(b"".join(x["registers"]), np.uint64).reshape(len(x), REGISTERS // ROWS)
             keys = mix(mix(r) + np.arange(1, r.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "node": np.repeat(x["node"].to_numpy(), r.shape[1])})
+            yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "band": np.tile(np.arange(r.shape[1], dtype=np.int32), len(x)), "node": np.repeat(x["node"].to_numpy(), r.shape[1])})
 
 
 def likeliest(equal: np.ndarray, above: np.ndarray, below: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -144,30 +148,59 @@ def likeliest(equal: np.ndarray, above: np.ndarray, below: np.ndarray, m: np.nda
     return (low + high) / 2
 
 
-def _across(key, strays: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a stray and a node of the block in different components that may be linked."""
-    out = []
-    if len(strays) and len(block):
-        r = np.frombuffer(b"".join(block["registers"]), np.uint16).reshape(len(block), REGISTERS)
-        n, label, node = block["n"].to_numpy(np.float64), block["label"].to_numpy(), block["node"].to_numpy()
-        for x in strays.itertuples():
-            may = np.flatnonzero((label != x.label) & (np.minimum(n, x.n) * 100 >= LINK * np.maximum(n, x.n)))
-            if not len(may):
-                continue
-            own = np.frombuffer(x.registers, np.uint16)
-            equal, above = (r[may] == own).sum(axis=1), (r[may] < own).sum(axis=1)
-            near = may[likeliest(equal, above, REGISTERS - equal - above, np.full(len(may), float(x.n)), n[may]) >= FLOOR]
-            out.append(pd.DataFrame({"a": np.maximum(node[near], x.node), "b": np.minimum(node[near], x.node)}))
-    return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+def _linked_across(unit: pd.DataFrame) -> pd.DataFrame:
+    """Links between a stray and another node of its block in another component; of a pair of components one link at most.
+
+    A unit holds whole blocks. A pair is looked at in the first band that it shares; what
+    the sketches leave possible is decided on the full sets."""
+    unit = unit.sort_values(["key", "lane", "block"], ignore_index=True)
+    r = np.frombuffer(b"".join(unit["registers"]), np.uint16).reshape(len(unit), REGISTERS)
+    words = r.view(np.uint64)
+    n, label, node, band = (unit[c].to_numpy() for c in ("n", "label", "node", "band"))
+    stray, whole, sets = unit["stray"].to_numpy(), unit["whole"].to_numpy(), unit["shingles"].tolist()
+    place = unit[["key", "lane", "block"]].to_numpy()
+    starts = np.append(np.flatnonzero(np.append(True, (place[1:] != place[:-1]).any(axis=1))), len(unit))
+    least, pairs, counts = int(EQUAL * REGISTERS), [], []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        others = a + np.flatnonzero(whole[a:b])
+        for i in a + np.flatnonzero(stray[a:b]):
+            may = others[(label[others] != label[i]) & (np.minimum(n[others], n[i]) * 100 >= LINK * np.maximum(n[others], n[i]))]
+            if len(may):
+                equal = (r[may] == r[i]).sum(axis=1)
+                may, equal = may[equal >= least], equal[equal >= least]
+                first = (words[may] == words[i]).argmax(axis=1) == band[i]
+                if first.any():
+                    may = may[first]
+                    pairs.append(np.stack([np.full(len(may), i), may], axis=1))
+                    counts.append(np.stack([equal[first], (r[may] < r[i]).sum(axis=1)], axis=1))
+    links = []
+    if pairs:
+        (i, j), (equal, above) = np.concatenate(pairs).T, np.concatenate(counts).T
+        near = likeliest(equal, above, REGISTERS - equal - above, n[i].astype(float), n[j].astype(float)) >= FLOOR
+        union: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in union:
+                x = union[x]
+            return x
+
+        for x, y in zip(i[near].tolist(), j[near].tolist()):
+            p, q = root(int(label[x])), root(int(label[y]))
+            if p != q and similar(np.frombuffer(sets[x], np.uint64), np.frombuffer(sets[y], np.uint64)):
+                union[max(p, q)] = min(p, q)
+                links.append((max(int(node[x]), int(node[y])), min(int(node[x]), int(node[y]))))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def similar(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets are linked."""
+    both = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
+    return 100 * both >= LINK * (len(p) + len(q) - both)
 
 
 def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in frames:
-        ok = []
-        for p, q in zip(x["p"], x["q"]):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            ok.append(100 * both >= LINK * (len(p) + len(q) - both))
+        ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x["p"], x["q"])]
         yield x.loc[ok, ["a", "b"]]
 
 
@@ -181,7 +214,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links that connect what is linked: (a, b), a > b; ``nodes``: node, n, digest, registers."""
-    bands = stored(nodes.select("node", "registers").mapInPandas(_bands, "key long, node long"), "bands")
+    bands = stored(nodes.select("node", "registers").mapInPandas(_bands, "key long, band int, node long"), "bands")
     heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(bands.join(heads.select("key", "head"), "key"), "buckets")
     wanted = stored(shared.select("node").distinct().join(nodes.select("node", "n", "digest", "registers"), "node"), "wanted")
@@ -202,21 +235,25 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     found = stored(found.unionByName(confirmed(rest, sets)), "found")
 
     labels = stored(components(found), "labels")
-    labelled = of(shared.select("key", "node"), "node", "label")
-    by = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-    by = by.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.sum("k").alias("size"), F.max("k").alias("top")).where("size > top")
-    open_ = stored(labelled.join(by, "key").join(wanted.select("node", "n", "registers"), "node"), "open")
+    labelled = of(shared.select("key", "band", "node"), "node", "label").join(wanted.select("node", "n"), "node")
+    by = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    by = by.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.max("n").alias("top")).where("size > top")
+    open_ = stored(labelled.drop("n").join(by, "key").join(wanted.select("node", "registers"), "node").join(sets, "node"), "open")
     lanes = F.ceil((F.col("size") - F.col("top")) / BLOCK).cast("int")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     of_node = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
-    strays = open_.where("label <> most").withColumn("lane", of_node(lanes, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    whole = open_.withColumn("block", of_node(blocks, 2)).withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1)))
-    names = ["key", "lane", "block", "node", "n", "label", "registers"]
-    more = strays.select(names).groupBy("key", "lane", "block").cogroup(whole.select(names).groupBy("key", "lane", "block")).applyInPandas(_across, "a long, b long")
-    more = stored(more.distinct().join(found, ["a", "b"], "left_anti"), "across")
-    if more.isEmpty():
-        return found
-    return found.unionByName(confirmed(more, sets))
+    stray, yes, no = F.col("label") != F.col("most"), F.lit(True), F.lit(False)
+    small, large = open_.where(F.col("size") <= BLOCK), open_.where(F.col("size") > BLOCK)
+    names = ["key", "band", "lane", "block", "node", "n", "label", "registers", "shingles", "stray", "whole"]
+    parts = [
+        small.withColumns({"lane": F.lit(0), "block": F.lit(0), "stray": stray, "whole": yes}),
+        large.where(stray).withColumns({"lane": of_node(lanes, 1), "stray": yes, "whole": no}).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))),
+        large.withColumns({"block": of_node(blocks, 2), "stray": no, "whole": yes}).withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1))),
+    ]
+    units = max(1, -(-int(open_.agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    dealt = parts[0].select(names).unionByName(parts[1].select(names)).unionByName(parts[2].select(names)).withColumn("unit", F.pmod(F.xxhash64("key", "lane", "block"), F.lit(units)))
+    more = dealt.groupBy("unit").applyInPandas(_linked_across, "a long, b long")
+    return found.unionByName(stored(more, "across"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
