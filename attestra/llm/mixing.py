@@ -140,13 +140,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("_d", "_s", "_n").orderBy("_text")
     mine = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_s": F.col("source").cast("string"), "_n": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")})
     if report.groupBy(key).count().where("count > 1").isEmpty():
-        mine, place = mine.withColumn("_k", F.lit(1)), report.withColumn("k", F.lit(1))
+        mine, place = mine.withColumn("_k", F.lit(1)), report.withColumn("_pk", F.lit(1))
     else:
         mine = mine.withColumn("_text", F.xxhash64("text")).withColumn("_k", F.row_number().over(order)).drop("_text")
-        place = report.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("copies")))
-    place = place.where("copies > 0").select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("n_"), "k", F.col("copies").alias("copies_"))
-    hit = F.col("_d").eqNullSafe(F.col("d_")) & F.col("_s").eqNullSafe(F.col("s_")) & (F.col("_n") == F.col("n_")) & (F.col("_k") == F.col("k"))
-    return mine.join(place, hit).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select([F.col(c) for c in docs.columns])
+        place = report.withColumn("_pk", F.row_number().over(Window.partitionBy(*key).orderBy("copies")))
+    place = place.where("copies > 0").select(F.col("doc_id").alias("_pd"), F.col("source").alias("_ps"), F.col("size").alias("_pn"), "_pk", F.col("copies").alias("_copies"))
+    hit = F.col("_d").eqNullSafe(F.col("_pd")) & F.col("_s").eqNullSafe(F.col("_ps")) & (F.col("_n") == F.col("_pn")) & (F.col("_k") == F.col("_pk"))
+    return mine.join(place, hit).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select([F.col(c) for c in docs.columns])
 
 
 def mix(docs: DataFrame) -> DataFrame:
