@@ -1 +1,101 @@
-"""Queries."""
+"""Queries of support graphs and folds. Nodes are turns; a turn supports the one before."""
+
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from .registry import query
+from .views import table
+
+_ID = "conv_id * 1000 + turn"
+_NODES = f"nodes as (select {_ID} as id, conv_id, turn, role from conversations)"
+_EDGES = f"{_NODES}, edges as (select a.id as src, a.id - 1 as dst from nodes a where a.id - 1 in (select id from nodes) and a.turn > 0)"
+c = F.col
+
+
+def _nodes(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select((c("conv_id") * 1000 + c("turn")).alias("id"), "conv_id", "turn", "role")
+
+
+def _edges(nodes):
+    refs = nodes.where("turn > 0").select(c("id").alias("src"), (c("id") - 1).alias("dst"))
+    return refs.join(nodes.select(c("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+@query("edges", f"with {_EDGES} select src, dst from edges")
+def edges(spark, sf_dir):
+    return _edges(_nodes(spark, sf_dir))
+
+
+@query("influence", f"with {_EDGES}, i as (select dst as id, count(*) as n from edges group by 1), o as (select src as id, count(*) as n from edges group by 1) select nodes.id, 2 * coalesce(i.n, 0) + coalesce(o.n, 0) as score from nodes left join i using (id) left join o on nodes.id = o.id")
+def influence(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    return G.influence(nodes, _edges(nodes))
+
+
+@query("support_leaves", f"with recursive {_EDGES}, w as (select id as start, id from nodes union select w.start, e.dst from w join edges e on e.src = w.id) select start, count(*) as reached, min(id) as leaf from w group by start")
+def support_leaves(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    seen = G.reachable(nodes.select(c("id").alias("start"), "id"), _edges(nodes))
+    return seen.groupBy("start").agg(F.count(F.lit(1)).alias("reached"), F.min("id").alias("leaf"))
+
+
+@query("chain_depth", f"with recursive {_EDGES}, w as (select id, 0 as depth from nodes where turn = 0 union all select e.src, w.depth + 1 from w join edges e on e.dst = w.id) select id, max(depth) as depth from w group by id")
+def chain_depth(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    return G.depths(_edges(nodes), nodes.where("turn = 0"))
+
+
+@query("source_reach", f"with recursive {_EDGES}, w as (select id as start, id from nodes where turn = 0 union select w.start, e.src from w join edges e on e.dst = w.id) select start, count(*) - 1 as spread from w group by start")
+def source_reach(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    back = _edges(nodes).select(c("dst").alias("src"), c("src").alias("dst"))
+    seen = G.reachable(nodes.where("turn = 0").select(c("id").alias("start"), "id"), back)
+    return seen.groupBy("start").agg((F.count(F.lit(1)) - 1).alias("spread"))
+
+
+@query("removal_test", "with s as (select l_orderkey, l_suppkey, count(distinct l_suppkey) over (partition by l_orderkey) as k from (select distinct l_orderkey, l_suppkey from lineitem)) select l_suppkey, count(*) filter (k = 1) as broken, count(*) filter (k > 1) as weakened, 10 * count(*) filter (k = 1) + 3 * count(*) filter (k > 1) as impact from s group by 1".replace("count(distinct l_suppkey) over", "count(*) over"))
+def removal_test(spark, sf_dir):
+    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    k = pairs.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("k"))
+    one, many = F.count_if(c("k") == 1), F.count_if(c("k") > 1)
+    return pairs.join(k, "l_orderkey").groupBy("l_suppkey").agg(one.alias("broken"), many.alias("weakened"), (10 * one + 3 * many).alias("impact"))
+
+
+@query("confidence_fold", "select user_id, list_reduce(list_prepend(60, list(case event_type when 'click' then 5 when 'purchase' then 2 when 'error' then -12 else 0 end order by ts, event_id)), lambda a, d: case when d >= 0 then least(98, a + d) else greatest(10, a + d) end) as value from events group by 1")
+def confidence_fold(spark, sf_dir):
+    """Confidence in hundredths: support raises it up to 98, contradiction lowers it down to 10, in the order of events."""
+    t = c("event_type")
+    effects = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.when(t == "click", 5).when(t == "purchase", 2).when(t == "error", -12).otherwise(0).alias("delta"))
+    step = lambda v, e: F.when(e["delta"] >= 0, F.least(F.lit(98), v + e["delta"])).otherwise(F.greatest(F.lit(10), v + e["delta"]))
+    return G.folded(effects, "user_id", ["ts", "event_id"], F.lit(60), step)
+
+
+@query("status_fold", "select user_id, arg_max(event_type, (ts, event_id)) filter (event_type in ('error', 'purchase')) as last_status, count(*) filter (event_type = 'error') as contradictions from events group by 1")
+def status_fold(spark, sf_dir):
+    t = c("event_type")
+    last = F.max_by(F.when(t.isin("error", "purchase"), t), F.when(t.isin("error", "purchase"), F.struct("ts", "event_id")))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(last.alias("last_status"), F.count_if(t == "error").alias("contradictions"))
+
+
+@query("custody_cascade", """with e as (select distinct l_orderkey as target, l_partkey as source from lineitem), r0 as (select p_partkey as source from part where p_size = 1),
+ q1 as (select distinct target from e where source in (select source from r0) and target not in (select target from e where source not in (select source from r0))),
+ m as (select target, count(*) as k, count(*) filter (source in (select source from r0)) as bad from e group by 1)
+ select target, k, bad, case when target in (select target from q1) then 'quarantined' else 'spared' end as status from m where bad > 0""")
+def custody_cascade(spark, sf_dir):
+    e = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("target"), c("l_partkey").alias("source")).distinct()
+    bad = table(spark, sf_dir, "part").where("p_size = 1").select(c("p_partkey").alias("source"), F.lit(1).alias("bad"))
+    m = e.join(bad, "source", "left").groupBy("target").agg(F.count(F.lit(1)).alias("k"), F.count("bad").alias("bad")).where("bad > 0")
+    return m.withColumn("status", F.when(c("bad") == c("k"), "quarantined").otherwise("spared"))
+
+
+@query("apply_verdicts", "select d.doc_id, quality = 1 as verified, case when l.doc_id is null then 60 else greatest(5, least(98, 50 + 50 * quality - 60 * toxic)) end as confidence from documents d left join labels l using (doc_id)")
+def apply_verdicts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    level = F.greatest(F.lit(5), F.least(F.lit(98), 50 + 50 * c("quality") - 60 * c("toxic")))
+    return d.select("doc_id", (c("quality") == 1).alias("verified"), F.when(c("quality").isNull(), 60).otherwise(level).alias("confidence"))
+
+
+@query("ledger_ops", "select user_id, arg_max(value, (ts, event_id)) filter (event_type = 'purchase') as priority, bool_or(event_type = 'signup') as reopened, count(*) as ops from events group by 1")
+def ledger_ops(spark, sf_dir):
+    t, at = c("event_type"), F.struct("ts", "event_id")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by(F.when(t == "purchase", c("value")), F.when(t == "purchase", at)).alias("priority"), F.bool_or(t == "signup").alias("reopened"), F.count(F.lit(1)).alias("ops"))
