@@ -107,15 +107,15 @@ def latest_snapshot(spark, sf_dir):
 def _top(name, score_sql, score, k):
     @query(name, f"select doc_id, {score_sql} as score from documents order by score desc, n_chars desc, doc_id limit {k}")
     def top(spark, sf_dir):
-        return table(spark, sf_dir, "documents").withColumn("score", score).orderBy(F.desc("score"), F.desc("n_chars"), "doc_id").limit(k).select("doc_id", "score")
+        return table(spark, sf_dir, "documents").withColumn("score", score()).orderBy(F.desc("score"), F.desc("n_chars"), "doc_id").limit(k).select("doc_id", "score")
 
     return top
 
 
-top_calc = _top("top_calc", "case lang when 'en' then 3 when 'de' then 2 else 1 end + case when regexp_matches(text, '[0-9]') then 2 else 0 end", F.when(c("lang") == "en", 3).when(c("lang") == "de", 2).otherwise(1) + F.when(c("text").rlike("[0-9]"), 2).otherwise(0), 120)
-top_gap = _top("top_gap", "case when contains(text, '|') then 2 else 0 end + case when n_chars > 2000 then 1 else 0 end", F.when(F.contains("text", F.lit("|")), 2).otherwise(0) + F.when(c("n_chars") > 2000, 1).otherwise(0), 140)
-top_commit = _top("top_commit", "case when contains(text, 'Licensed') then 5 else 0 end + case when lang = 'fr' then 1 else 0 end", F.when(F.contains("text", F.lit("Licensed")), 5).otherwise(0) + F.when(c("lang") == "fr", 1).otherwise(0), 30)
-top_maint = _top("top_maint", "case when n_chars > 1000 then 4 else 1 end - case when doc_id % 6 = 0 then 3 else 0 end", F.when(c("n_chars") > 1000, 4).otherwise(1) - F.when(c("doc_id") % 6 == 0, 3).otherwise(0), 180)
+top_calc = _top("top_calc", "case lang when 'en' then 3 when 'de' then 2 else 1 end + case when regexp_matches(text, '[0-9]') then 2 else 0 end", lambda: F.when(c("lang") == "en", 3).when(c("lang") == "de", 2).otherwise(1) + F.when(c("text").rlike("[0-9]"), 2).otherwise(0), 120)
+top_gap = _top("top_gap", "case when contains(text, '|') then 2 else 0 end + case when n_chars > 2000 then 1 else 0 end", lambda: F.when(F.contains("text", F.lit("|")), 2).otherwise(0) + F.when(c("n_chars") > 2000, 1).otherwise(0), 140)
+top_commit = _top("top_commit", "case when contains(text, 'Licensed') then 5 else 0 end + case when lang = 'fr' then 1 else 0 end", lambda: F.when(F.contains("text", F.lit("Licensed")), 5).otherwise(0) + F.when(c("lang") == "fr", 1).otherwise(0), 30)
+top_maint = _top("top_maint", "case when n_chars > 1000 then 4 else 1 end - case when doc_id % 6 = 0 then 3 else 0 end", lambda: F.when(c("n_chars") > 1000, 4).otherwise(1) - F.when(c("doc_id") % 6 == 0, 3).otherwise(0), 180)
 
 
 @query("open_ranked", "with r as (select *, row_number() over (partition by o_custkey order by o_orderpriority, o_orderkey) as rank from orders where o_orderstatus = 'O' and o_orderpriority < '3') select o_custkey, o_orderkey, rank from r where rank <= 15")

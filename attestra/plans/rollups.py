@@ -7,7 +7,9 @@ from ..operators import rollups as R
 from .registry import query
 from .views import ENTRIES, entries, table
 
-n = F.count(F.lit(1)).alias("n")
+
+def _n():
+    return F.count(F.lit(1)).alias("n")
 
 
 def _labelled(spark, sf_dir):
@@ -179,7 +181,7 @@ def sparse_clusters(spark, sf_dir):
 
 @query("confidence_hist", "select cast(least(9, floor(value / 50)) as integer) as bin, count(*) as n from events group by 1")
 def confidence_hist(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.least(F.lit(9), F.floor(F.col("value") / 50)).cast("int").alias("bin")).agg(n)
+    return table(spark, sf_dir, "events").groupBy(F.least(F.lit(9), F.floor(F.col("value") / 50)).cast("int").alias("bin")).agg(_n())
 
 
 @query("rounds", f"with {ENTRIES} select seq, count(*) filter (type = 'observation') as observation, count(*) filter (type = 'analysis') as analysis, count(*) filter (type = 'strategy') as strategy, min(board_id) as first_board from entries group by 1")
@@ -190,7 +192,7 @@ def rounds(spark, sf_dir):
 
 @query("topics", "select lang, source, count(*) as n from documents group by 1, 2 order by n desc, lang, source limit 40")
 def topics(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(n).orderBy(F.desc("n"), "lang", "source").limit(40)
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(_n()).orderBy(F.desc("n"), "lang", "source").limit(40)
 
 
 @query("assign_balance", "with s as (select l_partkey, list_sort(list_distinct(list(l_suppkey))) as files from lineitem group by 1) select len(files) as n_files, count(*) as items, count(distinct files) as sets from s group by 1")
@@ -214,7 +216,7 @@ def resolution_status(spark, sf_dir):
 
 @query("readiness", "with s as (select source, count(*) as n, count(l.doc_id) as sourced from documents left join labels l using (doc_id) group by 1) select source, n, sourced, case when 10 * sourced >= 5 * n then 'ready' when 10 * sourced >= 3 * n then 'partial' else 'sparse' end as grade from s")
 def readiness(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("source").agg(n, F.count("quality").alias("sourced"))
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("source").agg(_n(), F.count("quality").alias("sourced"))
     return d.withColumn("grade", F.when(10 * F.col("sourced") >= 5 * F.col("n"), "ready").when(10 * F.col("sourced") >= 3 * F.col("n"), "partial").otherwise("sparse"))
 
 
@@ -236,7 +238,7 @@ def final_state(spark, sf_dir):
 def by_document_text(spark, sf_dir):
     line = F.concat(F.lit("["), F.col("seq").cast("string"), F.lit("] ("), "type", F.lit(") "), F.substring("content", 1, 80))
     items = F.sort_array(F.collect_list(F.struct("seq", line.alias("line"))))
-    return entries(table(spark, sf_dir, "conversations")).groupBy("board_id").agg(F.array_join(items["line"], "\n").alias("text"), n)
+    return entries(table(spark, sf_dir, "conversations")).groupBy("board_id").agg(F.array_join(items["line"], "\n").alias("text"), _n())
 
 
 @query("phase_flags", f"with {ENTRIES}, r as (select board_id, seq, count(*) as k from entries group by 1, 2) select board_id, seq, k, max(k) over (partition by board_id order by seq rows 1 preceding) <= 3 as quiet from r")
@@ -247,5 +249,5 @@ def phase_flags(spark, sf_dir):
 
 @query("insights", "select l_returnflag, max_by(l_orderkey, (n, -l_orderkey)) as central, max(n) as n from (select l_returnflag, l_orderkey, count(*) as n from lineitem group by 1, 2) group by 1")
 def insights(spark, sf_dir):
-    by = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(n)
+    by = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(_n())
     return by.groupBy("l_returnflag").agg(F.max_by("l_orderkey", F.struct("n", -F.col("l_orderkey"))).alias("central"), F.max("n").alias("n"))

@@ -1 +1,55 @@
-"""Queries."""
+"""Batch twins of the streaming operators; tests hold the streams against them."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..streaming import events as E
+from .registry import query
+from .views import table
+
+c = F.col
+
+
+@query("st_event_counts", "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type as kind, count(*) as n from events group by 1, 2")
+def st_event_counts(spark, sf_dir):
+    return E.window_counts(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "kind", "n")
+
+
+@query("st_claim_dedup", "select count(*) as n, user_id from (select distinct user_id, event_type, cast(ts as date) from events) group by user_id")
+def st_claim_dedup(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return E.first_of_key(events, ["user_id", "event_type", "day"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("signal_lifecycle", "select user_id, count(*) filter (event_type = 'signup') as opened, count(*) filter (event_type = 'purchase') as addressed, case when arg_max(event_type, (ts, event_id)) filter (event_type in ('signup', 'purchase')) = 'purchase' then 'addressed' else 'open' end as status from events group by 1")
+def signal_lifecycle(spark, sf_dir):
+    t = c("event_type")
+    mine = t.isin("signup", "purchase")
+    last = F.max_by(F.when(mine, t), F.when(mine, F.struct("ts", "event_id")))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(t == "signup").alias("opened"), F.count_if(t == "purchase").alias("addressed"), F.when(last == "purchase", "addressed").otherwise("open").alias("status"))
+
+
+@query("signal_expiry", "select event_id from events where event_type in ('view', 'click') and ts < timestamp '2024-01-31 00:00:00' - interval 3 day and value < 5")
+def signal_expiry(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(c("event_type").isin("view", "click") & (c("ts") < F.lit("2024-01-28 00:00:00").cast("timestamp")) & (c("value") < 5)).select("event_id")
+
+
+@query("budget_stop", "with r as (select user_id, event_id, ts, sum(cast(round(value * 100) as bigint)) over (partition by user_id order by ts, event_id rows unbounded preceding) as spent from events) select user_id, min(event_id) as stop_event from r where spent >= 85000 and spent - 0 > 0 group by 1")
+def budget_stop(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    r = table(spark, sf_dir, "events").withColumn("spent", F.sum(F.round(c("value") * 100).cast("long")).over(w))
+    return r.where("spent >= 85000").groupBy("user_id").agg(F.min("event_id").alias("stop_event"))
+
+
+@query("bind_batches", "with r as (select user_id, (row_number() over (partition by user_id order by ts, event_id) - 1) // 60 as batch from events) select user_id, batch, count(*) as n from r group by 1, 2")
+def bind_batches(spark, sf_dir):
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return table(spark, sf_dir, "events").withColumn("batch", F.floor(k / 60)).groupBy("user_id", "batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("st_quiet_rounds", "with d as (select user_id, cast(ts as date) as day, count(*) as n from events group by 1, 2), w as (select *, sum(case when n > 2 then 1 else 0 end) over (partition by user_id order by day rows unbounded preceding) as run from d) select user_id, max(k) as longest from (select user_id, run, count(*) filter (n <= 2) as k from w group by 1, 2) group by 1")
+def st_quiet_rounds(spark, sf_dir):
+    days = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    runs = days.withColumn("run", F.sum(F.when(c("n") > 2, 1).otherwise(0)).over(w)).groupBy("user_id", "run").agg(F.count_if(c("n") <= 2).alias("k"))
+    return runs.groupBy("user_id").agg(F.max("k").alias("longest"))
