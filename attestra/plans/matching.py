@@ -182,3 +182,78 @@ def lexical_topk(spark, sf_dir):
     hits = terms(table(spark, sf_dir, "benchmark"), "item_id").join(terms(table(spark, sf_dir, "documents"), "doc_id"), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id"))
     return hits.withColumn("rank", rank.cast("long")).where("rank <= 25")
+
+
+_TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')), lambda t: length(t) >= 3 or regexp_matches(t, '[0-9]'))"
+
+
+@query("evidence_support", f"""with p as (select item_id, doc_id, b.text as ev, d.text as sl from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40 where d.lang = 'en'),
+ t as (select item_id, doc_id, contains(lower(sl), lower(ev)) as whole, {_TOKENS.format('ev')} as e, regexp_extract_all(lower(sl), '[a-z0-9]+') as s from p)
+ select item_id, doc_id, whole, len(list_filter(e, lambda x: list_contains(s, x))) as held, len(e) as asked, whole or 10 * len(list_filter(e, lambda x: list_contains(s, x))) >= 8 * len(e) as may_support from t""")
+def evidence_support(spark, sf_dir):
+    """The exact tier, and the distinct-token share that any ordered match needs."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ev"), (F.col("item_id") % 40).alias("k"))
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.col("text").alias("sl"), (F.col("doc_id") % 40).alias("k"))
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0))
+    asked = F.filter(tokens("ev"), lambda t: (F.length(t) >= 3) | t.rlike("[0-9]"))
+    pairs = b.join(d, "k").select("item_id", "doc_id", F.contains(F.lower("sl"), F.lower("ev")).alias("whole"), asked.alias("e"), tokens("sl").alias("s"))
+    sized = pairs.select("item_id", "doc_id", "whole", F.size(F.array_intersect("e", "s")).cast("long").alias("held"), F.size("e").cast("long").alias("asked"))
+    return sized.withColumn("may_support", F.col("whole") | (10 * F.col("held") >= 8 * F.col("asked")))
+
+
+@query("quote_fallback", "select doc_id, case when strpos(lower(text), 'licensed') > 0 then strpos(lower(text), 'licensed') - 1 else 0 end as start_char, least(length(text), case when strpos(lower(text), 'licensed') > 0 then strpos(lower(text), 'licensed') - 1 else 0 end + 3000) as end_char from documents")
+def quote_fallback(spark, sf_dir):
+    at = F.instr(F.lower("text"), F.lit("licensed")).cast("long")
+    start = F.when(at > 0, at - 1).otherwise(F.lit(0).cast("long"))
+    return table(spark, sf_dir, "documents").select("doc_id", start.alias("start_char"), F.least(F.length("text").cast("long"), start + 3000).alias("end_char"))
+
+
+@query("obligation_match", "select o_custkey, count(distinct l_partkey) as shared, list_sort(list_distinct(list(l_suppkey)))[1:5] as files from orders join lineitem on o_orderkey = l_orderkey where l_returnflag = 'A' group by 1")
+def obligation_match(spark, sf_dir):
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'")  # noqa: E741
+    return o.join(l, o.o_orderkey == l.l_orderkey).groupBy("o_custkey").agg(F.countDistinct("l_partkey").alias("shared"), F.slice(F.sort_array(F.collect_set("l_suppkey")), 1, 5).alias("files"))
+
+
+@query("gate_eval", """with r as (select source, count(*) filter (quality = 1) * 100 // count(*) as base, count(*) filter (toxic = 0) * 100 // count(*) as new from documents join labels using (doc_id) group by 1), k as (select *, row_number() over (order by base, source) as low, row_number() over (order by base desc, source) as high from r)
+ select source, base, new, case when low <= 5 then 'bottom' when high <= 5 then 'top' else 'middle' end as band, new >= base as ok from k""")
+def gate_eval(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    r = d.groupBy("source").agg(F.expr("count_if(quality = 1) * 100 div count(1)").alias("base"), F.expr("count_if(toxic = 0) * 100 div count(1)").alias("new"))
+    one = Window.partitionBy(F.lit(1))  # a row per source
+    k = r.withColumns({"low": F.row_number().over(one.orderBy("base", "source")), "high": F.row_number().over(one.orderBy(F.desc("base"), "source"))})
+    return k.select("source", "base", "new", F.when(F.col("low") <= 5, "bottom").when(F.col("high") <= 5, "top").otherwise("middle").alias("band"), (F.col("new") >= F.col("base")).alias("ok"))
+
+
+@query("assigned_signals", "select o_custkey, min(o_orderkey) filter (o_orderpriority < '3') as first_signal, arg_max(o_orderkey, (o_totalprice, o_orderkey)) as carrier from orders where o_orderstatus = 'O' group by 1")
+def assigned_signals(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
+    return o.groupBy("o_custkey").agg(F.min(F.when(F.col("o_orderpriority") < "3", F.col("o_orderkey"))).alias("first_signal"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("carrier"))
+
+
+@query("packet_build", "select o_orderkey, count(l_orderkey) as refs, count(l_orderkey) = 0 or bool_and(l_returnflag = 'R') as open_issue, list_sort(list_distinct(list(l_suppkey) filter (l_suppkey is not null))) as sources from orders left join lineitem on o_orderkey = l_orderkey group by 1".replace("list_sort(list_distinct(list(l_suppkey) filter (l_suppkey is not null)))", "coalesce(list_sort(list_distinct(list(l_suppkey) filter (l_suppkey is not null))), [])"))
+def packet_build(spark, sf_dir):
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")  # noqa: E741
+    by = l.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("k"), F.bool_and(F.col("l_returnflag") == "R").alias("r"), F.sort_array(F.collect_set("l_suppkey")).alias("s"))
+    none = F.array().cast("array<bigint>")
+    return o.join(by, o.o_orderkey == by.l_orderkey, "left").select("o_orderkey", F.coalesce("k", F.lit(0)).alias("refs"), F.coalesce("r", F.lit(True)).alias("open_issue"), F.coalesce("s", none).alias("sources"))
+
+
+@query("file_pins", "select p_partkey, case when p_size % 10 = 0 then 'pinned_' || p_brand else 'file_' || (p_partkey % 7) end as file from part")
+def file_pins(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    pins = part.where("p_size % 10 = 0").select("p_partkey", F.concat(F.lit("pinned_"), "p_brand").alias("file"))
+    rest = part.join(pins, "p_partkey", "left_anti").select("p_partkey", F.concat(F.lit("file_"), (F.col("p_partkey") % 7).cast("string")).alias("file"))
+    return pins.unionByName(rest)
+
+
+@query("assign_revise", "select l_partkey, l_suppkey from (select distinct l_partkey, l_suppkey from lineitem) where l_partkey not in (select p_partkey from part where p_size = 3) union all select p_partkey, p_partkey % 10 from part where p_size = 3")
+def assign_revise(spark, sf_dir):
+    revised = table(spark, sf_dir, "part").where("p_size = 3")
+    old = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().join(revised.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_anti")
+    return old.unionByName(revised.select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 10).alias("l_suppkey")))
+
+
+@query("folder_match", "select doc_id, lang || '/' || source as folder, case when contains('review english sources src1 and src12', source) then 'must_load' when lang = 'de' then 'should_load' else 'skip' end as rule from documents")
+def folder_match(spark, sf_dir):
+    rule = F.when(F.contains(F.lit("review english sources src1 and src12"), F.col("source")), "must_load").when(F.col("lang") == "de", "should_load").otherwise("skip")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("folder"), rule.alias("rule"))

@@ -251,3 +251,32 @@ def phase_flags(spark, sf_dir):
 def insights(spark, sf_dir):
     by = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(_n())
     return by.groupBy("l_returnflag").agg(F.max_by("l_orderkey", F.struct("n", -F.col("l_orderkey"))).alias("central"), F.max("n").alias("n"))
+
+
+@query("source_dependency", "select d.source, count(*) as findings, count(*) filter (toxic = 1) as disputed, count(*) filter (l.doc_id is null) as unsourced, round(100.0 * count(l.doc_id) / count(*), 1)::double as read_pct from documents d left join labels l using (doc_id) group by 1")
+def source_dependency(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("toxic") == 1).alias("disputed"), F.count_if(F.col("quality").isNull()).alias("unsourced"), F.round(100.0 * F.count("quality") / F.count(F.lit(1)), 1).alias("read_pct"))
+
+
+@query("custody_report", "select c_mktsegment as reason, count(*) as items, string_agg(distinct cast(c_nationkey as varchar), ',' order by cast(c_nationkey as varchar)) as documents from customer where c_acctbal < 0 group by 1")
+def custody_report(spark, sf_dir):
+    names = F.array_join(F.sort_array(F.collect_set(F.col("c_nationkey").cast("string"))), ",")
+    return table(spark, sf_dir, "customer").where("c_acctbal < 0").groupBy(F.col("c_mktsegment").alias("reason")).agg(F.count(F.lit(1)).alias("items"), names.alias("documents"))
+
+
+@query("packet_report", "select l_returnflag as importance, l_linestatus as kind, count(*) as rows_, count(distinct l_orderkey) as targets from lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())")
+def packet_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("importance"), F.col("l_linestatus").alias("kind"), "l_orderkey")
+    return R.leveled(rows, [["importance"], ["kind"], []], F.count(F.lit(1)).alias("rows_"), F.countDistinct("l_orderkey").alias("targets"))
+
+
+@query("gap_summary", "select o_orderpriority, case when o_orderkey % 4 = 0 then 'selected' else 'deferred_by_coordinator' end as status, count(*) as n from orders where o_orderstatus = 'O' group by 1, 2")
+def gap_summary(spark, sf_dir):
+    status = F.when(F.col("o_orderkey") % 4 == 0, "selected").otherwise("deferred_by_coordinator")
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").groupBy("o_orderpriority", status.alias("status")).agg(_n())
+
+
+@query("run_metrics", "select conv_id as run, count(*) as documents, cast(sum(length(text)) as bigint) as input_tokens, count(distinct role) as models, max(turn) as wall from conversations group by 1")
+def run_metrics(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("run")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).alias("input_tokens"), F.countDistinct("role").alias("models"), F.max("turn").alias("wall"))
