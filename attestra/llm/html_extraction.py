@@ -146,7 +146,7 @@ def marked(page: list[Block]) -> list[int] | None:
 def composed(words: list[str], count: int, seed: int = 11) -> Iterator[tuple[list[Block], list[int]]]:
     """Labelled pages composed by rule from the given words."""
     rng = random.Random(seed)
-    words = words or ["text"]
+    words = [w for w in words if not set(w) & set("<>&")] or ["text"]  # such words would change as markup
 
     def say(low: int, high: int, end: str = ".") -> str:
         return " ".join(rng.choice(words) for _ in range(rng.randint(low, high))).strip(".") + end
