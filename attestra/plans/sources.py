@@ -69,3 +69,17 @@ def para_kinds(spark, sf_dir):
 @query("packet_manifest", "select l_orderkey as file, l_returnflag as section, count(*) as items, count(distinct l_partkey) as claims from lineitem group by 1, 2")
 def packet_manifest(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("file"), c("l_returnflag").alias("section")).agg(F.count(F.lit(1)).alias("items"), F.countDistinct("l_partkey").alias("claims"))
+
+
+@query("snap_read", """select conv_id as board_id, turn as pos, 'c' || turn as id, case turn % 3 when 0 then 'observation' when 1 then 'analysis' else 'observation' end as kind, substr(text, 1, 40) as content,
+ cast(case turn % 4 when 0 then 0.6 when 1 then 0.98 else 0.25 end as double) as confidence, case when turn % 2 = 0 then 3 end as start, case when turn % 2 = 0 then 9 end as "end" from conversations""")
+def snap_read(spark, sf_dir):
+    """A round trip: snapshots are written as JSON with fields out of form and read back repaired."""
+    from ..sources import snapshots
+
+    t = c("turn")
+    claims = table(spark, sf_dir, "conversations").select(
+        c("conv_id").alias("board_id"), t.alias("seq"), F.concat(F.lit("c"), t.cast("string")).alias("id"), F.when(t % 3 == 0, "observation").when(t % 3 == 1, "analysis").otherwise("musing").alias("kind"), F.substring("text", 1, 40).alias("content"),
+        F.when(t % 4 == 0, "high").when(t % 4 == 1, "7.5").otherwise("0.25").alias("confidence"), F.lit("3").alias("start"), F.when(t % 2 == 0, "9").otherwise("x").alias("end"),
+    )
+    return snapshots.claims_of(snapshots.snapshots(claims)).drop("support_refs").withColumn("pos", c("pos").cast("long"))

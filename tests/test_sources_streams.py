@@ -36,3 +36,15 @@ def test_streams_equal_their_batch_twins(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, E.window_counts(batch).collect()))
     firsts = E.drained(E.first_of_key(stream, ["user_id", "event_type"], "400 days"), "firsts", "append")
     assert firsts.count() == E.first_of_key(batch, ["user_id", "event_type"]).count()
+
+
+def test_snapshot_versions_replace_their_own_partition(spark, tmp_path):
+    from attestra.sources import snapshots as S
+
+    at = str(tmp_path / "snaps")
+    rows = lambda *r: spark.createDataFrame(list(r), "board_id string, iteration int, label string, n int")
+    S.write_version(rows(("a", 1, "x", 1), ("b", 1, "x", 2)), at)
+    S.write_version(rows(("a", 1, "x", 7), ("a", 2, "x", 3)), at)
+    got = {(r.board_id, r.iteration): r.n for r in spark.read.parquet(at).collect()}
+    assert got == {("a", 1): 7, ("a", 2): 3, ("b", 1): 2}
+    assert {r.board_id: r.n for r in S.latest(spark.read.parquet(at)).collect()} == {"a": 3, "b": 2}
