@@ -18,7 +18,8 @@ suffixes at every byte of the corpus isn't needed for that:
    The merge yields the suffixes in order with the common prefixes of neighbours.
 4. A window that starts d bytes before its anchor repeats if another suffix shares
    200 - d bytes (a stretch of the order whose common prefixes are that long) and has the
-   same d bytes on the left (64-bit hash within the stretch).
+   same d bytes on the left (compared, or by 64-bit hash within the stretch where an
+   anchor has over ``FEW`` runs).
 5. Anchors with over ``GROUP`` distinct runs (one passage in very many surroundings)
    aren't gathered: their windows are counted by a grouping over all tasks, keyed by two
    64-bit hashes of the window.
@@ -45,7 +46,9 @@ from .common import Ranges, mix, session, slices, stored, table, utf8
 
 WINDOW, ANCHOR = 200, 64
 #: Distinct runs of an anchor that one task takes; runs that a range of anchors gets on average.
-GROUP, RANGE = 20_000, 40_000
+GROUP, RANGE = 20_000, 10_000
+#: Runs of an anchor that are compared pair by pair; more are grouped by hashes.
+FEW = 40
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -176,25 +179,39 @@ def merge(pieces: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[bytes, in
             node //= 2
 
 
-def repeated(shared: np.ndarray, left: list[bytes], at: np.ndarray, length: np.ndarray, copies: np.ndarray) -> list[np.ndarray]:
+def repeated(shared: list[int], left: list[bytes], at: list[int], length: list[int], copies: list[int]) -> list[np.ndarray]:
     """Which windows of each run repeat; for the runs of one anchor in suffix order.
 
-    shared: common prefix of each suffix with the one before; left: what stands before the anchor."""
-    sums = [Ranges(np.frombuffer(x[::-1], np.uint8)) for x in left]
-    out = [np.zeros(m - WINDOW + 1, bool) for m in length]
-    low, high = at - (length - WINDOW), at
-    for d in range(int(low.min()), int(high.max()) + 1):
-        rows = np.flatnonzero((low <= d) & (d <= high))
-        if len(rows) < 2:
-            continue
-        stretch = np.cumsum(shared < WINDOW - d)[rows].astype(np.uint64)
-        before = np.array([sums[i].sums[d] for i in rows], np.uint64)
-        key = mix(mix(before + np.uint64(d)) ^ (stretch * np.uint64(0x9E3779B97F4A7C15)))
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        for i in rows[count[inverse] > 1]:
-            out[i][at[i] - d] = True
-    for i in np.flatnonzero(copies > 1):
-        out[i][:] = True
+    shared: common prefix of each suffix with the one before; left: what stands before the anchor, read backwards."""
+    out = [np.full(m - WINDOW + 1, k > 1) for m, k in zip(length, copies)]
+    n = len(left)
+    if n <= FEW:
+        for i in range(n):
+            r = 1 << 30
+            for j in range(i + 1, n):
+                r = min(r, shared[j])
+                if r + at[i] < WINDOW:  # no window of this run reaches beyond, nor with any later suffix
+                    break
+                high = min(common_prefix(left[i], left[j], 0), at[i], at[j])
+                low = max(WINDOW - r, at[i] - length[i] + WINDOW, at[j] - length[j] + WINDOW)
+                if low <= high:
+                    out[i][at[i] - high : at[i] - low + 1] = True
+                    out[j][at[j] - high : at[j] - low + 1] = True
+        return out
+    far = max(at)
+    sums = np.zeros((n, far + 1), np.uint64)
+    for i, x in enumerate(left):
+        sums[i, : at[i] + 1] = Ranges(np.frombuffer(x, np.uint8)).sums
+    at_, low, cut = np.array(at), np.array(at) - np.array(length) + WINDOW, np.array(shared)
+    for d in range(int(low.min()), far + 1):
+        rows = np.flatnonzero((low <= d) & (d <= at_))
+        if len(rows) > 1:
+            stretch = np.cumsum(cut < WINDOW - d)[rows].astype(np.uint64)
+            key = mix(mix(sums[rows, d] + np.uint64(d)) ^ (stretch * np.uint64(0x9E3779B97F4A7C15)))
+            order = np.argsort(key)
+            same = key[order][1:] == key[order][:-1]
+            for i in rows[np.union1d(order[1:][same], order[:-1][same])].tolist():
+                out[i][at[i] - d] = True
     return out
 
 
@@ -255,10 +272,8 @@ def _merged(key, pieces: pd.DataFrame) -> pd.DataFrame:
 
     def close():
         if len(group) > 1 or group and group[0][5] > 1:
-            lefts = [g[2] for g in group]
-            at = np.array([len(x) for x in lefts])
-            length = at + np.array([len(g[0]) - 8 for g in group])
-            flags = repeated(np.array([0] + [g[1] - 8 for g in group[1:]]), lefts, at, length, np.array([g[5] for g in group]))
+            at = [len(g[2]) for g in group]
+            flags = repeated([0] + [g[1] - 8 for g in group[1:]], [g[2][::-1] for g in group], at, [a + len(g[0]) - 8 for a, g in zip(at, group)], [g[5] for g in group])
             for g, f in zip(group, flags):
                 if f.any():
                     froms, tos = stretches(f)
@@ -333,7 +348,7 @@ def spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranges = max(1, -(-distinct.count() // RANGE))
     at = lambda d: rows.join(d.groupBy("key").agg(F.collect_list(F.struct("start", "length", "at", "anchor", "content", "copies")).alias("own")), "key").select(F.coalesce("text", F.lit("")).alias("text"), "own")
     pieces = at(distinct.join(big, "anchor", "left_anti")).mapInArrow(_pieces(ranges), PIECE)
-    found = stored(pieces.groupBy("range").applyInPandas(_merged, FOUND), "found")
+    found = stored(pieces.repartition(ranges, "range").groupBy("range").applyInPandas(_merged, FOUND), "found")
     if not big.isEmpty():
         windows = at(distinct.join(big, "anchor", "left_semi")).mapInArrow(_windows, "anchor long, content long, copies long, j int, h long, g long")
         windows = stored(windows, "windows")
