@@ -202,7 +202,9 @@ def composed(words: list[str], count: int, seed: int = 11) -> Iterator[tuple[lis
 
 def fit(pages: DataFrame, most: int = FIT_PAGES) -> Field:
     """A field trained on ``most`` pages of the table at most and on as many composed ones."""
-    sample = [blocks(r.html) for r in pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(most).collect()]
+    # the ids are chosen first: no page's text is sorted, and ``most`` pages reach the driver
+    ids = pages.where("html is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(most)
+    sample = [blocks(r.html) for r in pages.where("html is not null").join(F.broadcast(ids), "page_id", "left_semi").select("html").limit(2 * most).collect()]
     words = sorted({w for page in sample for b in page for w in b.text.split()[:200]})[:20_000]
     known = [(page, labels) for page in sample if (labels := marked(page)) is not None]
     known += [(page, labels) for page, labels in composed(words, most) if page]
