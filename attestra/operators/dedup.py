@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def first_wins(df: DataFrame, key: list, order: list[Column]) -> DataFrame:
     """One row per key: the first in order, whatever the partitions."""
@@ -41,3 +43,38 @@ def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
     one, two = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either")).where(f"both * 100 >= either * {percent}")
+
+
+def leaders(pairs: DataFrame, rounds: int = 64) -> DataFrame:
+    """(id, leader) of the rows that an earlier kept row absorbs.
+
+    ``pairs``: before, after of similar rows, ``before`` the smaller in a fixed order; the order of
+    the values is the order of the rows. A row is kept if no earlier similar row is kept. Each round
+    decides all rows whose earlier neighbours are decided, for all groups at once."""
+    undecided = pairs.select(F.col("before").alias("id")).union(pairs.select(F.col("after").alias("id"))).distinct()
+    kept, open_ = None, pairs.select("before", "after").distinct()
+    for _ in range(rounds):
+        first = cut(undecided.join(open_.select(F.col("after").alias("id")).distinct(), "id", "left_anti"))
+        kept = first if kept is None else kept.unionByName(first)
+        hit = open_.join(first.select(F.col("id").alias("before")), "before", "left_semi").select(F.col("after").alias("id")).distinct()
+        undecided = cut(undecided.join(first, "id", "left_anti").join(hit, "id", "left_anti"))
+        if undecided.isEmpty():
+            break
+        live = undecided.select("id")
+        open_ = cut(open_.join(live.withColumnRenamed("id", "before"), "before", "left_semi").join(live.withColumnRenamed("id", "after"), "after", "left_semi"))
+    else:
+        raise RuntimeError(f"chains of similar rows are longer than {rounds}")
+    by = pairs.join(kept.select(F.col("id").alias("before")), "before", "left_semi").join(kept.select(F.col("id").alias("after")), "after", "left_anti")
+    return by.groupBy(F.col("after").alias("id")).agg(F.min("before").alias("leader"))
+
+
+def roots(parents: DataFrame, rounds: int = 32) -> DataFrame:
+    """(id, root) of rows that have a parent; parents come earlier in order. Pointers double each round."""
+    at = parents.select("id", F.col("parent").alias("root"))
+    for _ in range(rounds):
+        up = at.select(F.col("id").alias("root"), F.col("root").alias("above"))
+        step = cut(at.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        at = step.select("id", "root")
+        if step.where("moved").isEmpty():
+            break
+    return at

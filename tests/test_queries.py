@@ -69,3 +69,47 @@ def test_partitions_dont_change_admission(spark, parts):
     assert got[2][:2] == ("admitted", 3) and got[2][2:] == (0, 23)
     assert got[3][0] == "unsupported_digits" and got[4][0] == "empty_evidence" and got[5][0] == "unsupported_quote"
     assert got[6][0] == "admitted"
+
+
+def test_consolidation_is_the_leader_pass(spark):
+    """Longest first; a row goes to the first kept row that shares 85 % of its words, unless the guard rolls its board back."""
+    import re
+
+    from attestra.plans.entries import consolidated
+
+    vocabulary = [f"word{i}" for i in range(90)]
+    rows = []
+    for b in range(4):
+        for i in range(20 if b else 6):
+            base = vocabulary[(i // (4 if b == 1 else 2)) * 7 % 40 :][:20]
+            rows.append((len(rows), b, f"{b}/{i % 2 if b == 3 else 0}", " ".join(base[: 20 - i % 3] + ["x" * (i % 5 + 4)])))
+    rows += [(900, 2, "2/0", ""), (901, 2, "2/0", None)]
+    rows = [r if r[3] is not None else (*r[:3], "") for r in rows]
+    expected = {}
+    for b in {r[1] for r in rows}:
+        mine, led = [r for r in rows if r[1] == b], {}
+        for g in {r[2] for r in mine}:
+            kept = []
+            for r in sorted((r for r in mine if r[2] == g), key=lambda r: (-len(r[3]), r[0])):
+                words = {w for w in re.split(r"\W+", r[3].lower()) if len(w) > 3}
+                near = [k for k, other in kept if words and len(words & other) * 100 >= len(words | other) * 85]
+                led[r[0]] = near[0] if near else r[0]
+                if not near:
+                    kept.append((r[0], words))
+        gone = sum(k != v for k, v in led.items())
+        expected |= led if len(mine) < 15 or gone * 10 <= len(mine) * 3 else {k: k for k in led}
+    items = spark.createDataFrame(rows, "item_id int, board_id int, grp string, summary string")
+    assert {r.item_id: r.leader for r in consolidated(items.repartition(5)).collect()} == expected
+    assert any(k != v for k, v in expected.items())
+
+
+def test_sections_follow_the_first_similar_name(spark):
+    from attestra.plans.entries import merged_sections
+
+    names = [f"Topic{chr(97 + i)} alpha{chr(97 + i)} cost" for i in range(22)] + ["Payment terms fees", "Payment term fee", "Payment terms fees dates", "Payment fees dates schedules"]
+    rows = [(1, n) for i, n in enumerate(names) for _ in range(60 - i)] + [(2, "Payment terms fees"), (2, "Payment term fee")]
+    got = {(r.board_id, r.name): r.merged for r in merged_sections(spark.createDataFrame(rows, "board_id int, name string")).collect()}
+    assert got[1, "Payment term fee"] == got[1, "Payment terms fees dates"] == "Payment terms fees"
+    # reached through a merged name, as names go where the name that takes them in went
+    assert got[1, "Payment fees dates schedules"] == "Payment terms fees"
+    assert got[2, "Payment term fee"] == "Payment term fee" and len(got) == 28
