@@ -51,8 +51,9 @@ def leaders(pairs: DataFrame, rounds: int = 64) -> DataFrame:
     ``pairs``: before, after of similar rows, ``before`` the smaller in a fixed order; the order of
     the values is the order of the rows. A row is kept if no earlier similar row is kept. Each round
     decides all rows whose earlier neighbours are decided, for all groups at once."""
+    pairs = cut(pairs.select("before", "after"))
     undecided = pairs.select(F.col("before").alias("id")).union(pairs.select(F.col("after").alias("id"))).distinct()
-    kept, open_ = None, pairs.select("before", "after").distinct()
+    kept, open_ = None, pairs.distinct()
     for _ in range(rounds):
         first = cut(undecided.join(open_.select(F.col("after").alias("id")).distinct(), "id", "left_anti"))
         kept = first if kept is None else kept.unionByName(first)

@@ -123,3 +123,33 @@ def stemmed(word: Column) -> Column:
     n = F.length(word)
     cut_at = lambda k: F.substring(word, F.lit(1), n - k)
     return F.when(F.endswith(word, F.lit("ies")) & (n > 4), F.concat(cut_at(3), F.lit("y"))).when(F.endswith(word, F.lit("ses")) & (n > 4), cut_at(2)).when(F.endswith(word, F.lit("s")) & ~F.endswith(word, F.lit("ss")) & (n > 3), cut_at(1)).otherwise(word)
+
+
+def mentions(texts: DataFrame, names: DataFrame, words: int = 3, least: int = 4) -> DataFrame:
+    """(id, name) of the names of ``least`` characters that a text holds on word boundaries, in any case.
+
+    Names of up to ``words`` words; runs of words of texts and names meet in an equi join, then the full pattern decides.
+    """
+    runs = lambda text: F.flatten(F.array(*(ngrams_of(text, n) for n in range(1, words + 1))))
+    known = names.where(F.length("name") >= least).withColumn("run", F.array_join(words_of(F.col("name")), " "))
+    found = texts.select("id", F.explode(F.array_distinct(runs(F.col("text")))).alias("run")).join(known, "run").select("id", "name").distinct()
+    pattern = F.concat(F.lit(r"(?i)\b\Q"), "name", F.lit(r"\E\b"))
+    return found.join(texts.select("id", "text"), "id").where(F.regexp_like("text", pattern)).select("id", "name")
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), 1)
+
+
+def ngrams_of(text: Column, n: int) -> Column:
+    w = words_of(text)
+    at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+
+def resolution_atoms(atoms: DataFrame, scope: DataFrame, targets: DataFrame, kinds: list[str]) -> DataFrame:
+    """target_id, atom_id, kind: atoms of a known kind inside the scope, one per id; a target without one gets a gap atom."""
+    live = atoms.where(F.col("kind").isin(*kinds)).join(scope, "atom_id", "left_semi")
+    one = first_wins(live, ["target_id", "atom_id"], [F.col("seq"), F.col("kind")]).select("target_id", "atom_id", "kind")
+    bare = targets.select("target_id").join(one.select("target_id").distinct(), "target_id", "left_anti")
+    return one.unionByName(bare.withColumn("kind", F.lit("gap")), allowMissingColumns=True)

@@ -7,14 +7,25 @@ round. Folds take one target's ordered effects as an array, so targets run in pa
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here where a checkpoint folder is set; else the rows are as they were."""
+    """The rows, written to the checkpoint folder, so that lineage ends here.
+
+    The folder is the one that the session names in ``spark.checkpoint.dir``. Where none is named, a local
+    session takes a temporary one; a cluster gets no machine-local folder, and its rows stay as they were."""
     spark = df.sparkSession
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-cut-"))
+    return df.checkpoint()
 
 
 def influence(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -224,3 +224,36 @@ def merged_sections(rows, above=20, percent=60):
 def section_merge(spark, sf_dir):
     """Part names with their type are the section names, sizes the boards."""
     return merged_sections(table(spark, sf_dir, "part").select((c("p_size") % 3).alias("board_id"), F.concat_ws(" ", "p_name", "p_type").alias("name")))
+
+
+@query("mentions", r"""with t as (select c_custkey as id, c_name || ' trades with ' || n_name || '.' as text from customer join nation on c_nationkey = n_nationkey)
+ select id, n_name as name from t join nation on n_regionkey <= 2 and length(n_name) >= 4 and regexp_matches(lower(text), '\b' || lower(n_name) || '\b')""")
+def mentions(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    home = nation.select(c("n_nationkey").alias("c_nationkey"), "n_name")
+    texts = table(spark, sf_dir, "customer").join(home, "c_nationkey").select(c("c_custkey").alias("id"), F.concat("c_name", F.lit(" trades with "), "n_name", F.lit(".")).alias("text"))
+    return E.mentions(texts, nation.where("n_regionkey <= 2").select(c("n_name").alias("name")))
+
+
+@query("must_items", f"with {_RICH} select board_id, seq, case when type = 'calculation' then 'figures' when type = 'gap' then 'limits' else 'findings' end as section, list_sort(list_distinct(regexp_extract_all(content, '[0-9]+'))) as terms from rich where type = 'calculation' or seq % 4 = 1")
+def must_items(spark, sf_dir):
+    """What the output has to hold: calculations and sensed gaps, with the numbers to look for."""
+    due = _rich(spark, sf_dir).where((c("type") == "calculation") | F.coalesce(F.array_contains("tags", "debt_sensor"), F.lit(False)))
+    section = F.when(c("type") == "calculation", "figures").when(c("type") == "gap", "limits").otherwise("findings")
+    return due.select("board_id", "seq", section.alias("section"), F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit("([0-9]+)"), 1))).alias("terms"))
+
+
+@query("plan_signals", "with l as (select conv_id, turn, unnest(string_split(text, '. ')[1:6]) as item, generate_subscripts(string_split(text, '. ')[1:6], 1) - 1 as k from conversations where turn = 0 or role = 'system'), n as (select *, row_number() over (partition by conv_id, lower(trim(item)) order by turn, k) as first from l where trim(item) <> '') select conv_id, turn, cast(k as int) as k, case when k = 0 then 'critical' when k < 3 then 'high' else 'medium' end as priority from n where first = 1")
+def plan_signals(spark, sf_dir):
+    """Questions of a plan as signals of round 0; of equal ones in a board the first stays."""
+    plan = table(spark, sf_dir, "conversations").where("turn = 0 or role = 'system'").select("conv_id", "turn", F.posexplode(F.slice(F.split("text", r"\. "), 1, 6)).alias("k", "item")).where("trim(item) <> ''")
+    one = D.first_wins(plan.withColumn("key", F.lower(F.trim("item"))), ["conv_id", "key"], [c("turn"), c("k")])
+    return one.select("conv_id", "turn", "k", F.when(c("k") == 0, "critical").when(c("k") < 3, "high").otherwise("medium").alias("priority"))
+
+
+@query("resolution_rows", """with a as (select l_orderkey as target_id, l_partkey as atom_id, l_returnflag as kind, row_number() over (partition by l_orderkey, l_partkey order by l_linenumber, l_returnflag) as n from lineitem where l_returnflag in ('A', 'N') and l_partkey in (select p_partkey from part where p_size > 10))
+ select target_id, atom_id, kind from a where n = 1 union all select o_orderkey, null, 'gap' from orders where o_orderkey not in (select target_id from a)""")
+def resolution_rows(spark, sf_dir):
+    atoms = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("target_id"), c("l_partkey").alias("atom_id"), c("l_returnflag").alias("kind"), c("l_linenumber").alias("seq"))
+    scope = table(spark, sf_dir, "part").where("p_size > 10").select(c("p_partkey").alias("atom_id"))
+    return E.resolution_atoms(atoms, scope, table(spark, sf_dir, "orders").select(c("o_orderkey").alias("target_id")), ["A", "N"])
