@@ -12,9 +12,10 @@
    verified, then the matches across components, then, in buckets that still hold
    several components, the nodes outside the largest against all, in blocks. Before a
    check the sizes must allow 0.8, and in blocks the similarity estimated jointly from both
-   sketches by maximum likelihood (sizes are known) must be within five standard errors of
-   it. A pair is looked at in the first band it shares, and a block gives one link for a
-   pair of components: what leaves it doesn't grow with the pairs.
+   sketches by maximum likelihood (sizes are known) must be within six standard errors of
+   it (0.58; sets of equal size at similarity 0.8 fall below with probability 1e-8). A
+   pair is looked at in the first band it shares, and a block gives one link for a pair of
+   components: what leaves it doesn't grow with the pairs.
 4. A link counts only if the intersection of the full sets confirms it.
 
 Nothing is capped: buckets of any size are dealt in blocks, never as all pairs, and
@@ -44,7 +45,7 @@ from .graphs import components
 REGISTERS, ROWS = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Linked from this similarity on, in hundredths; estimates from FLOOR on are verified.
-LINK, FLOOR = 80, 0.66
+LINK, FLOOR = 80, 0.58
 #: Share of equal registers that a pair must have for its similarity to be estimated: six standard errors below 0.8.
 EQUAL = 0.58
 #: Shingles of the nodes of a block of a bucket, on average.

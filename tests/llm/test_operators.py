@@ -1,6 +1,7 @@
 """Each training-data operator against brute force on a small table with all the odd cases."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -8,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from attestra.llm import dom, exact_dedup, html_extraction, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, tokens
@@ -226,6 +228,22 @@ def test_estimates_come_near_the_similarity():
         assert abs(found - true) < 0.15
 
 
+def test_a_link_at_the_threshold_with_an_unlucky_estimate_is_found():
+    """Two sets of 90 that share 80 of 100 elements; the registers agree in 82 of 128 places, so the estimate is 0.64."""
+    x = np.random.RandomState(4).randint(0, 1 << 62, (3000, 100), dtype=np.int64).astype(np.uint64)[1986]
+    sets = [np.sort(x[:90]), np.sort(np.concatenate([x[:80], x[90:]]))]
+    r = near_dedup.registers(sets)
+    bands = np.flatnonzero((r.view(np.uint64)[0] == r.view(np.uint64)[1]))
+    assert (r[0] == r[1]).sum() == 82 and len(bands) and near_dedup.similar(*sets)
+    unit = {"key": 1, "lane": 0, "block": 0, "band": bands[0], "node": [1, 2], "label": [1, 2], "n": 90, "registers": [v.tobytes() for v in r], "shingles": [v.tobytes() for v in sets], "stray": [False, True], "whole": True}
+    assert near_dedup._linked_across(pd.DataFrame(unit)).values.tolist() == [[2, 1]]
+
+
+def test_gates_before_the_full_sets_lose_less_than_the_bands():
+    below = lambda n: sum(math.comb(128, k) * 0.8**k * 0.2 ** (128 - k) for k in range(n))
+    assert below(int(near_dedup.EQUAL * 128)) + below(math.ceil(near_dedup.FLOOR * 128)) + (1 - 0.8**4) ** 32 < 1e-7
+
+
 def test_quality_rules(docs, empty):
     got = by_id(quality_rules.quality_rules(docs))
     for r in ROWS:
