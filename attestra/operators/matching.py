@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of a run that a quote and a text share; shorter quotes join on what they have.
+#: Words of a run that a quote and a text share; a quote of fewer whole words joins on runs of as many.
 RUN = 8
+#: Characters of a run that a quote without a whole word inside and a text share.
+CHARS = 5
 
 
 def collapsed(text: Column) -> Column:
@@ -26,14 +28,31 @@ def word_runs(text: Column, n: int) -> Column:
     return F.get(F.transform(F.array(F.split(collapsed(F.lower(text)), " ")), either), F.lit(0))
 
 
-def quote_candidates(quotes: DataFrame, texts: DataFrame, n: int = RUN) -> DataFrame:
-    """(quote_id, text_id) of texts that share a run of n words with the quote, by its rarest run over all texts.
+def char_runs(text: Column, n: int) -> Column:
+    """Hashes of the runs of n characters of a collapsed, lower-cased text; a small sigma is the same at the end of words."""
+    runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), "")))).otherwise(F.array().cast("array<bigint>"))
+    return F.get(F.transform(F.array(characters(text)), runs), F.lit(0))
+
+
+def characters(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(collapsed(F.lower(text)), "ς", "σ"), F.lit("(?s)."), 0)
 
-    A quote's first and last word may be cut off inside a word of the text, so runs leave them out."""
-    inner = F.transform(F.filter(F.split(collapsed(F.lower("quote")), " "), lambda w, i: i > 0), lambda w: w)
-    inner = F.array_join(F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(1))), " ")
-    q = quotes.select("quote_id", F.explode(F.array_distinct(word_runs(inner, n))).alias("run"))
-    t = texts.select("text_id", F.explode(F.array_distinct(word_runs(F.col("text"), n))).alias("run"))
+
+def quote_candidates(quotes: DataFrame, texts: DataFrame, n: int = RUN) -> DataFrame:
+    """(quote_id, text_id) of texts that share a run with the quote, by its rarest run over all texts.
+
+    A quote's first and last word may be cut off inside a word of the text, so runs of words leave them out;
+    they have n words, or all that a shorter quote has left. Quotes of one or two words have runs of characters.
+    Texts give the runs of the lengths that occur among the quotes, n + CHARS lengths at most."""
+    words = F.split(collapsed(F.lower("quote")), " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    length = F.when(F.size(inner) > 0, F.least(F.size(inner), F.lit(n))).otherwise(-F.least(F.size(characters(F.col("quote"))), F.lit(CHARS)))
+    sized = quotes.select("quote_id", "quote", F.array_join(inner, " ").alias("inner"), length.alias("length")).where("length <> 0")
+    lengths = sorted(r["length"] for r in sized.select("length").distinct().collect()) or [n]
+    runs = lambda text, k: word_runs(text, k) if k > 0 else char_runs(text, -k)
+    own = F.coalesce(*(F.when(F.col("length") == k, runs(F.col("inner" if k > 0 else "quote"), k)) for k in lengths))
+    q = sized.select("quote_id", F.explode(F.array_distinct(own)).alias("run"))
+    t = texts.select("text_id", F.explode(F.array_distinct(F.flatten(F.array(*(runs(F.col("text"), k) for k in lengths))))).alias("run"))
     held = t.join(q.select("run").distinct(), "run", "left_semi")
     counts = held.groupBy("run").agg(F.count(F.lit(1)).alias("texts"))
     rarest = q.join(counts, "run").groupBy("quote_id").agg(F.min_by("run", F.struct("texts", "run")).alias("run"))

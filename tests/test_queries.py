@@ -113,3 +113,24 @@ def test_sections_follow_the_first_similar_name(spark):
     # reached through a merged name, as names go where the name that takes them in went
     assert got[1, "Payment fees dates schedules"] == "Payment terms fees"
     assert got[2, "Payment term fee"] == "Payment term fee" and len(got) == 28
+
+
+def test_quotes_of_any_length_are_found(spark):
+    """All quotes of 1 to 12 words, and of odd cuts, against all texts by brute force, with the default run length."""
+    from attestra.operators.matching import admission, locate_quotes
+
+    texts = {1: "The Borrower shall pay all fees within 30 days  of the\nClosing Date, and no later than 31 December 2024.", 2: "pay all fees", 3: "ΟΔΟΣΑ ok", 4: "x", 5: "Each lender shall pay all costs of the closing. " * 3}
+    words = texts[1].split()
+    quotes = [" ".join(words[i : i + k]) for k in range(1, 13) for i in range(len(words) - k + 1)]
+    quotes += ["orrower sha", "ees with", "o", "ALL FEES", "e\nC", "pay all costs", "pay all cash", "ΟΔΟΣ", "x", "zz", "Date, and no late", "fees costs", " 30 days ", ""]
+    flat = lambda s: " ".join(s.split())
+    tier = lambda q, t: 1 if q.strip(" ") in t else 2 if flat(q) in flat(t) else 3 if flat(q).lower() in flat(t).lower() else None
+    expected = {(i, k): tier(q, t) for i, q in enumerate(quotes) for k, t in texts.items() if q and tier(q, t)}
+    given = spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string")
+    rows = spark.createDataFrame(list(texts.items()), "text_id int, text string")
+    got = locate_quotes(given, rows).collect()
+    assert {(r.quote_id, r.text_id): r.tier for r in got} == expected and len(got) == len(expected)
+    for r in got:
+        assert flat(texts[r.text_id][r.start_char : r.end_char]).lower() == flat(quotes[r.quote_id]).lower()
+    claims = spark.createDataFrame([(1, "30 days", "30 days"), (2, "x", "no later than 31 December"), (3, "x", "days later")], "claim_id int, content string, evidence string")
+    assert {r.claim_id: r.reason for r in admission(claims, rows).collect()} == {1: "admitted", 2: "admitted", 3: "unsupported_quote"}
