@@ -83,6 +83,27 @@ def locate_quotes(quotes: DataFrame, texts: DataFrame, n: int = RUN) -> DataFram
     return found.select("quote_id", "text_id", "tier", start.alias("start_char"), end.alias("end_char"))
 
 
+def supporting(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id, doc_id, whole, held, asked of all pairs where the document holds the passage whole or 80 % of its distinct tokens.
+
+    ``items``: item_id, text; ``docs``: doc_id, text. A document that holds 80 % of n tokens has one of the
+    passage's n - ceil(0.8 n) + 1 rarest; whole passages are met by their rarest run. A passage without tokens counts whole only."""
+    tokens = lambda text: F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0))
+    asked = items.select("item_id", F.filter(tokens("text"), lambda t: (F.length(t) >= 3) | t.rlike("[0-9]")).alias("e"))
+    own = asked.select("item_id", F.size("e").alias("asked"), F.explode("e").alias("token"))
+    held = docs.select("doc_id", F.explode(tokens("text")).alias("token")).join(own.select("token").distinct(), "token", "left_semi")
+    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarity = F.row_number().over(Window.partitionBy("item_id").orderBy("n", "token"))
+    # tokens that no document holds come first: they are the rarest
+    rare = own.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("place", rarity).where("place <= asked - ceil(asked * 8 / 10) + 1")
+    by_tokens = held.join(rare.select("item_id", "token"), "token").select("item_id", "doc_id")
+    by_runs = quote_candidates(items.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), docs.select(F.col("doc_id").alias("text_id"), "text"))
+    pairs = by_tokens.unionByName(by_runs.select(F.col("quote_id").alias("item_id"), F.col("text_id").alias("doc_id"))).distinct()
+    both = pairs.join(items.select("item_id", F.lower("text").alias("ev")), "item_id").join(asked, "item_id").join(docs.select("doc_id", F.lower("text").alias("sl")), "doc_id")
+    sized = both.select("item_id", "doc_id", F.contains("sl", "ev").alias("whole"), F.size(F.array_intersect("e", tokens("sl"))).cast("long").alias("held"), F.size("e").cast("long").alias("asked"))
+    return sized.where("whole or asked > 0 and 10 * held >= 8 * asked")
+
+
 def digits(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d+"), 0))
 

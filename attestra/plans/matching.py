@@ -201,6 +201,12 @@ def evidence_support(spark, sf_dir):
     return sized.withColumn("may_support", F.col("whole") | (10 * F.col("held") >= 8 * F.col("asked")))
 
 
+@query("evidence_support_full")
+def evidence_support_full(spark, sf_dir):
+    """All items against all documents; the pairs that may support."""
+    return M.supporting(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("quote_fallback", "select doc_id, case when strpos(lower(text), 'licensed') > 0 then strpos(lower(text), 'licensed') - 1 else 0 end as start_char, least(length(text), case when strpos(lower(text), 'licensed') > 0 then strpos(lower(text), 'licensed') - 1 else 0 end + 3000) as end_char from documents")
 def quote_fallback(spark, sf_dir):
     at = F.instr(F.lower("text"), F.lit("licensed")).cast("long")

@@ -134,3 +134,28 @@ def test_quotes_of_any_length_are_found(spark):
         assert flat(texts[r.text_id][r.start_char : r.end_char]).lower() == flat(quotes[r.quote_id]).lower()
     claims = spark.createDataFrame([(1, "30 days", "30 days"), (2, "x", "no later than 31 December"), (3, "x", "days later")], "claim_id int, content string, evidence string")
     assert {r.claim_id: r.reason for r in admission(claims, rows).collect()} == {1: "admitted", 2: "admitted", 3: "unsupported_quote"}
+
+
+def test_all_supporting_pairs_are_found(spark, duck):
+    """Against brute force over all items and documents, whatever their ids and languages."""
+    import re
+
+    from attestra.operators.matching import supporting
+
+    items = duck.sql("select item_id, text from benchmark").fetchall()
+    docs = duck.sql("select doc_id, text from documents").fetchall()
+    items += [(10_000 + d, t[30:90]) for d, t in docs[:12]] + [(20_000 + d, " ".join(t.split()[:9] + ["zzzz"])) for d, t in docs[:12]] + [(30_000, "?!"), (30_001, "no such passage anywhere 99999")]
+
+    def tokens(s):
+        return set(re.findall("[a-z0-9]+", s.lower()))
+
+    held_by, expected = {d: tokens(t) for d, t in docs}, set()
+    for i, ev in items:
+        asked = {t for t in tokens(ev) if len(t) >= 3 or re.search("[0-9]", t)}
+        for d, sl in docs:
+            whole, held = ev.lower() in sl.lower(), len(asked & held_by[d])
+            if whole or asked and 10 * held >= 8 * len(asked):
+                expected.add((i, d, whole, held, len(asked)))
+    got = supporting(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+    assert any(i % 40 != d % 40 for i, d, *_ in expected)
