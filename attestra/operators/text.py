@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import top_per_group
+
 BLANKS = " \t\r\x0b\x0c"
 
 # Heading forms and their levels, in the order in which they are tried.
@@ -124,3 +126,24 @@ def cleaned_lines(lines: DataFrame) -> DataFrame:
     marked = marked.withColumn("before", before).withColumn("after_blank", F.lag(blank).over(order))
     drop = F.when(blank, F.coalesce("after_blank", F.lit(True))).otherwise(F.coalesce((F.col("key") == F.col("before")) & (F.length("s") <= 80), F.lit(False)))
     return marked.where(~drop).select("doc_id", "line_no", "line")
+
+
+def scored_windows(items: DataFrame, docs: DataFrame, width: int = 900, stride: int = 450, k: int = 3) -> DataFrame:
+    """item_id, doc_id, start_char, hits, n, rank: the k windows of each text that hold most of an item's terms, for all pairs that share one.
+
+    Terms are the distinct runs of 4 letters a-z or more of ``items`` (item_id, text); ``docs``: doc_id, text.
+    A term may stand inside a longer word of a window, so each distinct word meets the terms by the first 4
+    letters at each of its places, and the exact test follows; windows then join on their words."""
+    terms = items.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0))).alias("term"))
+    sizes = terms.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    low = docs.select("doc_id", F.lower("text").alias("text"))
+    starts = low.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(stride))).alias("start_char"))
+    part = F.substring("text", F.col("start_char") + 1, F.lit(width))
+    words = starts.select("doc_id", "start_char", F.explode(F.array_distinct(F.regexp_extract_all(part, F.lit("[a-z]{4,}"), 0))).alias("word"))
+    places = F.explode(F.sequence(F.lit(1), F.length("word") - 3)).alias("at")
+    at = words.select("word").distinct().select("word", places).select("word", F.expr("substring(word, at)").alias("rest")).withColumn("lead", F.substring("rest", 1, 4))
+    known = terms.select("term").distinct().withColumn("lead", F.substring("term", 1, 4))
+    holds = at.join(known, "lead").where(F.startswith("rest", "term")).select("word", "term").distinct()
+    held = words.join(holds, "word").select("doc_id", "start_char", "term").distinct()
+    hits = held.join(terms, "term").groupBy("item_id", "doc_id", "start_char").agg(F.count(F.lit(1)).alias("hits")).join(sizes, "item_id")
+    return top_per_group(hits, ["item_id", "doc_id"], [F.desc("hits"), F.col("start_char")], k).select("item_id", "doc_id", "start_char", "hits", "n", "rank")

@@ -158,6 +158,12 @@ def window_score(spark, sf_dir):
     return scored.withColumn("rank", rank.cast("long")).where("rank <= 3")
 
 
+@query("window_score_full")
+def window_score_full(spark, sf_dir):
+    """All items with all their terms against all documents."""
+    return T.scored_windows(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 @query("context_words", "select doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: w not in (" + ", ".join(f"'{w}'" for w in S.STOP_WORDS) + "))[1:5] as words from documents")
 def context_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.context_words(F.col("text")).alias("words"))

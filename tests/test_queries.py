@@ -159,3 +159,23 @@ def test_all_supporting_pairs_are_found(spark, duck):
     got = supporting(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert len(got) == len(expected) and {tuple(r) for r in got} == expected
     assert any(i % 40 != d % 40 for i, d, *_ in expected)
+
+
+def test_all_windows_are_scored_with_all_terms(spark, duck):
+    """Against brute force over all items and documents; terms inside longer words count."""
+    import re
+
+    from attestra.operators.text import scored_windows
+
+    items = [(i, t) for i, t in duck.sql("select item_id, text from benchmark order by item_id limit 15").fetchall()] + [(901, "sent icens zzzzz"), (902, "a b c")]
+    docs = duck.sql("select doc_id, text from documents order by doc_id limit 60").fetchall() + [(9_001, ""), (9_002, "Presentlicensed"), (9_003, "x" * 898 + "licensed")]
+    expected = set()
+    for i, text in items:
+        terms = set(re.findall("[a-z]{4,}", text.lower()))
+        for d, t in docs:
+            found = [(-sum(x in t.lower()[a : a + 900] for x in terms), a) for a in range(0, max(len(t), 1), 450)]
+            best = sorted(f for f in found if f[0])[:3]
+            expected |= {(i, d, a, -h, len(terms), r) for r, (h, a) in enumerate(best, 1)}
+    got = scored_windows(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+    assert {(901, 9_002), (901, 9_003)} <= {(i, d) for i, d, *_ in expected}
