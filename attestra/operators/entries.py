@@ -125,14 +125,16 @@ def stemmed(word: Column) -> Column:
     return F.when(F.endswith(word, F.lit("ies")) & (n > 4), F.concat(cut_at(3), F.lit("y"))).when(F.endswith(word, F.lit("ses")) & (n > 4), cut_at(2)).when(F.endswith(word, F.lit("s")) & ~F.endswith(word, F.lit("ss")) & (n > 3), cut_at(1)).otherwise(word)
 
 
-def mentions(texts: DataFrame, names: DataFrame, words: int = 3, least: int = 4) -> DataFrame:
+def mentions(texts: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
     """(id, name) of the names of ``least`` characters that a text holds on word boundaries, in any case.
 
-    Names of up to ``words`` words; runs of words of texts and names meet in an equi join, then the full pattern decides.
+    Runs of as many words as names have meet in an equi join, then the full pattern decides. A name without a
+    word has a word on either side, so it is all that stands between two words.
     """
-    runs = lambda text: F.flatten(F.array(*(ngrams_of(text, n) for n in range(1, words + 1))))
-    known = names.where(F.length("name") >= least).withColumn("run", F.array_join(words_of(F.col("name")), " "))
-    found = texts.select("id", F.explode(F.array_distinct(runs(F.col("text")))).alias("run")).join(known, "run").select("id", "name").distinct()
+    known = names.where(F.length("name") >= least).withColumn("words", F.size(words_of(F.col("name")))).withColumn("run", F.when(F.col("words") == 0, F.lower("name")).otherwise(F.array_join(words_of(F.col("name")), " ")))
+    lengths = sorted(r["words"] for r in known.select("words").distinct().collect() if r["words"] is not None) or [1]
+    runs = F.flatten(F.array(*(ngrams_of(F.col("text"), n) if n else F.regexp_extract_all(F.lower("text"), F.lit(r"(\W+)"), 1) for n in lengths)))
+    found = texts.select("id", F.explode(F.array_distinct(runs)).alias("run")).join(known, "run").select("id", "name").distinct()
     pattern = F.concat(F.lit(r"(?i)\b\Q"), "name", F.lit(r"\E\b"))
     return found.join(texts.select("id", "text"), "id").where(F.regexp_like("text", pattern)).select("id", "name")
 

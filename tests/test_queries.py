@@ -179,3 +179,12 @@ def test_all_windows_are_scored_with_all_terms(spark, duck):
     got = scored_windows(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert len(got) == len(expected) and {tuple(r) for r in got} == expected
     assert {(901, 9_002), (901, 9_003)} <= {(i, d) for i, d, *_ in expected}
+
+
+def test_names_of_any_number_of_words_are_met(spark):
+    from attestra.operators.entries import mentions
+
+    texts = [(1, "See Annual Report 2024 final.pdf, please."), (2, "annual report 2024"), (3, "a????b and Acme"), (4, "????"), (5, None)]
+    names = ["annual report 2024 final.pdf", "annual report", "please", "????", "ACME", "see annual report 2024 final.pdf, please", "ann", "annual report 2024 fin"]
+    got = mentions(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    assert {(r.id, r.name) for r in got.collect()} == {(1, names[0]), (1, names[1]), (2, names[1]), (1, "please"), (3, "????"), (3, "ACME"), (1, names[5])}
