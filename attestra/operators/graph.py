@@ -1,6 +1,6 @@
 """Edges, influence, reachability and ordered folds over support graphs.
 
-Walks are bounded rounds of joins with a visited set; each round is written to the
+Walks are rounds of joins with a visited set, until nothing new is met; each round is written to the
 checkpoint folder where one is set, so lineage stays short and a lost executor costs one
 round. Folds take one target's ordered effects as an array, so targets run in parallel.
 """
@@ -35,28 +35,38 @@ def influence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(into, "id", "left").join(out, "id", "left").select("id", (2 * F.coalesce("into", F.lit(0)) + F.coalesce("out", F.lit(0))).alias("score"))
 
 
-def reachable(starts: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(start, id) of all nodes that a walk along src -> dst reaches, itself included; cycles end the walk."""
+def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, id) of all nodes that a walk along src -> dst reaches, itself included; it ends when a round meets nothing new."""
     seen = front = starts.select("start", "id").distinct()
-    for _ in range(rounds):
+    while True:
         step = front.join(edges, front["id"] == edges["src"]).select("start", F.col("dst").alias("id")).distinct()
         front = cut(step.join(seen, ["start", "id"], "left_anti"))
         if front.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(front))
-    return seen
 
 
-def depths(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
-    """id, depth: the longest chain down to a root along src -> dst, for acyclic supports; a cycle ends at ``rounds``."""
-    best = roots.select("id", F.lit(0).alias("depth"))
-    front = best
-    for k in range(1, rounds + 1):
-        front = cut(edges.join(front, edges["dst"] == front["id"]).select(F.col("src").alias("id")).distinct().withColumn("depth", F.lit(k)))
+def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, depth: the longest chain down to a root along src -> dst, for all nodes above a root.
+
+    A round takes the nodes whose supports are all taken; where nodes are left and none can be taken,
+    supports go in a circle, which is an error."""
+    above = reachable(roots.select(F.lit(0).alias("start"), "id"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    left = cut(above.select("id").distinct())
+    open_ = cut(edges.select("src", "dst").distinct().join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    best, k = None, 0
+    while not left.isEmpty():
+        front = cut(left.join(open_.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
         if front.isEmpty():
-            break
-        best = best.unionByName(front)
-    return best.groupBy("id").agg(F.max("depth").alias("depth"))
+            raise ValueError("supports form a cycle")
+        layer = front.withColumn("depth", F.lit(k))
+        best = layer if best is None else best.unionByName(layer)
+        left = cut(left.join(front, "id", "left_anti"))
+        open_ = cut(open_.join(front.select(F.col("id").alias("dst")), "dst", "left_anti"))
+        k += 1
+        if k % 32 == 0:
+            best = cut(best)
+    return best if best is not None else left.withColumn("depth", F.lit(0))
 
 
 def folded(effects: DataFrame, by: str, order: list[str], start: Column, step) -> DataFrame:

@@ -188,3 +188,27 @@ def test_names_of_any_number_of_words_are_met(spark):
     names = ["annual report 2024 final.pdf", "annual report", "please", "????", "ACME", "see annual report 2024 final.pdf, please", "ann", "annual report 2024 fin"]
     got = mentions(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(n,) for n in names], "name string"))
     assert {(r.id, r.name) for r in got.collect()} == {(1, names[0]), (1, names[1]), (2, names[1]), (1, "please"), (3, "????"), (3, "ACME"), (1, names[5])}
+
+
+@pytest.fixture
+def quick_cut(spark, monkeypatch):
+    """Cuts without files, as walks of many rounds take long otherwise."""
+    from attestra.operators import graph
+
+    monkeypatch.setattr(graph, "cut", lambda df: spark.createDataFrame(df.collect(), df.schema).coalesce(1))
+
+
+def test_walks_go_on_to_the_end(spark, quick_cut):
+    from attestra.operators.graph import depths, reachable
+
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 68)] + [(67, 3)], "src int, dst int").coalesce(1)
+    assert reachable(spark.createDataFrame([(66, 66)], "start int, id int").coalesce(1), edges).count() == 67
+    found = depths(edges, spark.createDataFrame([(0,)], "id int").coalesce(1))
+    assert {r.id: r.depth for r in found.collect()} == {i: i for i in range(68)}
+
+
+def test_a_circle_of_supports_is_an_error(spark, quick_cut):
+    from attestra.operators.graph import depths
+
+    with pytest.raises(ValueError, match="cycle"):
+        depths(spark.createDataFrame([(1, 0), (2, 1), (3, 2), (2, 3)], "src int, dst int"), spark.createDataFrame([(0,)], "id int"))
