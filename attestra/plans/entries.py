@@ -36,23 +36,23 @@ _TYPES = "case type when 'calculation' then {} when 'analysis' then {} when 'str
 _LONG = ", length(content) desc"
 
 
-@query("top_calc", _top(_TYPES.format(5, 4, 3, 3, 2) + " + case when regexp_matches(content, '[0-9]') then 2 else 0 end", "true", "", 3))
-def top_calc(spark, sf_dir):
+@query("board_top_calc", _top(_TYPES.format(5, 4, 3, 3, 2) + " + case when regexp_matches(content, '[0-9]') then 2 else 0 end", "true", "", 3))
+def board_top_calc(spark, sf_dir):
     return E.for_calculation(_rich(spark, sf_dir), 3).select("board_id", "seq", "score", "rank")
 
 
-@query("top_gap", _top(_TYPES.format(4, 4, 2, 3, 1) + " + case when seq % 4 in (1, 2) then 2 else 0 end + case when supported then 1 else 0 end", "status = 'active'", _LONG, 4))
-def top_gap(spark, sf_dir):
+@query("board_top_gap", _top(_TYPES.format(4, 4, 2, 3, 1) + " + case when seq % 4 in (1, 2) then 2 else 0 end + case when supported then 1 else 0 end", "status = 'active'", _LONG, 4))
+def board_top_gap(spark, sf_dir):
     return E.for_gaps(_rich(spark, sf_dir), 4).select("board_id", "seq", "score", "rank")
 
 
-@query("top_commit", _top("case seq % 4 when 1 then 4 when 2 then 3 else 0 end + " + _TYPES.format(4, 3, 2, 0, 1), "source_doc is not null and ((seq % 4 = 1) or (seq % 4 = 2) or (type = 'calculation' and regexp_matches(content, '[0-9]')))", _LONG, 3))
-def top_commit(spark, sf_dir):
+@query("board_top_commit", _top("case seq % 4 when 1 then 4 when 2 then 3 else 0 end + " + _TYPES.format(4, 3, 2, 0, 1), "source_doc is not null and ((seq % 4 = 1) or (seq % 4 = 2) or (type = 'calculation' and regexp_matches(content, '[0-9]')))", _LONG, 3))
+def board_top_commit(spark, sf_dir):
     return E.for_commitment(_rich(spark, sf_dir), 3).select("board_id", "seq", "score", "rank")
 
 
-@query("top_maint", _top(_TYPES.format(5, 5, 3, 4, 2) + " + case when source_doc is not null then 2 else 0 end + case when supported then 1 else 0 end", "status = 'active' and length(trim(content)) >= 30", ", least(length(content), 1200) desc", 4))
-def top_maint(spark, sf_dir):
+@query("board_top_maint", _top(_TYPES.format(5, 5, 3, 4, 2) + " + case when source_doc is not null then 2 else 0 end + case when supported then 1 else 0 end", "status = 'active' and length(trim(content)) >= 30", ", least(length(content), 1200) desc", 4))
+def board_top_maint(spark, sf_dir):
     return E.for_maintenance(_rich(spark, sf_dir), 4).select("board_id", "seq", "score", "rank")
 
 

@@ -13,6 +13,8 @@ def query(name: str, sql: str | None = None):
     """Registers a (spark, sf_dir) -> DataFrame function, with the SQL that gives the same rows."""
 
     def put(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if sql:
             ORACLE_SQL[name] = sql

@@ -212,3 +212,9 @@ def test_a_circle_of_supports_is_an_error(spark, quick_cut):
 
     with pytest.raises(ValueError, match="cycle"):
         depths(spark.createDataFrame([(1, 0), (2, 1), (3, 2), (2, 3)], "src int, dst int"), spark.createDataFrame([(0,)], "id int"))
+
+
+def test_a_name_is_registered_once():
+    with pytest.raises(ValueError, match="twice"):
+        registry.query("top_calc")(None)
+    assert {"top_calc", "board_top_calc"} <= set(registry.QUERIES)
