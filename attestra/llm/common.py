@@ -8,14 +8,17 @@ a slice of whole documents, never a Python loop per character.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 SLICE_BYTES = 1 << 20
@@ -29,9 +32,11 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Keys that hold over this share of all rows are attached by broadcast: there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 1e-3
+_FACTORS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
+#: Folders of the tables written and not yet deleted.
+_written: list[str] = []
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -54,12 +59,65 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends here."""
+def stored(df: DataFrame, name: str, listed: bool = True) -> DataFrame:
+    """``df`` written once to the shared folder and read back: lineage ends here. listed: whether ``scratch`` and ``left_by`` know of it."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/attestra/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    if listed:
+        _written.append(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._folder = at
+    return out
+
+
+def deleted(spark: SparkSession, folders: list[str]) -> None:
+    """Removes tables that nothing reads any more."""
+    for at in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written[:] = [x for x in _written if x not in set(folders)]
+
+
+@contextmanager
+def left_by() -> Iterator[list[str]]:
+    """A list that holds, after the block, the folders of the tables that were stored in it and are still there."""
+    before, out = len(_written), []
+    yield out
+    out.extend(_written[before:])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside the block are deleted at its end, but for those that are passed to what it yields."""
+    before, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._folder)
+        return df
+
+    try:
+        yield keep
+    finally:
+        deleted(spark, [x for x in _written[before:] if x not in kept])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def attached(rows: DataFrame, unique: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` joined to the one row of ``unique`` per key, keys without such a row left out.
+
+    ``weight``: column of ``unique`` with the number of rows that have the key, of ``total``. Hot
+    keys are fewer than 1 / HOT_SHARE, so they go to all tasks; no shuffle partition gets a hot group."""
+    limit = total * HOT_SHARE
+    hot, cold = unique.where(F.col(weight) > limit).drop(weight), unique.where(F.col(weight) <= limit).drop(weight)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on))
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -92,27 +150,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+def digest(data: bytes) -> bytes:
+    """128 bits of BLAKE2."""
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def pieces_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.DictionaryArray:
+    """The byte ranges start..end (ascending, apart, not empty), equal ones (byte by byte) with one code."""
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    flat = data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
 
 
-class Ranges:
-    """64-bit hashes of any byte ranges of a buffer, from prefix sums of a polynomial modulo 2**64."""
+def codes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A whole number per byte range; equal for equal ranges only."""
+    return pieces_of(data, start, end).indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def digests_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of byte ranges as (n, 2) of 64 bits; each distinct range is hashed once."""
+    coded = pieces_of(data, start, end)
+    table = np.frombuffer(b"".join(digest(x) for x in coded.dictionary.to_pylist()), np.uint64).reshape(-1, 2)
+    return table[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,18 +202,21 @@ def per_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+def chained(words: np.ndarray) -> np.ndarray:
+    """(m, 2): one 128-bit digest for each row of (m, n, 2) digests, in order of the n."""
+    h = words[:, 0]
+    for k in range(1, words.shape[1]):
+        h = mix(h * _FACTORS + words[:, k])
+    return h
+
+
 def ngrams(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word's index of each run of n words within a document."""
+    """Digest, (m, 2), and first word's index of each run of n words within a document."""
     m = len(words) - n + 1
     if m <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
     first = np.flatnonzero(doc[:m] == doc[n - 1 :])
     h = words[first]
     for k in range(1, n):
-        h = h * np.uint64(0x9FB21C651E98DF25) + words[first + k]
-    return mix(h), first
-
-
-def crc_fold(spark_column_name: str) -> str:
-    """SQL of the held-out remainder: crc32 of doc_id as text, modulo 5."""
-    return f"crc32(cast({spark_column_name} as string)) % 5"
+        h = mix(h * _FACTORS + words[first + k])
+    return h, first

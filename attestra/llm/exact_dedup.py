@@ -11,15 +11,16 @@
    doc_id and the number of copies.
 4. Rows meet the block of their prefix. The slot's digest is compared byte by byte:
    members take the slot's winner; nonmembers are grouped separately by digest.
-   Blocks with many rows are salted by a hash of doc_id, with one copy of the block
-   per salt, so that no task gets a whole hot group.
+   Blocks with many rows are dealt in parts by the rows' place in the stored table, with
+   one copy of the block per part, so that no task gets a whole hot group, with or
+   without ids.
 
 Defined results: null or empty texts are one group (the digest of no bytes). Rows
 without doc_id can win only where no row of the group has one (keep_id is null
 then). Rows that repeat doc_id and text count as copies; all rows of the winning
 doc_id are ``kept`` in the report, and ``deduplicated`` returns one of them. An
 empty table gives an empty result. Further columns are ignored by the report and
-kept by ``deduplicated``.
+kept by ``deduplicated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, session, stored, table, utf8
+from .common import BROADCAST_ROWS, LOWER, fresh, scratch, session, stored, table, utf8
 
 #: Keys of a block aimed at, and keys a pilot places together.
 BLOCK_KEYS, GROUP_KEYS = 4096, 4
@@ -142,36 +143,46 @@ def _look_up(key, rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
 
 
 def look_up(keys: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
-    """Rows of ``keys`` with the winner and copies of their digest; both null, and member false, where the history lacks it."""
+    """Rows of ``keys`` (a stored table: its rows have fixed places) with the winner and copies of their digest; both null, and member false, where the history lacks it."""
     rows = keys.select("doc_id", "digest", _prefix(n_blocks))
     hot = rows.groupBy("block").count().select("block", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts")).where("parts > 1")
-    salted = rows.join(hot, "block", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    salted = rows.withColumn("place", F.monotonically_increasing_id()).join(hot, "block", "left").withColumn("part", F.pmod(F.xxhash64("place"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts", "place")
     copies = blocks.join(hot, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return salted.groupBy("block", "part").cogroup(copies.groupBy("block", "part")).applyInPandas(_look_up, "doc_id long, digest binary, keep_id long, group_size long, member boolean")
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Report of every row. ``history``: (digest, winner, copies) of earlier batches; its winners stay and their new copies go."""
-    keys = stored(digests(docs), "digests")
-    past = stored(history if history is not None else repeated(keys), "history")
-    n_blocks = max(1, -(-past.count() // BLOCK_KEYS))
-    found = stored(look_up(keys, stored(index(past, n_blocks), "blocks"), n_blocks), "found")
+    with scratch(docs.sparkSession) as keep:
+        keys = stored(digests(docs), "digests")
+        past = stored(history if history is not None else repeated(keys), "history")
+        n_blocks = max(1, -(-past.count() // BLOCK_KEYS))
+        found = keep(stored(look_up(keys, stored(index(past, n_blocks), "blocks"), n_blocks), "found"))
     alone = found.where("not member").groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("copies"))
     rest = found.where("not member").drop("keep_id", "group_size").join(alone, "digest").select("doc_id", "digest", F.col("winner").alias("keep_id"), F.col("copies").alias("group_size"))
     return found.where("member").select("doc_id", "digest", "keep_id", "group_size").unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group of equal texts, all columns as they were."""
-    report = stored(exact_dedup(docs), "exact")
-    if report.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        gone = report.where("not kept").select(F.col("doc_id").alias("_gone"))
-        return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    # ids that repeat or lack don't tell one row from another; the text's digest does
+    """The rows of ``docs`` that stay: one of each group of equal texts, all columns as they were.
+
+    Rows with an id of their own stay or go by it. Only rows without doc_id, or with one that
+    several rows have, are told apart by the digest of their text as well."""
+    with scratch(docs.sparkSession) as keep:
+        report = stored(exact_dedup(docs), "exact")
+        odd = keep(stored(report.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "odd-ids"))
+        gone = keep(stored(report.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone"))
+        stay = keep(stored(report.join(odd, report["doc_id"].eqNullSafe(odd["doc_id"]), "left_semi").where("kept").select("doc_id", "text_sha256").distinct(), "odd-winners"))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    mine, own = docs["doc_id"].cast("long"), fresh(docs, "own")
+    without = lambda df, ids, kind: df.join(small(ids.select(F.col("doc_id").alias(own))), mine.eqNullSafe(F.col(own)), kind)
+    if odd.isEmpty():
+        return without(docs, gone, "left_anti")
+    plain = without(without(docs, odd, "left_anti"), gone, "left_anti")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    digest = F.sha2(F.translate(F.coalesce(docs["text"], F.lit("")), upper, lower), 256)
-    rank = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
-    return docs.groupBy(digest.alias("_digest")).agg(F.max_by(F.struct(*[docs[c] for c in docs.columns]), rank).alias("_row")).select("_row.*")
+    rows = without(docs, odd, "left_semi").select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), mine.alias("id"), F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256).alias("text_sha256"))
+    won = rows.join(small(stay.select(F.col("doc_id").alias("won"), F.col("text_sha256").alias("sha"))), F.col("id").eqNullSafe(F.col("won")) & (F.col("text_sha256") == F.col("sha")), "left_semi")
+    return plain.unionByName(won.groupBy("id", "text_sha256").agg(F.first("row").alias("row")).select("row.*"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ per feature and one per pair of neighbouring labels (main text or not), is train
 maximum likelihood on labelled pages, and decodes each page by Viterbi in one pass. The
 few hundred weights go to the tasks; pages stay where they are read, nothing is shuffled.
 
-Labelled pages: ``pages`` itself gives a bounded sample of ``FIT_PAGES`` rows (the first
-by a hash of page_id), of which those that mark an article or main element are labelled by
-it; as many are composed by rule from the words of these, in layouts with menus, headers,
-sidebars, notices, adverts, forms, comments and footers in varied tags and classes.
+Labelled pages: ``pages`` itself gives a bounded sample of ``FIT_PAGES`` rows of at most
+``FIT_BYTES`` each (the first by a hash of page_id; both bounds concern the training only),
+of which those that mark an article or main element are labelled by it; as many are
+composed by rule from the words of these, in layouts with menus, headers, sidebars,
+notices, adverts, forms, comments and footers in varied tags and classes. Pages to decode
+are read and decoded whole, in time proportional to their length.
 
 Defined results: null, empty and text-free pages give an empty text and 0 characters. Repeated
 rows get a row each; a null page_id or url stays null. Further columns are ignored. An
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import session, slices, table, utf8
 from .dom import Block, blocks
 
-FIT_PAGES, STEPS, RIDGE = 200, 150, 0.02
+FIT_PAGES, FIT_BYTES, STEPS, RIDGE = 200, 65_536, 150, 0.02
 
 #: What words of classes, ids and roles stand for.
 KINDS = {
@@ -47,23 +49,28 @@ KINDS = {
 }
 _KIND = {w: k for k, words in KINDS.items() for w in words.split()}
 TAGS = "article main section nav header footer aside form button fieldset label ul ol li dl p h1 h2 h3 h4 h5 h6 table td th blockquote pre figure figcaption div address details dialog a".split()
+_TAGS = frozenset(TAGS)
 _NUMBER = {f: i for i, f in enumerate([*(f"tag {t}" for t in TAGS), *(f"name {k}" for k in KINDS), *(f"inner {k}" for k in ("div", "p", "li", "h", "a", "td", "other")), "bias", "no container", *(f"length {k}" for k in range(8)), *(f"links {k}" for k in range(4)), "ends sentence", "copyright sign", "first", "last", "one word", "talks of cookies"])}
 
 
+def leaves(page: str | None) -> list[Block]:
+    return blocks(page, _TAGS, _KIND)
+
+
 def features(page: list[Block]) -> list[list[int]]:
     out = []
     for i, b in enumerate(page):
-        tags = set(b.tags)
-        inner = b.tags[-1] if b.tags else "other"
-        own = {f"tag {t}" for t in tags} | {f"name {_KIND[w]}" for w in b.names if w in _KIND} | {"bias"}
+        own = {f"tag {t}" for t in b.tags} | {f"name {k}" for k in b.kinds} | {"bias"}
+        inner = b.inner or "other"
         own.add(f"inner {inner if inner in ('div', 'p', 'li', 'a', 'td') else 'h' if inner[:1] == 'h' and inner[1:].isdigit() else 'other'}")
-        if not tags & {"article", "main"}:
+        if not b.tags & {"article", "main"}:
             own.add("no container")
         n = len(b.text)
         own.add(f"length {min(7, n.bit_length() - 1)}")
         own.add(f"links {min(3, 4 * b.linked // n)}")
-        low = b.text.lower() if n < 400 else ""
-        own |= {name for name, yes in (("ends sentence", b.text[-1] in ".!?"), ("copyright sign", "©" in b.text), ("first", i == 0), ("last", i == len(page) - 1), ("one word", " " not in b.text), ("talks of cookies", "cookie" in low or "subscribe" in low)) if yes}
+        low = b.text.lower()
+        talk = 400 * (low.count("cookie") + low.count("subscribe")) > n  # one such word in 400 characters
+        own |= {name for name, yes in (("ends sentence", b.text[-1] in ".!?"), ("copyright sign", "©" in b.text), ("first", i == 0), ("last", i == len(page) - 1), ("one word", " " not in b.text), ("talks of cookies", talk)) if yes}
         out.append([_NUMBER[f] for f in own if f in _NUMBER])
     return out
 
@@ -99,23 +106,22 @@ class Field:
 def train(pages: list[list[list[int]]], labels: list[list[int]], steps: int = STEPS) -> Field:
     """Maximum likelihood with a ridge penalty; all pages move along their chains together."""
     n, longest, f = len(pages), max(map(len, pages)), len(_NUMBER)
-    x = np.zeros((n, longest, f), np.float32)
+    mask = np.arange(longest) < np.array([len(p) for p in pages])[:, None]
+    rows = [r for page in pages for r in page]
+    begin = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
+    feature, block = np.concatenate([np.array(r) for r in rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     y = np.zeros((n, longest), np.int64)
-    mask = np.zeros((n, longest), bool)
-    for i, (page, own) in enumerate(zip(pages, labels)):
-        for j, (row, label) in enumerate(zip(page, own)):
-            x[i, j, row] = 1
-            y[i, j] = label
-            mask[i, j] = True
-    flat = x.reshape(-1, f)
-    pairs_seen = np.zeros((2, 2))
+    y[mask] = [v for own in labels for v in own]
     both = mask[:, 1:]
+    pairs_seen = np.zeros((2, 2))
     np.add.at(pairs_seen, (y[:, :-1][both], y[:, 1:][both]), 1)
-    seen = (y * mask).reshape(-1) @ flat
+    over = lambda weight: np.bincount(feature, weights=weight[block], minlength=f)  # noqa: E731  a sum for each feature over the blocks that have it
+    seen = over(y[mask].astype(float))
     theta = np.zeros(f + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        e = (flat @ theta[:f]).reshape(n, longest)
+        e = np.zeros((n, longest))
+        e[mask] = np.add.reduceat(theta[feature], begin)
         t = theta[f:].reshape(2, 2)
         emit = np.stack([np.zeros_like(e), e], axis=2)
         ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
@@ -126,9 +132,9 @@ def train(pages: list[list[list[int]]], labels: list[list[int]], steps: int = ST
             nxt = emit[:, j + 1] + behind[:, j + 1]
             behind[:, j] = np.where(mask[:, j + 1, None], np.logaddexp(t[:, 0] + nxt[:, :1], t[:, 1] + nxt[:, 1:]), 0)
         z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        one = np.exp(ahead[:, :, 1] + behind[:, :, 1] - z[:, None]) * mask
+        one = np.exp(ahead[:, :, 1] + behind[:, :, 1] - z[:, None])
         joint = np.exp(ahead[:, :-1, :, None] + t + (emit + behind)[:, 1:, None, :] - z[:, None, None, None]) * both[:, :, None, None]
-        grad = np.concatenate([seen - one.reshape(-1) @ flat, (pairs_seen - joint.sum(axis=(0, 1))).ravel()]) / n - RIDGE * theta / 10
+        grad = np.concatenate([seen - over(one[mask]), (pairs_seen - joint.sum(axis=(0, 1))).ravel()]) / n - RIDGE * theta / 10
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta += 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Field(theta[:f], theta[f:].reshape(2, 2))
@@ -136,11 +142,11 @@ def train(pages: list[list[list[int]]], labels: list[list[int]], steps: int = ST
 
 def marked(page: list[Block]) -> list[int] | None:
     """Labels by the page's own article or main element; None where it has none."""
-    inside = [bool({"article", "main"} & set(b.tags)) for b in page]
+    inside = [bool({"article", "main"} & b.tags) for b in page]
     if not any(inside):
         return None
     bad = {"nav", "header", "footer", "aside", "form", "button", "dialog"}
-    return [int(ok and not bad & set(b.tags) and not {_KIND.get(w) for w in b.names} & {"comment", "advert", "menu", "notice", "side", "foot", "form"}) for ok, b in zip(inside, page)]
+    return [int(ok and not bad & b.tags and not b.kinds & {"comment", "advert", "menu", "notice", "side", "foot", "form"}) for ok, b in zip(inside, page)]
 
 
 def composed(words: list[str], count: int, seed: int = 11) -> Iterator[tuple[list[Block], list[int]]]:
@@ -195,20 +201,20 @@ def composed(words: list[str], count: int, seed: int = 11) -> Iterator[tuple[lis
         article = element([("article", "")] * 6 + [("main", ""), ("article", "post"), ("div", "content"), ("div", "entry-content"), ("div", "article-body"), ("div", "story")], body)
         before = [f() for f in (notice, head, menu, form, advert, side) if rng.random() < 0.5]
         after = [f() for f in (side, comments, advert, form, notice, foot, foot) if rng.random() < 0.45]
-        page = blocks(f"<html><body>{''.join(before)}{article}{''.join(after)}</body></html>")
+        page = leaves(f"<html><body>{''.join(before)}{article}{''.join(after)}</body></html>")
         mine = {" ".join(t.split()) for t in main}
         yield page, [int(b.text in mine) for b in page]
 
 
-def fit(pages: DataFrame, most: int = FIT_PAGES) -> Field:
-    """A field trained on ``most`` pages of the table at most and on as many composed ones."""
-    # the ids are chosen first: no page's text is sorted, and ``most`` pages reach the driver
-    ids = pages.where("html is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(most)
-    sample = [blocks(r.html) for r in pages.where("html is not null").join(F.broadcast(ids), "page_id", "left_semi").select("html").limit(2 * most).collect()]
-    words = sorted({w for page in sample for b in page for w in b.text.split()[:200]})[:20_000]
+def fit(pages: DataFrame, most: int = FIT_PAGES, most_bytes: int = FIT_BYTES) -> Field:
+    """A field trained on ``most`` pages of the table at most, of ``most_bytes`` at most, and on as many composed ones."""
+    # the ids are chosen first: no page's text is sorted, and bounded bytes of ``most`` pages reach the driver
+    small = pages.where(F.octet_length("html") <= most_bytes).select("page_id", "html")
+    ids = small.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most)
+    sample = [leaves(r.html) for r in small.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy(F.xxhash64("page_id"), "page_id").collect()]
+    words = sorted({w for page in sample for b in page for w in b.text.split()})
     known = [(page, labels) for page in sample if (labels := marked(page)) is not None]
     known += [(page, labels) for page, labels in composed(words, most) if page]
-    known = [(page[:80], labels[:80]) for page, labels in known]  # chains of labelled pages, not of pages to decode
     return train([features(page) for page, _ in known], [labels for _, labels in known])
 
 
@@ -222,7 +228,7 @@ def extract(pages: DataFrame, field: Field) -> DataFrame:
             at, texts = utf8(batch.column(2))[1], []
             for a, b in slices(at):
                 for page in batch.column(2).slice(a, b - a).to_pylist():
-                    parts = blocks(page)
+                    parts = leaves(page)
                     texts.append("\n\n".join(x.text for x, label in zip(parts, own.decode(features(parts))) if label))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -13,8 +13,8 @@ what stays, lines joined by newlines), text_sha256 (of that text, UTF-8).
 
 Defined results: null texts count as empty: 0 lines, the digest of no bytes. A null
 source is no site: its lines don't spread, but boilerplate goes from it as well. Repeated
-rows get a row each. Further columns are ignored by the report and kept by ``cleaned``.
-An empty table gives an empty result.
+rows get a row each. Further columns are ignored by the report and kept by ``cleaned``,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,59 +22,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session, stored, table
+from .common import scratch, session, stored, table
 
 #: A line on so many sites goes. Estimates within this share of it are counted exactly.
 SITES, NEAR = 8, 0.5
 #: Logarithm of a sketch's registers: a relative error of about 1.04 / sqrt(2 ** 8).
 REGISTERS = 8
 BLANKS = " \t\r\x0b\x0c"
-#: Boilerplate lines are broadcast up to this measured number, else joined by shuffle.
-BROADCAST_LINES = 100_000
+#: Boilerplate lines are broadcast up to this measured number, else joined by shuffle with so many salts per line.
+BROADCAST_LINES, SALTS = 100_000, 32
 
 
 def line_key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line, F.lit(BLANKS))))
 
 
-def split(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
+def full(line: Column) -> Column:
+    return F.trim(line, F.lit(BLANKS)) != ""
 
 
 def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """The keys of lines that ``sites`` or more distinct sites hold."""
-    lines = split(docs.select("text", F.col("source").cast("string").alias("site"))).where("site is not null").select("site", F.explode(F.array_distinct(F.filter("_lines", lambda x: F.trim(x, F.lit(BLANKS)) != ""))).alias("line"))
+    lines = docs.select(lines_of(F.col("text")).alias("lines"), F.col("source").cast("string").alias("site")).where("site is not null").select("site", F.explode(F.array_distinct(F.filter("lines", full))).alias("line"))
     keyed = lines.select(line_key(F.col("line")).alias("line"), "site")
-    spread = stored(keyed.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(REGISTERS)).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - NEAR)), "spread")
-    sure = spread.where(F.col("estimate") > sites * (1 + NEAR)).select("line")
-    near = spread.where(F.col("estimate") <= sites * (1 + NEAR)).select("line")
-    near = F.broadcast(near) if near.count() <= BROADCAST_LINES else near
-    exact = keyed.join(near, "line").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("one").alias("n")).where(F.col("n") >= sites).select("line")
-    return sure.unionByName(exact)
+    with scratch(docs.sparkSession) as keep:
+        spread = stored(keyed.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(REGISTERS)).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - NEAR)), "spread")
+        sure = spread.where(F.col("estimate") > sites * (1 + NEAR)).select("line")
+        near = spread.where(F.col("estimate") <= sites * (1 + NEAR)).select("line")
+        near = F.broadcast(near) if near.count() <= BROADCAST_LINES else near
+        exact = keyed.join(near, "line").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("one").alias("n")).where(F.col("n") >= sites).select("line")
+        return keep(stored(sure.unionByName(exact), "common-lines"))
 
 
 def marked(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """``docs`` with the kept text and the counts, under names with an underscore in front."""
-    common = stored(boilerplate(docs, sites), "common-lines").select(F.col("line").alias("_key"))
-    small = common.count() <= BROADCAST_LINES
-    # rows with the same doc_id and text are alike, so (doc_id, hash of the text) names what to remove
-    rows = split(docs).withColumn("_h", F.xxhash64("doc_id", "text"))
-    at = rows.select("_h", F.posexplode("_lines").alias("_i", "_line")).where(F.trim("_line", F.lit(BLANKS)) != "").withColumn("_key", line_key(F.col("_line"))).drop("_line")
-    hits = at.join(F.broadcast(common) if small else common, "_key").groupBy("_h").agg(F.collect_set("_i").alias("_gone"))
-    joined = rows.join(hits, "_h", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    kept = F.filter(F.transform("_lines", lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    full = F.size(F.filter("_lines", lambda x: F.trim(x, F.lit(BLANKS)) != ""))
-    return joined.withColumns({"_kept": F.array_join(kept, "\n"), "_n_lines": full.cast("long"), "_n_removed": F.size("_gone").cast("long")}).drop("_h", "_lines", "_gone")
+    """row (all columns of ``docs``), kept (the text that stays), n_lines, n_removed."""
+    common = boilerplate(docs, sites).select(F.col("line").alias("key"))
+    # rows with the same doc_id and text are alike, so their digest names what to remove
+    name = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.coalesce("text", F.lit("")))))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), name.alias("name"), F.col("text"))
+    at = rows.select("name", F.posexplode(lines_of(F.col("text"))).alias("i", "line")).where(full(F.col("line"))).select("name", "i", line_key(F.col("line")).alias("key"))
+    if common.count() <= BROADCAST_LINES:
+        hits = at.join(F.broadcast(common), "key")
+    else:  # these lines are hot by their nature
+        hits = at.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS))).join(common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["key", "salt"])
+    gone = hits.groupBy("name").agg(F.collect_set("i").alias("gone"))
+    joined = rows.join(gone, "name", "left").withColumn("lines", lines_of(F.col("text"))).withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    # the numbers of the lines that stay come from a hash set, so a text of many lines is still one pass
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.size("gone") == 0, F.col("lines")).otherwise(F.transform(stay, lambda i: F.get(F.col("lines"), i)))
+    return joined.select("row", F.array_join(kept, "\n").alias("kept"), F.size(F.filter("lines", full)).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
 
 
 def cleaned(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """``docs`` without boilerplate lines; all columns as they were."""
-    return marked(docs, sites).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept"))).select(docs.columns)
+    """``docs`` without boilerplate lines; all other columns as they were."""
+    text = F.when(F.col("row.text").isNotNull(), F.col("kept")).alias("text")
+    return marked(docs, sites).select(*[text if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def line_dedup(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    out = marked(docs, sites)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length("_kept").cast("long").alias("n_chars_kept"), F.sha2("_kept", 256).alias("text_sha256"))
+    """doc_id, n_lines, n_removed, n_chars_kept, text_sha256 of every row."""
+    return marked(docs, sites).select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", F.length("kept").cast("long").alias("n_chars_kept"), F.sha2("kept", 256).alias("text_sha256"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

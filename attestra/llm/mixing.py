@@ -3,6 +3,9 @@
 Targets. Sources by code point, null last, weigh 1, 2, 3, repeating. A source's target
 is ``min(3 * size, theta * weight)``; theta is found by one sorted pass over the sources
 so that the targets share all sizes (the fixed point of resharing each excess by weight).
+Places in an order, and sums up to them, come from ranges that tasks sum up each for
+themselves and that are then offset by the ranges before (``running``): neither the
+sources nor the sizes of one source are sorted in one task.
 
 Rates. Per source, the document rates nearest to 1 in relative entropy whose words meet
 the target, none above 3, are ``min(3, exp(lambda * z))`` with z the document's size over
@@ -13,15 +16,16 @@ more than its distinct sizes.
 
 Copies. Along the sizes of a source the rates are summed up, and a document gets as many
 copies as whole numbers are passed at its place: rounding then shifts words only between
-neighbours in size. Ranks among equal sizes come from salted sub-cells with offsets, so
-no task sorts a source. Two passes then move single copies of single documents where
-that brings a source nearer to its target.
+neighbours in size. Ranks among equal sizes come from salted sub-cells with offsets. Two
+passes then move single copies of single documents where that brings a source nearer to
+its target.
 
 Defined results: null and empty texts have size 0 and take 0 words. Null sources are one
 source. A source without words has target 0. Rows that repeat a doc_id are rounded each
 (a repair moves a copy of only one of them). An empty table gives an empty result. Ties
-are broken by a hash of doc_id, then doc_id: reruns agree. Further columns are ignored
-by the report and kept by ``mixed``.
+are broken by a hash of doc_id (of the text where doc_id is null), then doc_id: reruns
+agree. Further columns are ignored by the report and kept by ``mixed``, whatever their
+names. A solve that doesn't meet its targets within ``PASSES`` is an error.
 """
 
 from __future__ import annotations
@@ -29,36 +33,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import session, stored, table
+from .common import deleted, fresh, scratch, session, stored, table
 
 CAP = 3
 SALTS = 64
-PASSES = 40
+PASSES = 200
+#: What a document gets is broadcast up to this measured number of documents, else joined by shuffle.
+BROADCAST_IDS = 500_000
 #: A source's words may miss its target by this share before rounding.
 NEAR = 1e-7
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def words_in(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def tie(doc_id: Column, text: Column) -> Column:
+    """What tells rows without doc_id apart."""
+    return F.when(doc_id.isNull(), F.xxhash64(text))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), tie(F.col("doc_id"), F.col("text")).alias("tie"))
+
+
+def running(rows: DataFrame, group: list[str], order: list[Column], values: list[str]) -> DataFrame:
+    """``rows`` with before_<value>: the sum over the rows of the group that come before in the order.
+
+    Rows are dealt out in ranges of the order. A range is summed up by its task; a group's
+    offsets are one row for each range it reaches into."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(ranges, *[F.col(g).asc_nulls_last() for g in group], *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = Window.partitionBy(*[f"_{g}" for g in group]).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*group, "_range").agg(*[F.sum(v).alias(f"_{v}") for v in values]).select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_range").alias("_at"), *[f"_{v}" for v in values])
+    offsets = sums.select(*[f"_{g}" for g in group], "_at", *[F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_off_{v}") for v in values])
+    within = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    hit = F.col("_range") == F.col("_at")
+    for g in group:
+        hit = hit & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    out = dealt.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}).join(offsets, hit)
+    return out.select(*rows.columns, *[(F.col(f"before_{v}") + F.col(f"_off_{v}")).alias(f"before_{v}") for v in values])
 
 
 def targets(cells: DataFrame) -> DataFrame:
     """source, source_size, n, target from the histogram; one row per source."""
-    by = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = by.withColumn("weight", (F.row_number().over(order) - 1) % 3 + 1).withColumn("cap", CAP * F.col("source_size"))
-    ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    swept = (
-        weighed.withColumn("total", F.sum("source_size").over(everything)).withColumn("weights", F.sum("weight").over(everything))
-        .withColumn("caps_before", F.coalesce(F.sum("cap").over(ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("weights_before", F.coalesce(F.sum("weight").over(ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("theta", (F.col("total") - F.col("caps_before")) / (F.col("weights") - F.col("weights_before")))
-    )
+    by = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n")).withColumn("one", F.lit(1))
+    name = F.col("source").asc_nulls_last()
+    weighed = running(by, [], [name], ["one"]).withColumn("weight", F.col("before_one") % 3 + 1).withColumn("cap", CAP * F.col("source_size")).drop("one", "before_one")
+    weighed = stored(weighed, "weights")
+    total, weights = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
+    swept = running(weighed, [], [F.col("cap") / F.col("weight"), name], ["cap", "weight"])
+    swept = swept.withColumn("theta", (F.lit(total) - F.col("before_cap")) / (F.lit(weights) - F.col("before_weight")))
     # the first source, by ratio, that its share at theta doesn't fill sets theta for all
-    level = F.min(F.when(F.col("theta") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("theta")))).over(everything)
-    return swept.withColumn("level", level).select("source", "source_size", "n", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level.theta"), F.lit(float("inf"))) * F.col("weight")).alias("target"))
+    level = swept.where(F.col("theta") * F.col("weight") <= F.col("cap")).agg(F.min(F.struct(F.col("cap") / F.col("weight"), "theta")).alias("level")).first().level
+    return swept.select("source", "source_size", "n", F.least(F.col("cap").cast("double"), F.lit(level.theta if level else float("inf")) * F.col("weight")).alias("target"))
 
 
 def rate(step: Column, size: Column, mean: Column) -> Column:
@@ -73,7 +102,7 @@ def solve(cells: DataFrame, aims: DataFrame) -> DataFrame:
     for i in range(PASSES):
         open_ = now.where("not done")
         if open_.isEmpty():
-            break
+            return now
         z = F.col("size") / F.col("mean")
         r = rate(F.col("step"), F.col("size"), F.col("mean"))
         sums = cells.join(open_.select(F.col("source").alias("s"), "step", "mean"), cells["source"].eqNullSafe(F.col("s")))
@@ -86,38 +115,38 @@ def solve(cells: DataFrame, aims: DataFrame) -> DataFrame:
         middle = F.when(F.col("low") == float("-inf"), F.col("high") - 2).when(F.col("high") == float("inf"), F.col("low") + 2).otherwise((F.col("low") + F.col("high")) / 2)
         met = F.abs(gap) <= NEAR * F.col("target")
         x = x.withColumn("done", F.col("done") | met | (F.col("high") - F.col("low") < 1e-13)).withColumn("step", F.when(F.col("done"), F.col("step")).when(inside, newton).otherwise(middle))
-        now = stored(x.drop("words", "slope"), f"step-{i + 1}")
-    return now
+        before, now = now, stored(x.drop("words", "slope"), f"step-{i + 1}")
+        deleted(now.sparkSession, [before._folder])
+    raise RuntimeError(f"rates don't meet their targets after {PASSES} passes")
 
 
 def _hash() -> Column:
-    return F.xxhash64("doc_id", "size")
+    return F.xxhash64("doc_id", "size", "tie")
 
 
 def balanced(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every row."""
-    rows = stored(sizes(docs), "sizes")
-    cells = stored(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
-    solved = solve(cells, targets(cells))
-    # the sum of rates over all smaller documents of the source, per sub-cell of equal sizes
-    salt = F.pmod(_hash(), F.lit(SALTS)).cast("int")
-    salted = rows.withColumn("salt", salt)
-    sub = salted.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
-    aims = solved.select(F.col("source").alias("s"), "source_size", "target", "step", "mean")
-    sub = sub.join(aims, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", F.when(F.col("step") == float("inf"), F.lit(float(CAP))).otherwise(rate(F.col("step"), F.col("size"), F.col("mean"))))
-    upto = Window.partitionBy("source").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sub = sub.withColumn("before", F.sum(F.col("n") * F.col("rate")).over(upto) - F.col("n") * F.col("rate"))
-    sub = sub.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("salt").alias("_salt"), "source_size", "target", "rate", "before")
-    order = Window.partitionBy("source", "size", "salt").orderBy(_hash(), "doc_id")
-    ranked = salted.withColumn("rank", F.row_number().over(order))
-    joined = ranked.join(sub, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("salt") == F.col("_salt")))
-    end = F.floor(F.round(F.col("before") + F.col("rank") * F.col("rate"), 6) + 0.5)
-    start = F.floor(F.round(F.col("before") + (F.col("rank") - 1) * F.col("rate"), 6) + 0.5)
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.least(F.lit(CAP), end - start)).cast("long")
-    out = joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "rank", "salt")
-    for k in range(2):
-        out = repaired(stored(out, f"copies-{k}"))
-    return out.drop("rank", "salt")
+    """doc_id, source, size, tie, source_size, target, copies of every row."""
+    with scratch(docs.sparkSession) as keep:
+        rows = stored(sizes(docs), "sizes")
+        cells = stored(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
+        solved = solve(cells, targets(cells))
+        # the sum of rates over all smaller documents of the source, per sub-cell of equal sizes
+        salted = rows.withColumn("salt", F.pmod(_hash(), F.lit(SALTS)).cast("int"))
+        aims = solved.select(F.col("source").alias("s"), "source_size", "target", "step", "mean")
+        sub = salted.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")).join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        sub = sub.withColumn("rate", F.when(F.col("step") == float("inf"), F.lit(float(CAP))).otherwise(rate(F.col("step"), F.col("size"), F.col("mean")))).withColumn("mass", F.col("n") * F.col("rate"))
+        sub = running(sub, ["source"], [F.col("size"), F.col("salt")], ["mass"])
+        sub = sub.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("salt").alias("_salt"), "source_size", "target", "rate", F.col("before_mass").alias("before"))
+        order = Window.partitionBy("source", "size", "salt").orderBy(_hash(), "doc_id", "tie")
+        ranked = salted.withColumn("rank", F.row_number().over(order))
+        joined = ranked.join(sub, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("salt") == F.col("_salt")))
+        end = F.floor(F.round(F.col("before") + F.col("rank") * F.col("rate"), 6) + 0.5)
+        start = F.floor(F.round(F.col("before") + (F.col("rank") - 1) * F.col("rate"), 6) + 0.5)
+        copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.least(F.lit(CAP), end - start)).cast("long")
+        out = joined.select("doc_id", "source", "size", "tie", "source_size", "target", copies.alias("copies"), "rank", "salt")
+        for k in range(2):
+            out = repaired(stored(out, f"copies-{k}"))
+        return keep(stored(out.drop("rank", "salt"), "mix"))
 
 
 def repaired(out: DataFrame) -> DataFrame:
@@ -133,20 +162,31 @@ def repaired(out: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it; all columns as they were."""
-    report = stored(balanced(docs), "mix")
-    # rows of one doc_id, source and size are alike to the mix: it takes their copies in order
-    key = ["doc_id", "source", "size"]
-    order = Window.partitionBy("_d", "_s", "_n").orderBy("_text")
-    mine = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_s": F.col("source").cast("string"), "_n": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")})
-    if report.groupBy(key).count().where("count > 1").isEmpty():
-        mine, place = mine.withColumn("_k", F.lit(1)), report.withColumn("_pk", F.lit(1))
-    else:
-        mine = mine.withColumn("_text", F.xxhash64("text")).withColumn("_k", F.row_number().over(order)).drop("_text")
-        place = report.withColumn("_pk", F.row_number().over(Window.partitionBy(*key).orderBy("copies")))
-    place = place.where("copies > 0").select(F.col("doc_id").alias("_pd"), F.col("source").alias("_ps"), F.col("size").alias("_pn"), "_pk", F.col("copies").alias("_copies"))
-    hit = F.col("_d").eqNullSafe(F.col("_pd")) & F.col("_s").eqNullSafe(F.col("_ps")) & (F.col("_n") == F.col("_pn")) & (F.col("_k") == F.col("_pk"))
-    return mine.join(place, hit).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select([F.col(c) for c in docs.columns])
+    """``docs`` with each row repeated as often as the mix takes it; all columns as they were.
+
+    Documents with an id of their own get their copies by it. Rows without doc_id, or with one
+    that several rows have, are matched by source and size as well, equal ones in any order."""
+    report = balanced(docs)
+    odd = report.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("o"))
+    with scratch(docs.sparkSession) as keep:
+        odd = keep(stored(odd, "odd-ids"))
+    mine, copies, own = F.col("doc_id").cast("long"), fresh(docs, "copies"), fresh(docs, "own")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    place = report.where("copies > 0 and doc_id is not null").join(small(odd), F.col("doc_id") == F.col("o"), "left_anti").select(F.col("doc_id").alias(own), F.col("copies").alias(copies))
+    repeated = lambda df: df.withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    plain = repeated(docs.join(small(place), mine == F.col(own))).select([F.col(c) for c in docs.columns])
+    if odd.isEmpty():
+        return plain
+    key = ["d", "s", "n", "t"]
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), mine.alias("d"), F.col("source").cast("string").alias("s"), "text")
+    rows = rows.join(small(odd), F.col("d").eqNullSafe(F.col("o")), "left_semi").select("row", "d", "s", words_in(F.col("text")).alias("n"), tie(F.col("d"), F.col("text")).alias("t"), F.xxhash64("text").alias("h"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("h")))
+    given = report.join(small(odd), F.col("doc_id").eqNullSafe(F.col("o")), "left_semi").withColumn("pk", F.row_number().over(Window.partitionBy("doc_id", "source", "size", "tie").orderBy("copies"))).where("copies > 0")
+    given = given.select(F.col("doc_id").alias("pd"), F.col("source").alias("ps"), F.col("size").alias("pn"), F.col("tie").alias("pt"), "pk", "copies")
+    hit = F.col("k") == F.col("pk")
+    for c in key:
+        hit = hit & F.col(c).eqNullSafe(F.col(f"p{c}"))
+    return plain.unionByName(rows.join(given, hit).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*"))
 
 
 def mix(docs: DataFrame) -> DataFrame:

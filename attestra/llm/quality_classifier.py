@@ -1,14 +1,14 @@
 """Quality classifier: a sparse rule ensemble compiled into column expressions.
 
-1. Statistics of the whole text, as Spark expressions (counts, shares, means); doc_id,
-   lang, source and labels are no inputs.
+1. Statistics of the whole text (counts, shares, means), in one Arrow pass over its bytes;
+   doc_id, lang, source and labels are no inputs.
 2. A random forest of shallow trees is grown by Spark ML on labelled rows that aren't
    held out; at most ``FIT_ROWS`` of them, the first by a hash of doc_id (the one bounded
    sample here; a model needs no more).
 3. Every path from a root to a node is a rule: a conjunction of threshold tests. Logistic
    regression with an L1 penalty (lasso) over the rules' 0/1 columns drops most of them.
 4. What is left is one Spark expression: a sigmoid over ``CASE WHEN`` rules. Scoring is a
-   projection over the scan: no shuffle, no Python, nothing broadcast.
+   projection over the scan and the pass: no shuffle, nothing broadcast.
 
 Defined results: null and empty texts have all statistics 0 and get the score of that
 point. Labels without quality are left out; of several labels of a doc_id the lowest
@@ -21,40 +21,57 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import session, stored, table
+from .common import codes_of, per_doc, scratch, session, slices, stored, table, utf8, words_of
 
 FIT_ROWS = 20_000
-TREES, DEPTH, PENALTY, STEPS = 24, 3, 0.0003, 80
+TREES, DEPTH, PENALTY, STEPS = 24, 3, 0.0003, 40
 #: Predicted 1 from this score on.
 THRESHOLD = 0.3
 
 Rule = tuple[tuple[str, str, float], ...]
 
 
-def statistics() -> dict[str, Column]:
-    """Name -> statistic of ``text``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    chars, n = F.greatest(F.length(text), F.lit(1)).cast("double"), F.greatest(F.size(words), F.lit(1)).cast("double")
-    return {
-        "words": F.size(words).cast("double"),
-        "word_length": F.length(text) / n,
-        "distinct_share": F.size(F.array_distinct(words)) / n,
-        "symbol_share": count(r"[#*$%&<>@~^=_\\]") / chars,
-        "bar_share": count(r"\|") / n,
-        "shout_share": count("!") / n,
-        "upper_share": count(r"\p{Lu}") / chars,
-        "digit_share": count("[0-9]") / chars,
-        "stop_share": count(r"[.?]") / n,
-        "lines_share": count("\n") / n,
-    }
+#: Characters that are counted.
+COUNTED = {"symbols": b"#*$%&<>@~^=_\\", "bars": b"|", "shouts": b"!", "uppers": bytes(range(65, 91)), "digits": b"0123456789", "stops": b".?", "lines": b"\n"}
+STATISTICS = ["words", "word_length", "distinct_share", "symbol_share", "bar_share", "shout_share", "upper_share", "digit_share", "stop_share", "lines_share"]
+
+
+def statistics(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The statistics of each document of a slice, in the order of STATISTICS."""
+    docs = len(offsets) - 1
+    start, end, doc, _ = words_of(data, offsets)
+    words = np.bincount(doc, minlength=docs)
+    distinct = np.bincount(np.unique(codes_of(data, start, end) * docs + doc) % docs, minlength=docs)
+    characters = per_doc((data & 0xC0) != 0x80, offsets)
+    count = {}
+    for name, those in COUNTED.items():
+        mine = np.zeros(256, bool)
+        mine[list(those)] = True
+        count[name] = per_doc(mine[data], offsets)
+    n, chars = np.maximum(words, 1), np.maximum(characters, 1)
+    return [x.astype(float) for x in (words, characters / n, distinct / n, count["symbols"] / chars, count["bars"] / n, count["shouts"] / n, count["uppers"] / chars, count["digits"] / chars, count["stops"] / n, count["lines"] / n)]
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, at = utf8(batch.column(1))
+        for a, b in slices(at):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, statistics(data[at[a] : at[b]], at[a : b + 1] - at[a]))], ["row", *STATISTICS])
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """``rows``: row (a struct), text. row and the statistics."""
+    return rows.select("row", "text").mapInArrow(_measured, T.StructType([rows.schema["row"], *(T.StructField(x, T.DoubleType()) for x in STATISTICS)]))
 
 
 def paths(debug: str) -> list[Rule]:
@@ -88,10 +105,8 @@ class Rules:
         self.intercept, self.weighted = intercept, weighted
 
     def score(self) -> Column:
-        """The score of ``text``. The statistics are computed once, as the argument of a lambda, and the rules read them from there."""
-        total = lambda s: sum((F.when(condition(rule, lambda name: s[name]), F.lit(weight)).otherwise(0.0) for rule, weight in self.weighted), F.lit(self.intercept))
-        stats = F.array(F.struct(*[c.alias(name) for name, c in statistics().items()]))
-        return F.get(F.transform(stats, lambda s: 1 / (1 + F.exp(-total(s)))), F.lit(0))
+        """The score of a row that has the statistics as columns."""
+        return 1 / (1 + F.exp(-sum((F.when(condition(rule, F.col), F.lit(weight)).otherwise(0.0) for rule, weight in self.weighted), F.lit(self.intercept))))
 
 
 def remainder() -> Column:
@@ -102,37 +117,38 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Rules:
     """Learns quality from the labelled rows that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where("doc_id is not null and quality is not null")
     known = known.where(remainder() != 0).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # at most ``rows`` ids: their size is bounded by the parameter
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    names = list(statistics())
-    sample = stored(texts.select("quality", *[c.alias(name) for name, c in statistics().items()]).coalesce(4), "labelled").cache()
-    kinds = {r.quality: r["count"] for r in sample.groupBy("quality").count().collect()}
-    if len(kinds) < 2:
-        share = sum(k * n for k, n in kinds.items()) / max(1, sum(kinds.values())) if kinds else 0.5
-        sample.unpersist()
-        return Rules({0.0: -20.0, 1.0: 20.0}.get(share, 0.0), [])
-    grown = RandomForestClassifier(labelCol="quality", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, maxBins=64, featureSubsetStrategy="onethird", seed=7, cacheNodeIds=False)
-    forest = grown.fit(VectorAssembler(inputCols=names, outputCol="features").transform(sample).select("quality", "features"))
-    rules = [tuple((names[int(f)], sign, limit) for f, sign, limit in rule) for rule in paths(forest.toDebugString)]
-    columns = [f"r{i}" for i in range(len(rules))]
-    held = sample.select("quality", *[F.when(condition(rule, F.col), 1.0).otherwise(0.0).alias(c) for rule, c in zip(rules, columns)])
-    rows_ = VectorAssembler(inputCols=columns, outputCol="rules").transform(held).select("quality", "rules").cache()
-    lasso = LogisticRegression(labelCol="quality", featuresCol="rules", elasticNetParam=1.0, regParam=PENALTY, maxIter=STEPS).fit(rows_)
-    rows_.unpersist()
-    sample.unpersist()
-    weights = lasso.coefficients.toArray().tolist()
-    return Rules(float(lasso.intercept), [(rule, w) for rule, w in zip(rules, weights) if abs(w) > 1e-6])
+    names = STATISTICS
+    with scratch(docs.sparkSession):
+        # at most ``rows`` ids: their size is bounded by the parameter; of rows that share an id one counts
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select(F.struct("doc_id", "quality").alias("row"), "text")
+        found = stored(measured(texts).groupBy("row.doc_id").agg(F.min("row.quality").alias("quality"), F.min(F.struct(*names)).alias("s")).select("quality", "s.*"), "labelled")
+        sample = found.coalesce(4)
+        kinds = {r.quality: r["count"] for r in sample.groupBy("quality").count().collect()}
+        if len(kinds) < 2:
+            share = sum(k * n for k, n in kinds.items()) / max(1, sum(kinds.values())) if kinds else 0.5
+            return Rules({0.0: -20.0, 1.0: 20.0}.get(share, 0.0), [])
+        grown = RandomForestClassifier(labelCol="quality", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, maxBins=64, featureSubsetStrategy="onethird", seed=7, cacheNodeIds=False)
+        forest = grown.fit(VectorAssembler(inputCols=names, outputCol="features").transform(sample).select("quality", "features"))
+        rules = [tuple((names[int(f)], sign, limit) for f, sign, limit in rule) for rule in paths(forest.toDebugString)]
+        columns = [f"r{i}" for i in range(len(rules))]
+        held = sample.select("quality", *[F.when(condition(rule, F.col), 1.0).otherwise(0.0).alias(c) for rule, c in zip(rules, columns)])
+        lasso = LogisticRegression(labelCol="quality", featuresCol="rules", elasticNetParam=1.0, regParam=PENALTY, maxIter=STEPS).fit(VectorAssembler(inputCols=columns, outputCol="rules").transform(held).select("quality", "rules"))
+        weights = lasso.coefficients.toArray().tolist()
+        return Rules(float(lasso.intercept), [(rule, w) for rule, w in zip(rules, weights) if abs(w) > 1e-6])
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    score = fit(docs, labels).score()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder() == 0).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    rules = fit(docs, labels)
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), "text")
+    return measured(rows).select("row.doc_id", rules.score().alias("score")).select("doc_id", (remainder() == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, all columns as they were: a filter over the scan."""
-    return docs.where(fit(docs, labels).score() >= THRESHOLD)
+    """The rows of ``docs`` that the classifier accepts, all columns as they were."""
+    rules = fit(docs, labels)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text")
+    return measured(rows).where(rules.score() >= THRESHOLD).select("row.*")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,9 @@ suffixes at every byte of the corpus isn't needed for that:
    suffixes that start at anchors are sorted (about one byte in seventy), and of these
    only such as start with a 64-byte string that occurs twice. Consecutive windows with
    one anchor form a run of 200 to 336 bytes.
-2. Runs are counted by anchor with map-side combining. An anchor whose runs are all the
-   same text needs no sort: the whole run repeats. Of the others each distinct run is
-   sorted once, from one place where it stands, however often it occurs.
+2. Runs are counted by anchor with map-side combining. Of the anchors that occur twice each
+   distinct run (128-bit digest of its bytes) is sorted once, from one place where it
+   stands, however often it occurs. Hot anchors are attached to their places by broadcast.
 3. Each task sorts its anchored suffixes, front-codes them (common prefix with the one
    before, rest) and sends them to the range of their anchor. There the sorted pieces are
    merged by a loser tree that keeps for each piece the common prefix with the last
@@ -18,11 +18,11 @@ suffixes at every byte of the corpus isn't needed for that:
    The merge yields the suffixes in order with the common prefixes of neighbours.
 4. A window that starts d bytes before its anchor repeats if another suffix shares
    200 - d bytes (a stretch of the order whose common prefixes are that long) and has the
-   same d bytes on the left (compared, or by 64-bit hash within the stretch where an
-   anchor has over ``FEW`` runs).
-5. Anchors with over ``GROUP`` distinct runs (one passage in very many surroundings)
-   aren't gathered: their windows are counted by a grouping over all tasks, keyed by two
-   64-bit hashes of the window.
+   same d bytes on the left (a stretch of the order of what stands before the anchor, read
+   backwards). Both are found by comparing bytes; no hash decides.
+5. An anchor with over ``GROUP`` distinct runs (one passage in very many surroundings) would
+   be one task's work. Its windows are counted by a grouping over all tasks, keyed by the
+   128-bit digest of the window.
 
 Defined results: null and empty texts have no bytes, nothing is removed, and the digest is
 that of no bytes. Texts under 200 bytes stay whole. Rows that repeat doc_id and text are
@@ -42,26 +42,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ranges, mix, session, slices, stored, table, utf8
+from .common import SLICE_BYTES, attached, deleted, digest, mix, scratch, session, slices, stored, table, utf8
 
 WINDOW, ANCHOR = 200, 64
 #: Distinct runs of an anchor that one task takes; runs that a range of anchors gets on average.
-GROUP, RANGE = 20_000, 10_000
-#: Runs of an anchor that are compared pair by pair; more are grouped by hashes.
+GROUP, RANGE = 20_000, 4_000
+#: Runs of an anchor that are compared pair by pair; of more, the left sides are sorted first.
 FEW = 40
+#: Runs in a row of the table of runs; a text with more has several rows. Bytes of a text whose spans are united together.
+ROW_RUNS, ROW_BYTES = 65_536, 65_536
 _EMPTY = hashlib.sha256(b"").hexdigest()
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_powers: list[np.ndarray] = []
+
+
+def gram_keys(data: np.ndarray) -> np.ndarray:
+    """Hashes of the ANCHOR-byte strings at every place. They only choose anchors: that strings are equal never rests on them."""
+    if not _powers or len(_powers[0]) <= len(data):
+        for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
+            p = np.full(max(len(data), SLICE_BYTES) + 1, base, np.uint64)
+            p[0] = 1
+            _powers.insert(0, np.multiply.accumulate(p))
+        del _powers[2:]
+    down, up = _powers
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    n = len(data) - ANCHOR + 1
+    return mix((sums[ANCHOR:] - sums[:n]) * down[:n])
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor, in order: document, start in it, length, anchor's place in the run, hashes of the anchor and of the run."""
+    """Runs of windows with one anchor, in order: document, start in it, length, anchor's place in the run, hash of the anchor, digest of the run."""
     w = WINDOW - ANCHOR + 1
     if len(data) < WINDOW:
-        return {k: np.zeros(0, np.int64) for k in ("doc", "start", "length", "at", "anchor", "content")}
-    hashes = Ranges(data)
-    i = np.arange(len(data) - ANCHOR + 1)
-    grams = hashes(i, i + ANCHOR)
-    low = np.uint64((1 << max(20, int(len(data)).bit_length())) - 1)
-    keys = (grams & ~low) | i.astype(np.uint64)
+        return {k: np.zeros(0, np.int64) for k in ("doc", "start", "length", "at", "anchor")} | {"content": []}
+    grams = gram_keys(data)
+    # the upper half of the hash, then the place: the choice doesn't depend on what else is in the slice (texts under 4 GB)
+    low = np.uint64((1 << 32) - 1)
+    keys = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     rows = np.concatenate([keys, np.full(-len(keys) % w, np.uint64((1 << 64) - 1))]).reshape(-1, w)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -75,24 +93,31 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(s)) - 1
     last = last[: len(first)]
-    start, end = s[first], s[last] + WINDOW
-    return {"doc": doc[first], "start": start - offsets[doc[first]], "length": end - start, "at": anchor[first] - start, "anchor": grams[anchor[first]].view(np.int64), "content": hashes(start, end).view(np.int64)}
+    start, end, text = s[first], s[last] + WINDOW, data.tobytes()
+    content = [digest(text[x:y]) for x, y in zip(start.tolist(), end.tolist())]
+    return {"doc": doc[first], "start": start - offsets[doc[first]], "length": end - start, "at": anchor[first] - start, "anchor": grams[anchor[first]].view(np.int64), "content": content}
 
 
-FIELDS = {"anchor": pa.int64(), "content": pa.int64(), "start": pa.int32(), "length": pa.int16(), "at": pa.int16()}
+FIELDS = {"anchor": pa.int64(), "content": pa.binary(), "start": pa.int32(), "length": pa.int16(), "at": pa.int16()}
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text with its first runs; further rows, without ``sha``, with the others."""
     np.seterr(over="ignore")
     for batch in batches:
         data, at = utf8(batch.column(2))
         for a, b in slices(at):
             own, off = data[at[a] : at[b]], at[a : b + 1] - at[a]
             r, text = runs(own, off), own.tobytes()
-            cuts = pa.array(np.searchsorted(r["doc"], np.arange(b - a + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(r[k].astype(t.to_pandas_dtype()), t)) for k, t in FIELDS.items()]
-            shas = [hashlib.sha256(text[x:y]).hexdigest() for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(off), pa.int64()), pa.array(shas), *lists], ["doc_id", "key", "n_bytes", "sha", *FIELDS])
+            cuts = np.searchsorted(r["doc"], np.arange(b - a + 1))
+            first = [c for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()) for c in range(x, max(y, x + 1), ROW_RUNS)]
+            doc = np.repeat(np.arange(b - a), np.maximum(1, -(-np.diff(cuts) // ROW_RUNS)))
+            heads = np.append(True, doc[1:] != doc[:-1])
+            bounds = pa.array(np.append(np.array(first, np.int64), cuts[-1]), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(r[k] if k == "content" else r[k].astype(t.to_pandas_dtype()), t)) for k, t in FIELDS.items()]
+            shas = [hashlib.sha256(text[off[d] : off[d + 1]]).hexdigest() if head else None for d, head in zip(doc.tolist(), heads.tolist())]
+            places = pa.array(doc + a)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(places), batch.column(1).take(places), pa.array(np.diff(off)[doc], pa.int64()), pa.array(shas, pa.string()), *lists], ["doc_id", "key", "n_bytes", "sha", *FIELDS])
 
 
 def common_prefix(a: bytes, b: bytes, at: int) -> int:
@@ -198,19 +223,19 @@ def repeated(shared: list[int], left: list[bytes], at: list[int], length: list[i
                     out[i][at[i] - high : at[i] - low + 1] = True
                     out[j][at[j] - high : at[j] - low + 1] = True
         return out
-    far = max(at)
-    sums = np.zeros((n, far + 1), np.uint64)
-    for i, x in enumerate(left):
-        sums[i, : at[i] + 1] = Ranges(np.frombuffer(x, np.uint8)).sums
+    order = sorted(range(n), key=left.__getitem__)
+    near = np.array([0] + [common_prefix(left[i], left[j], 0) for i, j in zip(order, order[1:])])
+    order = np.array(order)
     at_, low, cut = np.array(at), np.array(at) - np.array(length) + WINDOW, np.array(shared)
-    for d in range(int(low.min()), far + 1):
+    side = np.zeros(n, np.int64)
+    for d in range(int(low.min()), max(at) + 1):
         rows = np.flatnonzero((low <= d) & (d <= at_))
         if len(rows) > 1:
-            stretch = np.cumsum(cut < WINDOW - d)[rows].astype(np.uint64)
-            key = mix(mix(sums[rows, d] + np.uint64(d)) ^ (stretch * np.uint64(0x9E3779B97F4A7C15)))
-            order = np.argsort(key)
-            same = key[order][1:] == key[order][:-1]
-            for i in rows[np.union1d(order[1:][same], order[:-1][same])].tolist():
+            side[order] = np.cumsum(near < d)
+            key = side[rows] * (n + 1) + np.cumsum(cut < WINDOW - d)[rows]
+            by = np.argsort(key, kind="stable")
+            same = key[by][1:] == key[by][:-1]
+            for i in rows[np.union1d(by[1:][same], by[:-1][same])].tolist():
                 out[i][at[i] - d] = True
     return out
 
@@ -221,7 +246,7 @@ def stretches(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
 
 
-PIECE = "range int, piece binary, left binary, anchors binary, contents binary, copies binary, ats binary"
+PIECE = "range int, piece binary, left binary, anchors binary, contents binary, copies binary"
 
 
 def _pieces(ranges: int):
@@ -235,8 +260,8 @@ def _pieces(ranges: int):
                 by.setdefault(struct.unpack(">Q", r[0][:8])[0] * ranges >> 64, []).append(r)
             for k, own in by.items():
                 lefts = [r[1] for r in own]
-                columns = [[k], [front_code([r[0] for r in own])], [b"".join(struct.pack("<H", len(x)) + x for x in lefts)], *([np.array([r[i] for r in own], np.int64).tobytes()] for i in (2, 3, 4)), [np.array([len(x) for x in lefts], np.int64).tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["range", "piece", "left", "anchors", "contents", "copies", "ats"])
+                columns = [front_code([r[0] for r in own]), b"".join(struct.pack("<H", len(x)) + x for x in lefts), np.array([r[2] for r in own], np.int64).tobytes(), b"".join(r[3] for r in own), np.array([r[4] for r in own], np.int64).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([c], pa.binary()) for c in columns]], ["range", "piece", "left", "anchors", "contents", "copies"])
             rows.clear()
 
         for batch in batches:
@@ -255,7 +280,7 @@ def _pieces(ranges: int):
     return run
 
 
-FOUND = "anchor long, content long, froms array<int>, tos array<int>"
+FOUND = "anchor long, content binary, froms array<int>, tos array<int>"
 
 
 def _merged(key, pieces: pd.DataFrame) -> pd.DataFrame:
@@ -267,7 +292,7 @@ def _merged(key, pieces: pd.DataFrame) -> pd.DataFrame:
             n = struct.unpack_from("<H", p.left, at)[0]
             lefts.append(p.left[at + 2 : at + 2 + n])
             at += 2 + n
-        side.append((lefts, *(np.frombuffer(x, np.int64) for x in (p.anchors, p.contents, p.copies))))
+        side.append((lefts, np.frombuffer(p.anchors, np.int64), p.contents, np.frombuffer(p.copies, np.int64)))
     out, group = [], []
 
     def close():
@@ -284,28 +309,28 @@ def _merged(key, pieces: pd.DataFrame) -> pd.DataFrame:
         lefts, anchors, contents, copies = side[k]
         if group and anchors[place] != group[-1][3]:
             close()
-        group.append((s, n, lefts[place], int(anchors[place]), int(contents[place]), int(copies[place])))
+        group.append((s, n, lefts[place], int(anchors[place]), contents[16 * place : 16 * place + 16], int(copies[place])))
     close()
     return pd.DataFrame(out, columns=["anchor", "content", "froms", "tos"])
 
 
+WINDOWS = "anchor long, content binary, copies long, j int, bytes binary"
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of every run of the anchors with very many runs: the run, the distance, two hashes."""
-    np.seterr(over="ignore")
-    names = ["anchor", "content", "copies", "j", "h", "g"]
+    """Every window of every run of the anchors with very many runs: the run, the distance, the digest of the window."""
     for batch in batches:
         data, at = utf8(batch.column(0))
-        for x, y, own in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(1).to_pylist()):
-            text = data[x:y]
-            one, two = Ranges(text), Ranges(text ^ np.uint8(0x5A))
+        text = data.tobytes()
+        for x, own in zip(at[:-1].tolist(), batch.column(1).to_pylist()):
             for r in own:
-                s = np.arange(r["start"], r["start"] + r["length"] - WINDOW + 1)
-                n = len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r[k], np.int64)) for k in names[:3]] + [pa.array((s - r["start"]).astype(np.int32)), pa.array(one(s, s + WINDOW).view(np.int64)), pa.array(mix(two(s, s + WINDOW)).view(np.int64))], names)
+                s = x + r["start"]
+                n = r["length"] - WINDOW + 1
+                yield pa.RecordBatch.from_arrays([pa.array([r["anchor"]] * n, pa.int64()), pa.array([r["content"]] * n, pa.binary()), pa.array([r["copies"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([digest(text[s + j : s + j + WINDOW]) for j in range(n)], pa.binary())], ["anchor", "content", "copies", "j", "bytes"])
 
 
 def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The union of each document's removed stretches."""
+    """The union of each row's stretches."""
     for x in frames:
         rows = []
         for key, froms, tos in zip(x["key"], x["froms"], x["tos"]):
@@ -335,38 +360,43 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows``: doc_id, key, text. The per-row table (doc_id, key, n_bytes, sha) and what to remove (key, n_removed, n_spans, froms, tos)."""
-    fields = "anchor array<long>, content array<long>, start array<int>, length array<smallint>, at array<smallint>"
-    anchored = stored(rows.mapInArrow(_anchored, f"doc_id long, key long, n_bytes long, sha string, {fields}"), "anchored")
-    places = anchored.select("key", F.inline(F.arrays_zip(*FIELDS)))
-    # anchors that occur twice or more; alike where all their runs are one text
-    twice = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("c"), F.max("content").alias("e")).where("n > 1").select("anchor", (F.col("c") == F.col("e")).alias("alike"))
-    dups = stored(places.join(twice, "anchor"), "repeats")
-    distinct = dups.where("not alike").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "start", "length", "at")).alias("r"))
-    distinct = stored(distinct.select("anchor", "content", "copies", "r.*"), "distinct-runs")
-    big = distinct.groupBy("anchor").count().where(F.col("count") > GROUP).select("anchor")
-    big = stored(big, "big-anchors")
-    ranges = max(1, -(-distinct.count() // RANGE))
-    at = lambda d: rows.join(d.groupBy("key").agg(F.collect_list(F.struct("start", "length", "at", "anchor", "content", "copies")).alias("own")), "key").select(F.coalesce("text", F.lit("")).alias("text"), "own")
-    pieces = at(distinct.join(big, "anchor", "left_anti")).mapInArrow(_pieces(ranges), PIECE)
-    found = stored(pieces.repartition(ranges, "range").groupBy("range").applyInPandas(_merged, FOUND), "found")
-    if not big.isEmpty():
-        windows = at(distinct.join(big, "anchor", "left_semi")).mapInArrow(_windows, "anchor long, content long, copies long, j int, h long, g long")
-        windows = stored(windows, "windows")
-        often = windows.groupBy("h", "g").agg(F.sum("copies").alias("n")).where("n > 1").select("h", "g")
-        more = windows.join(often, ["h", "g"]).groupBy("anchor", "content").agg(F.collect_set("j").alias("froms"))
-        found = found.unionByName(more.select("anchor", "content", "froms", F.transform("froms", lambda j: j + WINDOW).alias("tos")))
-    whole = dups.where("alike").select("key", F.col("start").alias("a"), (F.col("start") + F.col("length")).cast("int").alias("b"))
-    partly = dups.where("not alike").select("key", "start", "anchor", "content").join(found, ["anchor", "content"])
-    partly = partly.select("key", "start", F.inline(F.arrays_zip("froms", "tos"))).select("key", (F.col("start") + F.col("froms")).alias("a"), (F.col("start") + F.col("tos")).alias("b"))
-    gone = whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("own")).select("key", F.col("own.a").alias("froms"), F.col("own.b").alias("tos"))
-    return anchored, stored(gone.mapInPandas(_joined, "key long, n_removed long, n_spans long, froms array<int>, tos array<int>"), "gone")
+    spark = rows.sparkSession
+    with scratch(spark) as keep:
+        fields = "anchor array<long>, content array<binary>, start array<int>, length array<smallint>, at array<smallint>"
+        anchored = stored(rows.mapInArrow(_anchored, f"doc_id long, key binary, n_bytes long, sha string, {fields}"), "anchored")
+        places = anchored.select("key", F.inline(F.arrays_zip(*FIELDS)))
+        total = int(anchored.agg(F.sum(F.size("anchor"))).first()[0] or 0)
+        twice = stored(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
+        dups = stored(attached(places, twice, ["anchor"], "n", total), "repeats")
+        report = keep(stored(anchored.where("sha is not null").select("doc_id", "key", "n_bytes", "sha"), "texts"))
+        deleted(spark, [anchored._folder])
+        distinct = dups.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "start", "length", "at")).alias("r"))
+        distinct = stored(distinct.select("anchor", "content", "copies", "r.*"), "distinct-runs")
+        big = stored(distinct.groupBy("anchor").count().where(F.col("count") > GROUP).select("anchor"), "big-anchors")
+        ranges = max(1, -(-distinct.count() // RANGE))
+        at = lambda d: rows.join(d.groupBy("key").agg(F.collect_list(F.struct("start", "length", "at", "anchor", "content", "copies")).alias("own")), "key").select(F.coalesce("text", F.lit("")).alias("text"), "own")
+        pieces = at(distinct.join(big, "anchor", "left_anti")).mapInArrow(_pieces(ranges), PIECE)
+        found = stored(pieces.repartitionByRange(ranges, "range").groupBy("range").applyInPandas(_merged, FOUND), "found")
+        if not big.isEmpty():
+            windows = stored(at(distinct.join(big, "anchor", "left_semi")).mapInArrow(_windows, WINDOWS), "windows")
+            often = windows.groupBy("bytes").agg(F.sum("copies").alias("n")).where("n > 1").select("bytes")
+            more = windows.join(often, "bytes").groupBy("anchor", "content").agg(F.collect_set("j").alias("froms"))
+            found = found.unionByName(more.select("anchor", "content", "froms", F.transform("froms", lambda j: j + WINDOW).alias("tos")))
+        # what repeats of a run goes wherever the run stands
+        held = attached(dups.select("key", "start", "anchor", "content"), found.join(distinct.select("anchor", "content", "copies"), ["anchor", "content"]), ["anchor", "content"], "copies", total)
+        gone = held.select("key", "start", F.inline(F.arrays_zip("froms", "tos"))).select("key", (F.col("start") + F.col("froms")).alias("a"), (F.col("start") + F.col("tos")).alias("b"))
+        united = "key binary, n_removed long, n_spans long, froms array<int>, tos array<int>"
+        lists = lambda df, *by: df.groupBy("key", *by).agg(F.collect_list(F.struct("a", "b")).alias("own")).select("key", F.col("own.a").alias("froms"), F.col("own.b").alias("tos")).mapInPandas(_joined, united)
+        parts = lists(gone, F.floor(F.col("a") / ROW_BYTES)).select("key", F.inline(F.arrays_zip(F.col("froms").alias("a"), F.col("tos").alias("b"))))
+        return report, keep(stored(lists(parts), "gone"))
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
-    anchored, gone = spans(rows)
-    short = anchored.select("doc_id", "key", "n_bytes", "sha").join(gone.select("key", "n_removed", "n_spans"), "key", "left")
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.coalesce("text", F.lit("")))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "text")
+    texts, gone = spans(rows)
+    short = texts.join(gone.select("key", "n_removed", "n_spans"), "key", "left")
     done = short.where("n_removed is null or n_removed = n_bytes").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.when(F.col("n_removed").isNull(), F.col("sha")).otherwise(_EMPTY).alias("kept_sha256"))
     # only texts of which a part stays are read again
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")

@@ -2,41 +2,69 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and
 all but the last return the columns of ``documents``. ``run`` applies them in turn;
-what a stage returns is written as Parquet to the shared folder and read again.
+what a stage returns is written as Parquet to the shared folder and read again. As a
+stage's result is written before the next one starts, each stage first deletes the tables
+that the one before it had left in the shared folder.
 """
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from attestra.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier
-from attestra.llm.common import session, stored, table
+from attestra.llm.common import deleted, left_by, session, stored, table
+
+#: Folders that the plan of the last stage's result reads.
+_left: list[str] = []
+
+
+def stage(first: bool = False) -> Callable:
+    """first: nothing goes before it starts, as another run's result may still be read."""
+
+    def of(f: Callable[[SparkSession, DataFrame, str], DataFrame]):
+        @wraps(f)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            if not first:
+                deleted(session(spark), _left)
+            _left.clear()
+            with left_by() as folders:
+                out = f(session(spark), docs, sf_dir)
+            _left.extend(folders)
+            return out
+
+        return run_stage
+
+    return of
 
 
+@stage(first=True)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled rows that aren't held out."""
     return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+@stage()
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts (A-Z lower-cased) the one with the largest doc_id stays."""
-    session(spark)
     return exact_dedup.deduplicated(docs)
 
 
+@stage()
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    session(spark)
     return near_dedup.deduplicated(docs)
 
 
+@stage()
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: not at all, or one to three times."""
-    session(spark)
     return mixing.mixed(docs)
 
 
+@stage()
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows with their place in a training sequence."""
-    session(spark)
     return packing.best_fit(docs)
 
 
@@ -49,6 +77,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    for name, f in STAGES[:-1]:
+        before, docs = docs, stored(f(spark, docs, sf_dir), f"stage-{name}", listed=False)
+        deleted(spark, [before._folder] if hasattr(before, "_folder") else [])
+    return stored(STAGES[-1][1](spark, docs, sf_dir), "stage-result", listed=False)

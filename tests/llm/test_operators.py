@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,10 +13,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from attestra.llm import dom, exact_dedup, html_extraction, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, tokens
+from attestra.llm import dom, exact_dedup, graphs, html_extraction, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, label string, rank int, count int, a int, digest string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, label string, rank int, count int, a int, digest string, _h int, _lines int, _gone int, gone int, _pd int, _copies int, copies int, row int, own int, `id` int, `tie` int"
 
 
 def lower(s):
@@ -37,7 +38,12 @@ def make_rows():
     texts.append(say(30_000))
     rows = []
     for i, t in enumerate(texts):
-        rows.append((i * 3 + 1, t, None if i % 9 == 4 else "en", None if i % 7 == 3 else f"s{i % 11}", None, "k", i, "l", i, i, i, "d"))
+        rows.append((i * 3 + 1, t, None if i % 9 == 4 else "en", None if i % 7 == 3 else f"s{i % 11}", None, "k", i, "l", i, i, i, "d", *[i] * 11))
+    # two letters in the order of the Thue-Morse sequence and its opposite: polynomial hashes modulo powers of two can't tell them apart
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    for i, t in enumerate([one, two, one + "\n" + two, f"{one} x y {two} x y"]):
+        rows.append((9001 + i, t, "en", "s1", None, "k", i, "l", i, i, i, "d", *[i] * 11))
     rows.append(rows[11])  # a repeated row
     return rows
 
@@ -50,6 +56,12 @@ def docs(spark):
     return spark.createDataFrame(ROWS, SCHEMA).repartition(5)
 
 
+@pytest.fixture(scope="module")
+def nameless(spark):
+    """No row has an id; copies, near copies and equal sizes among them."""
+    return spark.createDataFrame([(None, *r[1:]) for r in ROWS], SCHEMA).repartition(5)
+
+
 @pytest.fixture(scope="module")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
@@ -62,7 +74,7 @@ def by_id(df):
     return out
 
 
-def test_exact_dedup(docs, empty):
+def test_exact_dedup(docs, empty, nameless):
     got = by_id(exact_dedup.exact_dedup(docs))
     groups = defaultdict(list)
     for r in ROWS:
@@ -75,6 +87,8 @@ def test_exact_dedup(docs, empty):
     left = exact_dedup.deduplicated(docs)
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == sorted(max(g) for g in groups.values())
+    assert sorted(lower(r.text or "") for r in exact_dedup.deduplicated(nameless).collect()) == sorted(groups)
+    assert {(r.keep_id, r.kept) for r in exact_dedup.exact_dedup(nameless).collect()} == {(None, True)}
     assert exact_dedup.exact_dedup(empty).count() == 0 == exact_dedup.deduplicated(empty).count()
 
 
@@ -109,10 +123,22 @@ def test_suffix_dedup(docs, empty):
 
 def test_suffix_dedup_of_anchors_with_many_runs(docs, monkeypatch):
     plain = sorted(map(tuple, suffix_dedup.suffix_dedup(docs).collect()))
-    monkeypatch.setattr(suffix_dedup, "GROUP", 1)
+    for name, value in (("GROUP", 1), ("FEW", 0), ("ROW_RUNS", 3), ("ROW_BYTES", 50)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+        if name != "FEW":
+            assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs).collect())) == plain
+    monkeypatch.setattr(suffix_dedup, "GROUP", 20_000)
     assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs).collect())) == plain
 
 
+def test_anchors_of_a_text_are_the_same_beside_long_texts():
+    rng = np.random.RandomState(1)
+    short, long = rng.randint(97, 100, 3000).astype(np.uint8), rng.randint(97, 100, 3_000_000).astype(np.uint8)
+    own = suffix_dedup.runs(short, np.array([0, len(short)]))
+    both = suffix_dedup.runs(np.concatenate([long, short]), np.array([0, len(long), len(long) + len(short)]))
+    assert [both[k][both["doc"] == 1].tolist() for k in ("start", "length", "at", "anchor")] == [own[k].tolist() for k in ("start", "length", "at", "anchor")]
+
+
 def test_the_loser_tree_merges_in_order_with_common_prefixes():
     rng = random.Random(3)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 14))) for _ in range(2000)]
@@ -158,7 +184,7 @@ def test_rounds_place_all_and_waste_little():
     assert n <= 1.02 * sum(k * v for k, v in counts.items()) / 2048 + 1
 
 
-def test_mixing(docs, empty):
+def test_mixing(docs, empty, nameless):
     rows = mixing.balanced(docs).collect()
     size = lambda t: len(WORD.findall(t or ""))
     total = Counter()
@@ -185,10 +211,39 @@ def test_mixing(docs, empty):
     assert sorted(map(tuple, mixing.balanced(docs).collect())) == sorted(map(tuple, rows))
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and out.count() == sum(x.copies for x in rows)
+    counts = Counter((r.doc_id, r.source, size(r.text)) for r in out.collect())
+    given = Counter()
+    for x in rows:
+        given[x.doc_id, x.source, x.size] += x.copies
+    assert counts == +given
+    unnamed = mixing.balanced(nameless).collect()
+    assert all(x.target == pytest.approx(aim[x.source]) for x in unnamed) and mixing.mixed(nameless).count() == sum(x.copies for x in unnamed)
     assert mixing.mix(empty).count() == 0 == mixing.mixed(empty).count()
 
 
-def test_near_dedup(docs, empty):
+def test_running_sums_are_those_of_one_sorted_pass(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, "a", "b"]), i, rng.randint(0, 9)) for i in range(500)]
+    rng.shuffle(rows)
+    got = mixing.running(spark.createDataFrame(rows, "g string, o int, v long"), ["g"], [mixing.F.col("o")], ["v"]).collect()
+    assert len(got) == 500 and all(r.before_v == sum(v for g, o, v in rows if g == r.g and o < r.o) for r in got)
+
+
+def test_a_solve_that_does_not_end_is_an_error(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "PASSES", 1)
+    with pytest.raises(RuntimeError):
+        mixing.balanced(docs)
+
+
+def test_components_of_a_long_chain(spark, monkeypatch):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (901, 900)], "a long, b long")
+    assert {r.node: r.label for r in graphs.components(chain).collect()} == {i: 0 for i in range(201)} | {900: 900, 901: 900}
+    monkeypatch.setattr(graphs, "ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        graphs.components(chain)
+
+
+def test_near_dedup(docs, empty, nameless):
     sets = {}
     for r in ROWS:
         w = WORD.findall(lower(r[1] or ""))
@@ -212,6 +267,9 @@ def test_near_dedup(docs, empty):
             assert (x.n_shingles, x.component_id, x.kept) == (len(s), find(i), find(i) == i)
     left = near_dedup.deduplicated(docs)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {find(i) for i in sets}
+    wordless = sum(not sets[r[0]] for r in ROWS)
+    assert near_dedup.deduplicated(nameless).count() == len({find(i) for i in sets if sets[i]}) + wordless
+    assert near_dedup.deduplicated(nameless.unionByName(docs)).count() == left.count() + wordless
     assert near_dedup.near_dedup(empty).count() == 0
 
 
@@ -221,7 +279,7 @@ def test_estimates_come_near_the_similarity():
     for share in (0.2, 0.5, 0.8, 0.95):
         k = int(2000 * share)
         a, b = x[:2000], np.concatenate([x[:k], x[2000 : 4000 - k]])
-        r = near_dedup.registers([np.unique(a), np.unique(b)]).astype(int)
+        r = near_dedup.registers([np.stack([np.unique(v)] * 2, axis=1) for v in (a, b)]).astype(int)
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         e, above = (r[0] == r[1]).sum(), (r[0] > r[1]).sum()
         found = near_dedup.likeliest(*(np.array([float(v)]) for v in (e, above, 128 - e - above, 2000, 2000)))[0]
@@ -231,12 +289,28 @@ def test_estimates_come_near_the_similarity():
 def test_a_link_at_the_threshold_with_an_unlucky_estimate_is_found():
     """Two sets of 90 that share 80 of 100 elements; the registers agree in 82 of 128 places, so the estimate is 0.64."""
     x = np.random.RandomState(4).randint(0, 1 << 62, (3000, 100), dtype=np.int64).astype(np.uint64)[1986]
-    sets = [np.sort(x[:90]), np.sort(np.concatenate([x[:80], x[90:]]))]
+    sets = [np.stack([v, v], axis=1) for v in (np.sort(x[:90]), np.sort(np.concatenate([x[:80], x[90:]])))]
     r = near_dedup.registers(sets)
     bands = np.flatnonzero((r.view(np.uint64)[0] == r.view(np.uint64)[1]))
-    assert (r[0] == r[1]).sum() == 82 and len(bands) and near_dedup.similar(*sets)
-    unit = {"key": 1, "lane": 0, "block": 0, "band": bands[0], "node": [1, 2], "label": [1, 2], "n": 90, "registers": [v.tobytes() for v in r], "shingles": [v.tobytes() for v in sets], "stray": [False, True], "whole": True}
-    assert near_dedup._linked_across(pd.DataFrame(unit)).values.tolist() == [[2, 1]]
+    assert (r[0] == r[1]).sum() == 82 and len(bands) and near_dedup.similar(*(s.tobytes() for s in sets))
+    unit = pd.DataFrame({"key": 1, "lane": 0, "block": 0, "band": bands[0], "node": [1, 2], "label": [1, 2], "n": 90, "registers": [v.tobytes() for v in r], "shingles": [v.tobytes() for v in sets], "stray": [False, True], "whole": True})
+    assert near_dedup._partnered(unit)["node"].tolist() == [1, 2]
+    assert near_dedup._linked_across(unit).values.tolist() == [[2, 1]]
+
+
+def test_pairs_at_the_threshold_meet_in_a_bucket_and_pass_the_gate():
+    """Recall against all pairs, measured on sets of 5 to 200 shingles with a similarity of 0.8 or a little more."""
+    rng = np.random.RandomState(9)
+    met = total = 0
+    for n in (5, 9, 18, 45, 90, 180):
+        for _ in range(60):
+            x = rng.randint(0, 1 << 62, 2 * n, dtype=np.int64).astype(np.uint64)
+            k = -(-8 * n // 9)  # k shared of n each: k / (2 n - k) >= 0.8
+            r = near_dedup.registers([np.stack([v, v], axis=1) for v in (np.sort(x[:n]), np.sort(np.concatenate([x[:k], x[n : 2 * n - k]])))])
+            shared = (r.view(np.uint64)[0] == r.view(np.uint64)[1]).any()
+            met += bool(shared and near_dedup.likely(r[:1], r[1:], np.array([n]), np.array([n]))[0])
+            total += 1
+    assert met == total == 360
 
 
 def test_gates_before_the_full_sets_lose_less_than_the_bands():
@@ -264,9 +338,21 @@ def test_common_lines_of_a_host_are_removed_and_depleted_texts_rejected(spark):
     body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
     common = " ".join(f"c{k}" for k in range(60))
     rows = [(i, f"{common}\n{body(i)}", "h") for i in range(8)] + [(100, f"{common}\nown words", "h"), (101, f"{common}\nother words", "g")] + [(200 + i, common + "\nsame copy", "copies") for i in range(9)]
-    got = by_id(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), limit=5))
+    rows += [(300, common + "\nof one id", "one")] * 9 + [(None, common + "\nof no id", "none")] * 9 + [(None, f"{common}\nno id {i}", "many") for i in range(9)] + [(400 + i, common, None) for i in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = by_id(quality_rules.quality_rules(frame, limit=5))
     assert all(got[i][0].kept and got[i][0].n_kept_words == 60 for i in range(8))
-    assert not got[100][0].kept and got[101][0].kept and all(got[200 + i][0].kept for i in range(9))
+    assert not got[100][0].kept and got[101][0].kept
+    assert not any(got[200 + i][0].kept or got[400 + i][0].kept for i in range(9))  # distinct documents count, copies among them
+    assert len(got[300]) == 9 and all(x.kept for x in got[300])  # rows of one id are one document
+    assert sorted(x.kept for x in got[None]) == [False] * 9 + [True] * 9
+    # the whole of it by hand
+    held = defaultdict(set)
+    for d, t, h in rows:
+        for x in set(t.split("\n")):
+            held[h, x].add(t if d is None else d)
+    for r, (d, t, h) in zip(sorted(map(tuple, quality_rules.quality_rules(frame, limit=5).select("n_kept_words", "n_words").collect())), sorted((sum(len(x.split()) for x in set(t.split("\n")) if len(held[h, x]) <= 5), len(t.split()), 0) for d, t, h in rows)):
+        assert r == (d, t)
 
 
 def test_line_dedup(docs, empty):
@@ -298,6 +384,30 @@ def test_quality_classifier_separates_held_out_rows(spark):
     assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) >= 0.98
 
 
+def test_compiled_rules_score_as_a_plain_evaluation(docs):
+    frame = docs.select(quality_classifier.F.struct("doc_id").alias("row"), "text")
+    rules = quality_classifier.Rules(-0.4, [((("words", ">", 4.5), ("word_length", "<=", 6.0)), 1.25), ((("distinct_share", "<=", 0.9),), -0.5), ((("symbol_share", ">", 0.0), ("lines_share", ">", 0.0)), 2.0), ((("stop_share", "<=", 0.01), ("upper_share", ">", 0.5)), -1.5)])
+    rows = quality_classifier.measured(frame).withColumn("score", rules.score()).collect()
+    texts = {r[0]: r[1] or "" for r in ROWS}
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        t = texts[r.row.doc_id]
+        w, n = WORD.findall(t), max(1, len(WORD.findall(t)))
+        count = lambda chars: sum(c in chars for c in t)
+        own = {"words": len(w), "word_length": len(t) / n, "distinct_share": len(set(w)) / n, "symbol_share": count("#*$%&<>@~^=_\\") / max(1, len(t)), "bar_share": count("|") / n, "shout_share": count("!") / n, "upper_share": sum("A" <= c <= "Z" for c in t) / max(1, len(t)), "digit_share": sum("0" <= c <= "9" for c in t) / max(1, len(t)), "stop_share": count(".?") / n, "lines_share": count("\n") / n}
+        assert own == pytest.approx({k: r[k] for k in own})
+        total = -0.4
+        for rule, weight in rules.weighted:
+            if all(own[name] <= limit if sign == "<=" else own[name] > limit for name, sign, limit in rule):
+                total += weight
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_rules_are_the_paths_of_the_trees():
+    tree = "RandomForest\n  Tree 0 (weight 1.0):\n    If (feature 2 <= 0.5)\n     If (feature 0 <= 3.0)\n      Predict: 0.0\n     Else (feature 0 > 3.0)\n      Predict: 1.0\n    Else (feature 2 > 0.5)\n     Predict: 1.0\n"
+    assert set(quality_classifier.paths(tree)) == {(("2", "<=", 0.5),), (("0", "<=", 3.0), ("2", "<=", 0.5)), (("0", ">", 3.0), ("2", "<=", 0.5)), (("2", ">", 0.5),)}
+
+
 def test_quality_classifier_of_odd_tables(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality_classifier.classified(docs, none).collect()} == {0.5}
@@ -332,6 +442,45 @@ def test_the_field_learns_composed_pages():
     assert wrong / total < 0.01
 
 
+def test_viterbi_finds_the_likeliest_of_all_label_sequences():
+    rng = np.random.RandomState(6)
+    for n in (1, 2, 3, 7, 9):
+        for _ in range(20):
+            field = html_extraction.Field(rng.normal(size=12), rng.normal(size=(2, 2)))
+            rows = [rng.choice(12, rng.randint(1, 5), replace=False).tolist() for _ in range(n)]
+            value = lambda y: sum(field.weights[r].sum() for r, v in zip(rows, y) if v) + sum(field.pairs[a, b] for a, b in zip(y, y[1:]))
+            best = max(([k >> i & 1 for i in range(n)] for k in range(1 << n)), key=value)
+            assert field.decode(rows) == best
+    assert html_extraction.Field(np.zeros(3), np.zeros((2, 2))).decode([]) == []
+
+
+def test_training_raises_the_likelihood_to_its_maximum():
+    """The gradient, worked out over all label sequences, is that of the penalty where the training ends."""
+    rng = np.random.RandomState(3)
+    pages = [[rng.choice(6, 2, replace=False).tolist() for _ in range(n)] for n in (1, 2, 4, 5, 3, 4)]
+    labels = [rng.randint(0, 2, len(p)).tolist() for p in pages]
+    field = html_extraction.train(pages, labels, steps=3000)
+    grad, pairs = np.zeros(len(field.weights)), np.zeros((2, 2))
+    for page, own in zip(pages, labels):
+        every = [[k >> i & 1 for i in range(len(page))] for k in range(1 << len(page))]
+        value = np.array([sum(field.weights[r].sum() for r, v in zip(page, y) if v) + sum(field.pairs[a, b] for a, b in zip(y, y[1:])) for y in every])
+        p = np.exp(value - value.max())
+        for y, share in [*zip(every, -p / p.sum()), (own, 1.0)]:
+            for r, v in zip(page, y):
+                grad[r] += share * v
+            for a, b in zip(y, y[1:]):
+                pairs[a, b] += share
+    assert np.allclose(grad / len(pages), html_extraction.RIDGE * field.weights / 10, atol=3e-3) and np.allclose(pairs / len(pages), html_extraction.RIDGE * field.pairs / 10, atol=3e-3)
+
+
+@pytest.mark.parametrize("page", ["<a " * 1_700_000, "<div>x" * 300_000 + "x" * 3_000_000, "<a \"x' " * 700_000 + ">", "<div>" * 400_000 + "</span>" * 400_000, "<b><div>" + "<i>x" * 500_000 + "</b>" * 500_000, "<!" * 2_500_000, "<script>a</script " * 250_000, "word " * 1_000_000], ids=range(8))
+def test_long_pages_of_hostile_markup_take_linear_time(page):
+    began = time.process_time()
+    parts = html_extraction.leaves(page)
+    assert len(html_extraction.features(parts)) == len(parts)
+    assert time.process_time() - began < 40
+
+
 def test_blocks_of_broken_pages():
     text = lambda page: [b.text for b in dom.blocks(page)]
     assert text("<p>a<p>b</div>c<b>d") == ["a", "b", "cd"]
