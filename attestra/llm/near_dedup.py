@@ -54,7 +54,9 @@ LINK, FLOOR = 80, 0.58
 #: Share of equal registers that a pair must have for its similarity to be estimated: six standard errors below 0.8.
 EQUAL = 0.58
 #: Weight of the nodes of a block of a bucket, on average; a node weighs its shingles and NODE.
-BLOCK, NODE = 1_000_000, 64
+BLOCK, NODE = 500_000, 64
+#: Pairs of a block whose sketches are compared at once.
+BATCH = 100_000
 #: Ids are broadcast up to this measured number (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Nodes of rows without doc_id lie above all ids.
@@ -180,8 +182,8 @@ def _likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield x.loc[likely(r, s, x["m"].to_numpy(), x["n"].to_numpy()), ["a", "b", "votes"]]
 
 
-def _met(unit: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """Each stray of each block with its likely partners in other components; only in the first band that a pair shares.
+def _met(unit: pd.DataFrame) -> Iterator[list[list[int]]]:
+    """Strays of each block with their likely partners in other components, as (stray, partner) in batches; only in the first band that a pair shares.
 
     ``unit`` holds whole blocks, sorted by them."""
     r = np.frombuffer(b"".join(unit["registers"]), np.uint16).reshape(len(unit), REGISTERS)
@@ -189,15 +191,28 @@ def _met(unit: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
     n, label, band, stray, whole = (unit[c].to_numpy() for c in ("n", "label", "band", "stray", "whole"))
     place = unit[PLACE].to_numpy()
     starts = np.append(np.flatnonzero(np.append(True, (place[1:] != place[:-1]).any(axis=1))), len(unit))
+    batch: list[np.ndarray] = []
+    size = 0
+
+    def sifted() -> list[list[int]]:
+        i, j = np.concatenate(batch).T
+        ok = likely(r[i], r[j], n[i], n[j])
+        batch.clear()
+        return np.stack([i[ok], j[ok]], axis=1).tolist()
+
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
         others = a + np.flatnonzero(whole[a:b])
         for i in (a + np.flatnonzero(stray[a:b])).tolist():
             may = others[(label[others] != label[i]) & (np.minimum(n[others], n[i]) * 100 >= LINK * np.maximum(n[others], n[i]))]
             may = may[(words[may] == words[i]).argmax(axis=1) == band[i]] if len(may) else may
             if len(may):
-                may = may[likely(np.broadcast_to(r[i], (len(may), REGISTERS)), r[may], np.full(len(may), n[i]), n[may])]
-            if len(may):
-                yield i, may
+                batch.append(np.stack([np.full(len(may), i), may], axis=1))
+                size += len(may)
+            if size > BATCH:
+                yield sifted()
+                size = 0
+    if batch:
+        yield sifted()
 
 
 PLACE = ["key", "lane", "block"]
@@ -207,8 +222,8 @@ def _partnered(unit: pd.DataFrame) -> pd.DataFrame:
     """The nodes of each block that have a likely partner in it."""
     unit = unit.sort_values(PLACE, ignore_index=True)
     found = np.zeros(len(unit), bool)
-    for i, may in _met(unit):
-        found[i] = found[may] = True
+    for pairs in _met(unit):
+        found[np.array(pairs, np.int64).ravel()] = True
     return unit.loc[found, [*PLACE, "node"]].drop_duplicates()
 
 
@@ -224,8 +239,8 @@ def _linked_across(unit: pd.DataFrame) -> pd.DataFrame:
         return x
 
     links = []
-    for i, may in _met(unit):
-        for j in may.tolist():
+    for pairs in _met(unit):
+        for i, j in pairs:
             p, q = root(label[i]), root(label[j])
             if p != q and similar(sets[i], sets[j]):
                 union[max(p, q)] = min(p, q)
