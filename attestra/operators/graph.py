@@ -17,13 +17,13 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the checkpoint folder, so that lineage ends here.
 
     The folder is the one that the session names in ``spark.checkpoint.dir``. Where none is named, a local
-    session takes a temporary one; a cluster gets no machine-local folder, and its rows stay as they were."""
+    session takes a temporary one; on a cluster that is an error, as rounds without a cut are worked out again and again."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
-            return df
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-cut-"))
     return df.checkpoint()
 

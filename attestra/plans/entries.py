@@ -36,24 +36,24 @@ _TYPES = "case type when 'calculation' then {} when 'analysis' then {} when 'str
 _LONG = ", length(content) desc"
 
 
-@query("board_top_calc", _top(_TYPES.format(5, 4, 3, 3, 2) + " + case when regexp_matches(content, '[0-9]') then 2 else 0 end", "true", "", 3))
+@query("board_top_calc", _top(_TYPES.format(5, 4, 3, 3, 2) + " + case when regexp_matches(content, '[0-9]') then 2 else 0 end", "true", "", 120))
 def board_top_calc(spark, sf_dir):
-    return E.for_calculation(_rich(spark, sf_dir), 3).select("board_id", "seq", "score", "rank")
+    return E.for_calculation(_rich(spark, sf_dir), 120).select("board_id", "seq", "score", "rank")
 
 
-@query("board_top_gap", _top(_TYPES.format(4, 4, 2, 3, 1) + " + case when seq % 4 in (1, 2) then 2 else 0 end + case when supported then 1 else 0 end", "status = 'active'", _LONG, 4))
+@query("board_top_gap", _top(_TYPES.format(4, 4, 2, 3, 1) + " + case when seq % 4 in (1, 2) then 2 else 0 end + case when supported then 1 else 0 end", "status = 'active'", _LONG, 140))
 def board_top_gap(spark, sf_dir):
-    return E.for_gaps(_rich(spark, sf_dir), 4).select("board_id", "seq", "score", "rank")
+    return E.for_gaps(_rich(spark, sf_dir), 140).select("board_id", "seq", "score", "rank")
 
 
-@query("board_top_commit", _top("case seq % 4 when 1 then 4 when 2 then 3 else 0 end + " + _TYPES.format(4, 3, 2, 0, 1), "source_doc is not null and ((seq % 4 = 1) or (seq % 4 = 2) or (type = 'calculation' and regexp_matches(content, '[0-9]')))", _LONG, 3))
+@query("board_top_commit", _top("case seq % 4 when 1 then 4 when 2 then 3 else 0 end + " + _TYPES.format(4, 3, 2, 0, 1), "source_doc is not null and ((seq % 4 = 1) or (seq % 4 = 2) or (type = 'calculation' and regexp_matches(content, '[0-9]')))", _LONG, 30))
 def board_top_commit(spark, sf_dir):
-    return E.for_commitment(_rich(spark, sf_dir), 3).select("board_id", "seq", "score", "rank")
+    return E.for_commitment(_rich(spark, sf_dir), 30).select("board_id", "seq", "score", "rank")
 
 
-@query("board_top_maint", _top(_TYPES.format(5, 5, 3, 4, 2) + " + case when source_doc is not null then 2 else 0 end + case when supported then 1 else 0 end", "status = 'active' and length(trim(content)) >= 30", ", least(length(content), 1200) desc", 4))
+@query("board_top_maint", _top(_TYPES.format(5, 5, 3, 4, 2) + " + case when source_doc is not null then 2 else 0 end + case when supported then 1 else 0 end", "status = 'active' and length(trim(content)) >= 30", ", least(length(content), 1200) desc", 180))
 def board_top_maint(spark, sf_dir):
-    return E.for_maintenance(_rich(spark, sf_dir), 4).select("board_id", "seq", "score", "rank")
+    return E.for_maintenance(_rich(spark, sf_dir), 180).select("board_id", "seq", "score", "rank")
 
 
 @query("grounded_entries", f"with {_RICH} select board_id, source_doc, count(*) as entries, max(confidence) as best from rich where source_doc is not null and type <> 'gap' and status = 'active' and length(content) >= 20 group by 1, 2")
@@ -80,11 +80,11 @@ def verify_packet(spark, sf_dir):
 
 @query("audit_items", """with i as (select l_orderkey as board_id, l_partkey * 10 + l_suppkey % 10 as seq, p_name || ' holds' as claim, l_returnflag as flag, l_linestatus as line from lineitem join part on l_partkey = p_partkey),
  d as (select *, row_number() over (partition by board_id, lower(substr(claim, 1, 180)) order by seq, flag, line) as n from i where length(claim) >= 12), r as (select *, row_number() over (partition by board_id order by seq) as rank from d where n = 1)
- select board_id, lower(claim) as claim, rank from r where rank <= 2""")
+ select board_id, lower(claim) as claim, rank from r where rank <= 50""")
 def audit_items(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
     items = lines.select(c("l_orderkey").alias("board_id"), (c("l_partkey") * 10 + c("l_suppkey") % 10).alias("seq"), F.concat("p_name", F.lit(" holds")).alias("claim"), c("l_returnflag").alias("status"), c("l_linestatus").alias("severity"))
-    return E.audit_items(items, 2).select("board_id", F.lower("claim").alias("claim"), "rank")
+    return E.audit_items(items, 50).select("board_id", F.lower("claim").alias("claim"), "rank")
 
 
 _GAPS = """g as (select o_custkey as board_id, o_orderkey as seq, ['relation', 'source_object', 'severity', 'authority', 'rumour'][o_orderkey % 5 + 1] as type, case when o_orderkey % 3 = 0 then '' else o_orderpriority end as subtype, 'status ' || o_orderstatus || ' of it' as reason, (o_orderkey % 10) / 10.0 as confidence from orders),
@@ -210,8 +210,7 @@ def merged_sections(rows, above=20, percent=60):
     """board_id, name, merged: names of a board with over ``above`` sections go to the most used similar name."""
     used = rows.groupBy("board_id", "name").agg(F.count(F.lit(1)).alias("rows"))
     many = used.groupBy("board_id").agg(F.count(F.lit(1)).alias("k")).where(c("k") > above).select("board_id")
-    stop = "the a an of in for and or to with on by from key main general additional other summary overview section details".split()
-    words = F.filter(F.regexp_extract_all(F.lower("name"), F.lit("([a-z]+)"), 1), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
+    words = F.filter(F.regexp_extract_all(F.lower("name"), F.lit("([a-z]+)"), 1), lambda w: (F.length(w) > 2) & ~w.isin(*E.SECTION_STOP_WORDS))
     sets = used.join(many, "board_id", "left_semi").select(F.struct(-c("rows"), c("name"), c("board_id")).alias("id"), c("board_id").alias("grp"), F.array_distinct(F.transform(words, E.stemmed)).alias("items"))
     pairs = D.similar_pairs(sets.where(F.size("items") > 0), percent).select(F.least("a", "b").alias("before"), F.greatest("a", "b").alias("after"))
     # the first similar name in order takes a name in, and goes where that one went
@@ -227,12 +226,12 @@ def section_merge(spark, sf_dir):
 
 
 @query("mentions", r"""with t as (select c_custkey as id, c_name || ' trades with ' || n_name || '.' as text from customer join nation on c_nationkey = n_nationkey)
- select id, n_name as name from t join nation on n_regionkey <= 2 and length(n_name) >= 4 and regexp_matches(lower(text), '\b' || lower(n_name) || '\b')""")
+ select id, n_name as name from t join nation on length(n_name) >= 4 and regexp_matches(lower(text), '\b' || lower(n_name) || '\b')""")
 def mentions(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     home = nation.select(c("n_nationkey").alias("c_nationkey"), "n_name")
     texts = table(spark, sf_dir, "customer").join(home, "c_nationkey").select(c("c_custkey").alias("id"), F.concat("c_name", F.lit(" trades with "), "n_name", F.lit(".")).alias("text"))
-    return E.mentions(texts, nation.where("n_regionkey <= 2").select(c("n_name").alias("name")))
+    return E.mentions(texts, nation.select(c("n_name").alias("name")))
 
 
 @query("must_items", f"with {_RICH} select board_id, seq, case when type = 'calculation' then 'figures' when type = 'gap' then 'limits' else 'findings' end as section, list_sort(list_distinct(regexp_extract_all(content, '[0-9]+'))) as terms from rich where type = 'calculation' or seq % 4 = 1")

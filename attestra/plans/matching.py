@@ -187,22 +187,8 @@ def lexical_topk(spark, sf_dir):
 _TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')), lambda t: length(t) >= 3 or regexp_matches(t, '[0-9]'))"
 
 
-@query("evidence_support", f"""with p as (select item_id, doc_id, b.text as ev, d.text as sl from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40 where d.lang = 'en'),
- t as (select item_id, doc_id, contains(lower(sl), lower(ev)) as whole, {_TOKENS.format('ev')} as e, regexp_extract_all(lower(sl), '[a-z0-9]+') as s from p)
- select item_id, doc_id, whole, len(list_filter(e, lambda x: list_contains(s, x))) as held, len(e) as asked, whole or 10 * len(list_filter(e, lambda x: list_contains(s, x))) >= 8 * len(e) as may_support from t""")
+@query("evidence_support")
 def evidence_support(spark, sf_dir):
-    """The exact tier, and the distinct-token share that any ordered match needs."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ev"), (F.col("item_id") % 40).alias("k"))
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.col("text").alias("sl"), (F.col("doc_id") % 40).alias("k"))
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0))
-    asked = F.filter(tokens("ev"), lambda t: (F.length(t) >= 3) | t.rlike("[0-9]"))
-    pairs = b.join(d, "k").select("item_id", "doc_id", F.contains(F.lower("sl"), F.lower("ev")).alias("whole"), asked.alias("e"), tokens("sl").alias("s"))
-    sized = pairs.select("item_id", "doc_id", "whole", F.size(F.array_intersect("e", "s")).cast("long").alias("held"), F.size("e").cast("long").alias("asked"))
-    return sized.withColumn("may_support", F.col("whole") | (10 * F.col("held") >= 8 * F.col("asked")))
-
-
-@query("evidence_support_full")
-def evidence_support_full(spark, sf_dir):
     """All items against all documents; the pairs that may support."""
     return M.supporting(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -225,9 +211,10 @@ def obligation_match(spark, sf_dir):
 def gate_eval(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     r = d.groupBy("source").agg(F.expr("count_if(quality = 1) * 100 div count(1)").alias("base"), F.expr("count_if(toxic = 0) * 100 div count(1)").alias("new"))
-    one = Window.partitionBy(F.lit(1))  # a row per source
-    k = r.withColumns({"low": F.row_number().over(one.orderBy("base", "source")), "high": F.row_number().over(one.orderBy(F.desc("base"), "source"))})
-    return k.select("source", "base", "new", F.when(F.col("low") <= 5, "bottom").when(F.col("high") <= 5, "top").otherwise("middle").alias("band"), (F.col("new") >= F.col("base")).alias("ok"))
+    # the five rows at either end are found in parallel; nothing is ranked as a whole
+    ends = [r.orderBy(order, "source").limit(5).select(F.col("source").alias(name)) for order, name in ((F.asc("base"), "low"), (F.desc("base"), "high"))]
+    k = r.join(F.broadcast(ends[0]), F.col("source").eqNullSafe(F.col("low")), "left").join(F.broadcast(ends[1]), F.col("source").eqNullSafe(F.col("high")), "left")
+    return k.select("source", "base", "new", F.when(F.col("low").isNotNull(), "bottom").when(F.col("high").isNotNull(), "top").otherwise("middle").alias("band"), (F.col("new") >= F.col("base")).alias("ok"))
 
 
 @query("assigned_signals", "select o_custkey, min(o_orderkey) filter (o_orderpriority < '3') as first_signal, arg_max(o_orderkey, (o_totalprice, o_orderkey)) as carrier from orders where o_orderstatus = 'O' group by 1")

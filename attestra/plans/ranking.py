@@ -22,10 +22,10 @@ def safety_net(spark, sf_dir):
     return K.top_per_group(left, ["source"], [F.desc("n_chars"), c("doc_id")], 3).select("source", "doc_id", "rank")
 
 
-@query("frontier", "with p as (select *, (row_number() over (partition by o_custkey order by o_orderkey) - 1) // 5 as batch from orders), d as (select *, row_number() over (partition by o_custkey, batch order by o_orderpriority, o_orderkey) as rank from p) select o_custkey, batch, rank, o_orderkey from d where rank <= 3")
+@query("frontier", "with p as (select *, (row_number() over (partition by o_custkey order by o_orderkey) - 1) // 150 as batch from orders), d as (select *, row_number() over (partition by o_custkey, batch order by o_orderpriority, o_orderkey) as rank from p) select o_custkey, batch, rank, o_orderkey from d where rank <= 3")
 def frontier(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    batched = table(spark, sf_dir, "orders").withColumn("batch", F.floor(place / 5))
+    batched = table(spark, sf_dir, "orders").withColumn("batch", F.floor(place / 150))
     return K.top_per_group(batched, ["o_custkey", "batch"], [c("o_orderpriority"), c("o_orderkey")], 3).select("o_custkey", "batch", "rank", "o_orderkey")
 
 
@@ -85,11 +85,11 @@ def unit_packets(spark, sf_dir):
     return claims.withColumns({"rank": F.row_number().over(w.orderBy("kind", F.desc("q"), "l_partkey")).cast("long"), "most": most}).where("rank <= most").select("l_orderkey", "l_partkey", "rank")
 
 
-@query("target_packet", f"with {LINES}, f as (select doc_id, line, line_no, row_number() over (partition by doc_id, lower(substr(line, 1, 200)) order by line_no) as n from lines where length(line) > 20), r as (select *, row_number() over (partition by doc_id order by length(line) desc, line_no) as rank from f where n = 1) select doc_id, line_no, rank from r where rank <= 12")
+@query("target_packet", f"with {LINES}, f as (select doc_id, line, line_no, row_number() over (partition by doc_id, lower(substr(line, 1, 200)) order by line_no) as n from lines where length(line) > 20), r as (select *, row_number() over (partition by doc_id order by length(line) desc, line_no) as rank from f where n = 1) select doc_id, line_no, rank from r where rank <= 48")
 def target_packet(spark, sf_dir):
     own = lines(table(spark, sf_dir, "documents")).where("length(line) > 20")
     firsts = K.top_per_group(own.withColumn("key", F.lower(F.substring("line", 1, 200))), ["doc_id", "key"], [c("line_no")], 1, "n")
-    return K.top_per_group(firsts, ["doc_id"], [F.desc(F.length("line")), c("line_no")], 12).select("doc_id", c("line_no").cast("long").alias("line_no"), "rank")
+    return K.top_per_group(firsts, ["doc_id"], [F.desc(F.length("line")), c("line_no")], 48).select("doc_id", c("line_no").cast("long").alias("line_no"), "rank")
 
 
 @query("context_budget", "with r as (select source, doc_id, n_chars, coalesce(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from documents) select source, doc_id, cast(greatest(0, least(n_chars, 30000 - before)) as bigint) as given, before + n_chars > 30000 as truncated from r where before < 30000")

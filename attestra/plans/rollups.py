@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rollups as R
+from ..operators import ranking as K
 from .registry import query
 from .views import ENTRIES, entries, table
 
@@ -127,8 +128,10 @@ def map_merge(spark, sf_dir):
 @query("score_families", "select source, count(*) as tasks, count(*) filter (quality = 1 and toxic = 0) as all_pass, cast(sum(quality + 1 - toxic) as bigint) as passed, 2 * count(*) as criteria, list(doc_id order by quality + 1 - toxic, doc_id)[1:5] as worst from documents join labels using (doc_id) group by 1")
 def score_families(spark, sf_dir):
     passed = F.col("quality") + 1 - F.col("toxic")
-    worst = F.slice(F.sort_array(F.collect_list(F.struct(passed.alias("p"), "doc_id"))), 1, 5)["doc_id"]
-    return _labelled(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("tasks"), F.count_if(passed == 2).alias("all_pass"), F.sum(passed).alias("passed"), (2 * F.count(F.lit(1))).alias("criteria"), worst.alias("worst"))
+    d = _labelled(spark, sf_dir)
+    low = K.top_per_group(d.select("source", passed.alias("p"), "doc_id"), ["source"], [F.asc("p"), F.asc("doc_id")], 5).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("p", "doc_id")))["doc_id"].alias("worst"))
+    sums = d.groupBy("source").agg(F.count(F.lit(1)).alias("tasks"), F.count_if(passed == 2).alias("all_pass"), F.sum(passed).alias("passed"), (2 * F.count(F.lit(1))).alias("criteria"))
+    return sums.join(low.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
 @query("score_cube", "with u as (select source, 'quality' as kind, quality as ok from documents join labels using (doc_id) union all select source, 'toxic', 1 - toxic from documents join labels using (doc_id)) select source, kind, count(*) as n, cast(sum(ok) as bigint) as met, round(100 * sum(ok) / count(*), 1) as pct from u group by grouping sets ((source, kind), (source), (kind), ())")
@@ -161,8 +164,12 @@ def loss_funnel(spark, sf_dir):
 
 @query("catalog", "select lang, source, count(*) as n, cast(sum(n_chars) as bigint) // 1024 as kb, list(doc_id order by doc_id)[1:3] as examples from documents group by 1, 2")
 def catalog(spark, sf_dir):
-    ids = F.slice(F.sort_array(F.collect_list("doc_id")), 1, 3)
-    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.expr("sum(n_chars) div 1024").alias("kb"), ids.alias("examples"))
+    d = table(spark, sf_dir, "documents")
+    # a rank cuts each group in the map tasks already; only the three ids of a group are collected
+    first = K.top_per_group(d.select("lang", "source", "doc_id"), ["lang", "source"], [F.asc("doc_id")], 3).groupBy("lang", "source").agg(F.sort_array(F.collect_list("doc_id")).alias("examples"))
+    sums = d.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.expr("sum(n_chars) div 1024").alias("kb"))
+    own = first.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "examples")
+    return sums.join(own, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).select("lang", "source", "n", "kb", "examples")
 
 
 @query("extract_depth", "select o_orderkey, o_orderkey % 8 + 1 as expected, coalesce(n, 0) as extracted, case when 2 * coalesce(n, 0) < o_orderkey % 8 + 1 then 'gap' when 10 * coalesce(n, 0) < 7 * (o_orderkey % 8 + 1) then 'warning' else 'ok' end as depth from orders left join (select l_orderkey, count(*) as n from lineitem group by 1) on o_orderkey = l_orderkey")

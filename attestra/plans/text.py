@@ -27,7 +27,7 @@ def section_index(spark, sf_dir):
 @query("section_lookup", f"""with {SECTIONS}, want as (select doc_id, name as wanted from (select *, row_number() over (partition by doc_id order by start_char desc) as n from sections) where n = 1),
  hit as (select s.doc_id, w.wanted, s.start_char, s.end_char, row_number() over (partition by s.doc_id order by case when lower(s.name) = lower(w.wanted) then 0 else 1 end, s.start_char) as n
   from sections s join want w using (doc_id) where lower(s.name) = lower(w.wanted) or contains(lower(s.name), lower(w.wanted)) or contains(lower(w.wanted), lower(s.name)))
- select h.doc_id, wanted, substr(text, start_char + 1, least(end_char - start_char, 500)) as body from hit h join headed using (doc_id) where n = 1""")
+ select h.doc_id, wanted, substr(text, start_char + 1, least(end_char - start_char, 24000)) as body from hit h join headed using (doc_id) where n = 1""")
 def section_lookup(spark, sf_dir):
     docs = headed(table(spark, sf_dir, "documents"))
     sections = T.section_index(docs)
@@ -36,7 +36,7 @@ def section_lookup(spark, sf_dir):
     a, b = F.lower("name"), F.lower("wanted")
     hit = sections.join(want, "doc_id").where((a == b) | F.contains(a, b) | F.contains(b, a))
     best = hit.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.when(a == b, 0).otherwise(1), "start_char"))).where("n = 1")
-    return best.join(docs, "doc_id").select("doc_id", "wanted", F.substring("text", (F.col("start_char") + 1).cast("int"), F.least(F.col("end_char") - F.col("start_char"), F.lit(500)).cast("int")).alias("body"))
+    return best.join(docs, "doc_id").select("doc_id", "wanted", F.substring("text", (F.col("start_char") + 1).cast("int"), F.least(F.col("end_char") - F.col("start_char"), F.lit(24_000)).cast("int")).alias("body"))
 
 
 @query("chunk_overlap", f"""with s as (select doc_id, text, unnest(range(0, greatest(length(text), 1), 900)) as start_char from documents)
@@ -143,23 +143,8 @@ def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.substring(F.trim(F.regexp_replace(t, "[ \t\r\n\f]+", " ")), 1, 15_000).alias("text"))
 
 
-@query("window_score", """with i as (select item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')))[1:12] as terms from benchmark where item_id % 4 = 0), d as (select doc_id, lower(text) as text from documents where doc_id in (select doc_id from labels)),
- w as (select doc_id, unnest(range(0, greatest(length(text), 1), 450)) as start_char, text from d), s as (select item_id, doc_id, start_char, len(list_filter(terms, lambda t: contains(substr(text, start_char + 1, 900), t))) as hits, len(terms) as n from w, i where substr(text, 1, 1) = substr(terms[1], 1, 1)),
- r as (select *, row_number() over (partition by item_id, doc_id order by hits desc, start_char) as rank from s where hits > 0) select item_id, doc_id, cast(start_char as integer) as start_char, hits, n, rank from r where rank <= 3""")
+@query("window_score")
 def window_score(spark, sf_dir):
-    terms = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0))), 1, 12)
-    items = table(spark, sf_dir, "benchmark").where("item_id % 4 = 0").select("item_id", terms.alias("terms")).withColumn("initial", F.substring(F.get("terms", F.lit(0)), 1, 1))
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.lower("text").alias("text"))
-    windows = docs.select("doc_id", F.substring("text", 1, 1).alias("initial"), "text", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(450))).alias("start_char"))
-    cut = windows.select("doc_id", "initial", "start_char", F.substring("text", F.col("start_char") + 1, F.lit(900)).alias("w"))
-    # the probes are a short list of a known kind; the join key is the text's initial
-    scored = cut.join(items, "initial").select("item_id", "doc_id", "start_char", F.size(F.filter("terms", lambda t: F.contains(F.col("w"), t))).cast("long").alias("hits"), F.size("terms").cast("long").alias("n")).where("hits > 0")
-    rank = F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy(F.desc("hits"), "start_char"))
-    return scored.withColumn("rank", rank.cast("long")).where("rank <= 3")
-
-
-@query("window_score_full")
-def window_score_full(spark, sf_dir):
     """All items with all their terms against all documents."""
     return T.scored_windows(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
