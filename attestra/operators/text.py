@@ -80,6 +80,17 @@ def path_parts(path: Column) -> tuple[Column, Column]:
     return last(folders, 2), last(parts, 3)
 
 
+#: Fixed values. What stands between square brackets where a text still lacks something.
+PLACEHOLDERS = ["Amount", r"Party(?:\s+Name)?", "Name", "Date", "Number", "Value", "Address", "Title", "Company", "Entity", "Percentage", "Price", "Term", "Period", "Deadline", "Location", "Placeholder", "Insert", "TBD", "TBA", "XXX", "___+"]
+PLACEHOLDER = r"(?i)\[(?:" + "|".join(PLACEHOLDERS) + r")\]"
+
+
+def placeholders(rows: DataFrame) -> DataFrame:
+    """``rows`` (any columns, line) with placeholder and context, one row for each placeholder on a line of prose."""
+    found = rows.where(prose(F.col("line"))).withColumn("placeholder", F.explode(F.regexp_extract_all("line", F.lit(PLACEHOLDER), 0)))
+    return found.withColumn("context", F.substring(stripped(F.col("line")), 1, 200))
+
+
 def prose(line: Column, most: int = 80) -> Column:
     """A line is prose unless it is a heading or a short numbered entry."""
     return ~line.rlike(r"^\s*#{1,6}\s+") & ~(line.rlike(r"^\s*\d+\.\s+\S") & (F.length(stripped(line)) <= most))

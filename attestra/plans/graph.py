@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import custody as C
 from ..operators import graph as G
 from .registry import query
 from .views import table
@@ -99,3 +100,24 @@ def apply_verdicts(spark, sf_dir):
 def ledger_ops(spark, sf_dir):
     t, at = c("event_type"), F.struct("ts", "event_id")
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by(F.when(t == "purchase", c("value")), F.when(t == "purchase", at)).alias("priority"), F.bool_or(t == "signup").alias("reopened"), F.count(F.lit(1)).alias("ops"))
+
+
+def _round(k: int) -> str:
+    before = " union ".join(f"select board_id, pos from r{i}" for i in range(k))
+    said = " union select board_id, pos from m" if k == 1 else ""
+    fresh = f"(board_id, pos) in (select board_id, pos from o) and (board_id, pos) not in ({before})"
+    return f"""r{k} as (select board_id, pos from (select s.board_id, s.pos from s join ({before}) g on g.board_id = s.board_id and g.pos = s.support{said}) where {fresh}
+ union select board_id, pos from (select s.board_id, s.pos from s join r{k} g on g.board_id = s.board_id and g.pos = s.support where s.pos > s.support) where {fresh})"""
+
+
+@query("source_custody", f"""with recursive e as (select conv_id as board_id, turn as pos, turn % 7 = 3 as invalid, turn % 5 = 4 as valid from conversations), o as (select * from e where not invalid and not valid),
+ s as (select board_id, pos, pos - 1 as support from e union select board_id, pos, pos + 1 from e where pos % 4 = 1), m as (select board_id, pos from e where contains(board_id || '', '7') and pos % 6 = 0 and board_id in (select board_id from e where invalid)),
+ r0 as (select distinct board_id, pos from e where invalid), {_round(1)}, {_round(2)}, {_round(3)}
+ select board_id, pos, 0 as round, 'invalid_source_document' as reason from r0 """ + " ".join(f"union all select board_id, pos, {k}, 'depends_on_invalid_source_state' from r{k}" for k in (1, 2, 3)))
+def source_custody(spark, sf_dir):
+    """Turns as entries that build on the turn before, some on the next one; the boards are short, so the cap of 20 doesn't bind."""
+    t = c("turn")
+    e = table(spark, sf_dir, "conversations").select(c("conv_id").alias("board_id"), t.alias("pos"), (t % 7 == 3).alias("invalid"), (t % 5 == 4).alias("valid"))
+    s = e.select("board_id", "pos", F.explode(F.when(c("pos") % 4 == 1, F.array(c("pos") - 1, c("pos") + 1)).otherwise(F.array(c("pos") - 1))).alias("support"))
+    m = e.where(F.contains(c("board_id").cast("string"), F.lit("7")) & (c("pos") % 6 == 0)).select("board_id", "pos")
+    return C.quarantined(e, s, m)

@@ -84,14 +84,17 @@ def claim_lines(spark, sf_dir):
     return T.claim_lines(lines(table(spark, sf_dir, "documents")), "(?i)(licensed|version|[0-9]+)")
 
 
-@query("placeholders", f"""with {LINES}, m as (select doc_id, line_no, case when line_no % 3 = 0 then '1. ' || substr(line, 1, 40) || ' [Amount]' when line_no % 3 = 1 then substr(line, 1, 60) || ' [Party Name] and [tbd]' else '## [Date]' end as line from lines)
- select doc_id, line_no, unnest(regexp_extract_all(line, '(?i)\\[(?:Amount|Party(?:\\s+Name)?|Date|TBD)\\]')) as placeholder, substr(trim(line, {_TRIM}), 1, 200) as context from m
+#: A name in brackets for every line, in turns; lines of kind 2 become headings.
+_ASKED = ["[Amount]", "[Party Name]", "[tbd]", "[Deadline]", "[XXX]", "[_____]", "[Someone]", "[Insert]"]
+
+
+@query("placeholders", f"""with {LINES}, m as (select doc_id, line_no, case when line_no % 3 = 2 then '## ' else '' end || line || ' ' || {_ASKED}[line_no % 8 + 1] || ' and [tba]' as line from lines)
+ select doc_id, line_no, unnest(regexp_extract_all(line, '{T.PLACEHOLDER}')) as placeholder, substr(trim(line, {_TRIM}), 1, 200) as context from m
  where not regexp_matches(line, '^\\s*#{{1,6}}\\s+') and not (regexp_matches(line, '^\\s*\\d+\\.\\s+\\S') and length(trim(line, {_TRIM})) <= 80)""")
 def placeholders(spark, sf_dir):
-    line, n = F.col("line"), F.col("line_no")
-    composed = F.when(n % 3 == 0, F.concat(F.lit("1. "), F.substring(line, 1, 40), F.lit(" [Amount]"))).when(n % 3 == 1, F.concat(F.substring(line, 1, 60), F.lit(" [Party Name] and [tbd]"))).otherwise(F.lit("## [Date]"))
-    marked = lines(table(spark, sf_dir, "documents")).withColumn("line", composed).where(T.prose(F.col("line")))
-    return marked.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.explode(F.regexp_extract_all("line", F.lit(r"(?i)\[(?:Amount|Party(?:\s+Name)?|Date|TBD)\]"), 0)).alias("placeholder"), F.substring(T.stripped(F.col("line")), 1, 200).alias("context"))
+    line, n = F.col("line"), F.col("line_no").cast("int")
+    composed = F.concat(F.when(n % 3 == 2, "## ").otherwise(""), line, F.lit(" "), F.get(F.array(*map(F.lit, _ASKED)), n % 8), F.lit(" and [tba]"))
+    return T.placeholders(lines(table(spark, sf_dir, "documents")).withColumn("line", composed)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "placeholder", "context")
 
 
 @query("trigrams", r"""with w as (select doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+'), lambda x: x <> '') as w, trim(lower(text), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as t from documents)

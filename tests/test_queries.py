@@ -3,6 +3,8 @@
 import os
 
 import duckdb
+import random
+
 import pytest
 
 from attestra.plans import registry
@@ -218,3 +220,32 @@ def test_a_name_is_registered_once():
     with pytest.raises(ValueError, match="twice"):
         registry.query("top_calc")(None)
     assert {"top_calc", "board_top_calc"} <= set(registry.QUERIES)
+
+
+def test_custody_runs_forward_in_a_round_and_back_by_one_and_is_capped(spark):
+    from attestra.operators import custody
+
+    schema = "board_id int, pos int, invalid boolean, valid boolean"
+    rng = random.Random(4)
+    entries, supports, mentions = [], [], []
+    for board in range(6):
+        for pos in range(40):
+            entries.append((board, pos, rng.random() < 0.1, rng.random() < 0.2))
+            supports += [(board, pos, rng.randrange(45)) for _ in range(rng.randrange(3))]
+            if rng.random() < 0.05:
+                mentions.append((board, pos))
+    for least in (3, 9, 200):
+        want = set()
+        for board in range(6):
+            own = [e for e in entries if e[0] == board]
+            gone = {e[1]: 0 for e in own if e[2]}
+            direct = len(gone)
+            most = max(least, int(0.15 * (len(own) - direct)))
+            for k in range(1, 4):
+                for _, pos, invalid, valid in own:
+                    held = any(s == pos and t in gone and t != pos for b, s, t in supports if b == board) or direct and (board, pos) in mentions
+                    if pos not in gone and not valid and held and len(gone) < most:
+                        gone[pos] = k
+            want |= {(board, pos, k) for pos, k in gone.items()}
+        got = custody.quarantined(spark.createDataFrame(entries, schema), spark.createDataFrame(supports, "board_id int, pos int, support int"), spark.createDataFrame(mentions, "board_id int, pos int"), least=least)
+        assert {(r.board_id, r.pos, r.round) for r in got.collect()} == want
