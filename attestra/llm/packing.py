@@ -7,14 +7,19 @@ values: a run is (length, how many), and a document is (length, rank in its run)
 The ranks are dealt out in parallel (salted sub-runs, then offsets), so a length that
 a third of all pieces share isn't one task's work.
 
-A round takes the longest unplaced run and sweeps the gaps upwards from its length
-(the successor of the length is the best fit). If a run of documents meets fewer gaps,
-the lower ranks win them; the rest go on to the next gap. Gaps that were filled move to
-the run of what is left of them and can be met again in the same round. Documents that
-no gap can take open new sequences. Rounds work on runs alone: at most ``capacity``
-runs of documents and of gaps, however many documents there are. What they decide
-(length, ranks from..to -> sequences from.., offset) goes to all tasks, which place
-their own pieces by binary search.
+The state of the rounds is one table of runs in the shared folder: documents that have no
+place yet (length, first rank, how many) and gaps (what is left of a sequence, first
+sequence, how many). A round range-sorts both by size and sweeps each range in a task of
+its own: documents from the longest down, each run to the successor of its length among
+the gaps, which is the best fit. Where a run of documents meets fewer gaps, the lower
+ranks win them and the rest go on to the next larger gap. Gaps that took a document go
+back to what is left of them. What a range couldn't match is swept again in ranges
+``WIDEN`` times as wide, up to all sizes. Documents that no gap took then open as many
+sequences as their tokens fill at least, and the next round starts, until none are left.
+A round's table has a row for each length and gap, and for each split of them: it grows with
+the capacity and not with the documents, so that the widest sweep is one small task. The
+placements (length, ranks from..to -> sequences from.., offset) of all rounds are bounded
+alike and go to all tasks, which place their own pieces by binary search.
 
 Defined results: null and empty texts are one piece of length 1 (the closing id).
 Repeated rows are packed each. Further columns are ignored; an empty table gives an
@@ -27,6 +32,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +41,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import session, stored, table
+from .common import scratch, session, stored, table
 from .tokens import _here, _texts, library, rules, vocabulary_path
 
 CAPACITY = 2048
 #: Sub-runs of a run of equal lengths.
 SALTS = 64
+#: A round starts with this many ranges of sizes; each further sweep takes ranges so many times as wide.
+RANGES = 16
+WIDEN = 16
+#: Runs: documents without a place, gaps, and documents that got one.
+DOC, GAP, PUT = 0, 1, 2
+RUNS = "kind int, size long, first long, n long, sequence long, offset long"
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -93,39 +105,59 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     return rows.mapInArrow(_pieces(path or vocabulary_path(), capacity), PIECE)
 
 
-def rounds(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """The placements (length, first rank, rank after the last, first sequence, offset) of runs of documents, and how many sequences there are."""
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
-    placed, sequences = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, last, gap = 0, counts[length], length
-        while rank < last:
-            while gap <= capacity and not gaps[gap]:
-                gap += 1
-            if gap > capacity:
-                break
-            first, n = gaps[gap].pop()
-            m = min(n, last - rank)
-            placed.append((length, rank, rank + m, first, capacity - gap))
-            rank += m
-            if m < n:
-                gaps[gap].append((first + m, n - m))
+def swept(runs: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """One successor sweep: runs of documents and gaps (and what was placed before, unchanged) to placements, documents and gaps."""
+    gaps: dict[int, list[tuple[int, int]]] = {}
+    for size, first, n in runs.loc[runs["kind"] == GAP, ["size", "first", "n"]].sort_values(["size", "first"]).itertuples(index=False):
+        gaps.setdefault(size, []).append((first, n))
+    sizes, out = sorted(gaps), []
+    for length, rank, n in runs.loc[runs["kind"] == DOC, ["size", "first", "n"]].sort_values(["size", "first"], ascending=[False, True]).itertuples(index=False):
+        while n and (k := bisect_left(sizes, length)) < len(sizes):
+            gap = sizes[k]
+            first, free = gaps[gap].pop()
+            m = min(n, free)
+            out.append((PUT, length, rank, m, first, capacity - gap))
+            rank, n = rank + m, n - m
+            if m < free:
+                gaps[gap].append((first + m, free - m))
+            elif not gaps[gap]:
+                del gaps[gap], sizes[k]
             if gap > length:
-                gaps[gap - length].append((first, m))
-            if gap - length >= length:
-                gap -= length
-        if rank < last:
-            opened = -(-(last - rank) // (capacity // length))
-            each, more = divmod(last - rank, opened)  # ``more`` sequences get one above ``each``
-            for k in range(each + (more > 0)):
-                m = opened if k < each else more
-                placed.append((length, rank, rank + m, sequences, k * length))
-                rank += m
-            gaps[capacity - each * length].append((sequences + more, opened - more))
-            if more:
-                gaps[capacity - (each + 1) * length].append((sequences, more))
+                if gap - length not in gaps:
+                    insort(sizes, gap - length)
+                gaps.setdefault(gap - length, []).append((first, m))
+        if n:
+            out.append((DOC, length, rank, n, 0, 0))
+    out += [(GAP, size, first, n, 0, 0) for size, own in gaps.items() for first, n in own]
+    return pd.concat([runs[runs["kind"] == PUT], pd.DataFrame(out, columns=runs.columns)])
+
+
+def matched(runs: DataFrame, capacity: int) -> DataFrame:
+    """A round: sweeps over ranges of sizes, each wider than the one before."""
+    width = -(-capacity // RANGES)
+    while True:
+        span = F.floor((F.col("size") - 1) / width)
+        runs = runs.groupBy(span).applyInPandas(lambda x: swept(x, capacity), RUNS)
+        if width >= capacity:
+            return runs
+        width *= WIDEN
+
+
+def rounds(counts: DataFrame, capacity: int) -> np.ndarray:
+    """The placements (length, first rank, rank after the last, first sequence, offset) of ``counts`` (length, count), in their order."""
+    spark, zero = counts.sparkSession, F.lit(0).cast("long")
+    waiting = counts.select(F.lit(DOC).alias("kind"), F.col("length").alias("size"), zero.alias("first"), F.col("count").alias("n"), zero.alias("sequence"), zero.alias("offset"))
+    sequences, placed = 0, []
+    with scratch(spark):
+        runs = stored(waiting, "round-0")
+        while tokens := runs.where(F.col("kind") == DOC).agg(F.sum(F.col("size") * F.col("n"))).first()[0]:
+            opened = -(-tokens // capacity)
+            new = spark.createDataFrame([(GAP, capacity, sequences, opened, 0, 0)], RUNS)
             sequences += opened
-    return placed, sequences
+            runs = stored(matched(runs.where(F.col("kind") != PUT).unionByName(new), capacity), f"round-{sequences}")
+            placed.append(runs.where(F.col("kind") == PUT).select("size", "first", F.col("first") + F.col("n"), "sequence", "offset").toPandas().to_numpy(np.int64))
+    plan = np.concatenate(placed) if placed else np.zeros((0, 5), np.int64)
+    return plan[np.lexsort(plan.T[1::-1])]
 
 
 def ranked(items: DataFrame) -> DataFrame:
@@ -139,9 +171,7 @@ def ranked(items: DataFrame) -> DataFrame:
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
-    counts = {r.length: r["count"] for r in items.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    placed, _ = rounds(counts, capacity)
-    plan = np.array(sorted(placed), np.int64).reshape(-1, 5)
+    plan = rounds(items.groupBy("length").count(), capacity)
     sent = items.sparkSession.sparkContext.broadcast(plan)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

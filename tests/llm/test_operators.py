@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -172,16 +173,36 @@ def test_token_counts_and_packing(docs, empty):
     assert tokens.token_counts(empty).count() == 0 == packing.best_fit(empty).count()
 
 
-def test_rounds_place_all_and_waste_little():
+def best_fit_decreasing(counts, capacity):
+    gaps, n = [], 0
+    for length in sorted(counts.elements(), reverse=True):
+        k = bisect_left(gaps, length)
+        left = gaps.pop(k) if k < len(gaps) else capacity
+        n += left == capacity
+        insort(gaps, left - length)
+    return n
+
+
+@pytest.mark.parametrize("draw", [
+    lambda rng: rng.choice([rng.randint(1, 60), rng.randint(1, 2048)]),  # short and long
+    lambda rng: rng.choice([700, 700, rng.randint(600, 1100)]),  # a third of all of one length, few fit together
+    lambda rng: rng.choice([1, 2048, 2047]),  # full, nearly full and least
+])
+def test_rounds_place_all_and_waste_little(spark, draw):
     rng = random.Random(1)
-    counts = Counter(rng.choice([rng.randint(1, 60), rng.randint(1, 2048)]) for _ in range(5000))
-    placed, n = packing.rounds(counts, 2048)
-    used = Counter()
-    for length, a, b, first, _ in placed:
+    counts = Counter(draw(rng) for _ in range(5000))
+    placed = packing.rounds(spark.createDataFrame(list(counts.items()), "length long, count long"), 2048)
+    used, ranks = defaultdict(list), Counter()
+    for length, a, b, first, offset in placed.tolist():
+        assert ranks[length] == a  # each rank once
+        ranks[length] = b
         for k in range(b - a):
-            used[first + k] += length
-    assert sum(b - a for _, a, b, _, _ in placed) == 5000 and max(used.values()) <= 2048 and len(used) == n
-    assert n <= 1.02 * sum(k * v for k, v in counts.items()) / 2048 + 1
+            used[first + k].append((offset, length))
+    assert ranks == counts
+    for own in used.values():
+        own.sort()
+        assert [o for o, _ in own] == np.cumsum([0] + [n for _, n in own])[:-1].tolist() and sum(n for _, n in own) <= 2048
+    assert len(used) <= 1.01 * best_fit_decreasing(counts, 2048) + 1
 
 
 def test_mixing(docs, empty, nameless):
