@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import cut
+from .text import word_trigrams
 
 
 def first_wins(df: DataFrame, key: list, order: list[Column]) -> DataFrame:
@@ -69,6 +70,21 @@ def leaders(pairs: DataFrame, rounds: int = 64) -> DataFrame:
     return by.groupBy(F.col("after").alias("id")).agg(F.min("before").alias("leader"))
 
 
+def merged_signals(signals: DataFrame, percent: int = 50) -> DataFrame:
+    """id, type, priority, merged: the signals that stay, with the highest priority and the number of those they absorb, themselves included.
+
+    ``signals``: id, type, content, priority. In order of id, a signal is absorbed by the first one that
+    stays, has its type and shares ``percent`` of their word trigrams. Signals with equal sets have the
+    same neighbours, so they are one row before pairs are made: a group of copies makes no pairs of its own.
+    Null content counts as empty; empty signals of a type are equal. Null types are one type."""
+    sets = signals.withColumns({"grp": F.coalesce("type", F.lit("")), "items": F.sort_array(word_trigrams(F.coalesce("content", F.lit(""))))})
+    nodes = sets.groupBy("grp", "items").agg(F.min("id").alias("id"), F.first("type").alias("type"), F.max("priority").alias("priority"), F.count(F.lit(1)).alias("merged"))
+    nodes = cut(nodes)
+    pairs = similar_pairs(nodes, percent).select(F.col("a").alias("before"), F.col("b").alias("after"))
+    stays = nodes.join(leaders(pairs), "id", "left").withColumn("id", F.coalesce("leader", "id"))
+    return stays.groupBy("id").agg(F.first("type").alias("type"), F.max("priority").alias("priority"), F.sum("merged").alias("merged"))
+
+
 def roots(parents: DataFrame, rounds: int = 32) -> DataFrame:
     """(id, root) of rows that have a parent; parents come earlier in order. Pointers double each round."""
     at = parents.select("id", F.col("parent").alias("root"))

@@ -128,6 +128,22 @@ def heading_key(line: Column) -> Column:
     return F.regexp_replace(F.lower(stripped(F.regexp_replace(stripped(line), r"^#+\s*", ""))), r"[^a-z0-9]+", " ")
 
 
+def section_title(line: Column) -> Column:
+    """What two headings are compared by: without marks and numbers in front, emphasis and case, white space collapsed."""
+    bare = F.regexp_replace(stripped(line), r"^[#*\-\s\d.():]+", "")
+    return F.lower(stripped(F.regexp_replace(F.regexp_replace(bare, r"[*_`]+", ""), r"\s+", " ")))
+
+
+def without_heading(text: Column, name: Column) -> Column:
+    """``text`` without a first line (blank ones aside) that repeats the section's name, alone or behind ``Sheet:``; trimmed. Null text: empty, null name: unnamed."""
+    ends = lambda x: F.trim(x, F.lit(BLANKS + "\n"))
+    body = ends(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"))
+    first, name = section_title(F.substring_index(body, "\n", 1)), F.coalesce(name, F.lit(""))
+    repeats = (first == section_title(name)) | (first == section_title(F.concat(F.lit("sheet: "), name)))
+    rest = F.when(F.contains(body, F.lit("\n")), F.substring(body, F.instr(body, "\n") + 1, F.length(body))).otherwise("")
+    return F.when(repeats & (body != ""), ends(rest)).otherwise(body)
+
+
 def cleaned_lines(lines: DataFrame) -> DataFrame:
     """doc_id, line_no, line: runs of blank lines become one; a line whose key repeats that of the last line with text goes."""
     order = Window.partitionBy("doc_id").orderBy("line_no")

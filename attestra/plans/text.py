@@ -155,3 +155,12 @@ def window_score(spark, sf_dir):
 @query("context_words", "select doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: w not in (" + ", ".join(f"'{w}'" for w in S.STOP_WORDS) + "))[1:5] as words from documents")
 def context_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.context_words(F.col("text")).alias("words"))
+
+
+@query("strip_heading", r"""with d as (select doc_id, source, trim(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12)) as body from documents)
+ select doc_id, case doc_id % 3 when 2 then 'Notes' || case when body = '' then '' else chr(10) || body end else body end as text from d""")
+def strip_heading(spark, sf_dir):
+    """Documents under a heading that repeats their source, a sheet heading that does, or another heading (which stays)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.trim(F.coalesce("text", F.lit("")), F.lit(T.BLANKS + "\n")).alias("text"))
+    top = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n## 1. **"), F.upper("source"), F.lit("**\n\n"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("# Sheet:  "), F.col("source"), F.lit("\n"))).otherwise("Notes\n")
+    return docs.select("doc_id", T.without_heading(F.concat(top, "text"), F.col("source")).alias("text"))

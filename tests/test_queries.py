@@ -249,3 +249,45 @@ def test_custody_runs_forward_in_a_round_and_back_by_one_and_is_capped(spark):
             want |= {(board, pos, k) for pos, k in gone.items()}
         got = custody.quarantined(spark.createDataFrame(entries, schema), spark.createDataFrame(supports, "board_id int, pos int, support int"), spark.createDataFrame(mentions, "board_id int, pos int"), least=least)
         assert {(r.board_id, r.pos, r.round) for r in got.collect()} == want
+
+
+def test_headings_that_repeat_the_name_go(spark):
+    from pyspark.sql import functions as F
+
+    from attestra.operators.text import without_heading
+
+    rows = [("\n\n## 2.1 **Risk  Review**\n\n body \n", "risk review", "body"), ("Sheet: Costs\r\na\r\nb", "Costs", "a\nb"), ("Other\nbody", "Costs", "Other\nbody"), ("Costs", "Costs", ""), (None, "x", ""), ("a\nb", None, "a\nb"), ("", "", "")]
+    out = spark.createDataFrame(rows, "text string, name string, want string").select(without_heading(F.col("text"), F.col("name")).alias("got"), "want").collect()
+    assert [r.got for r in out] == [r.want for r in out]
+
+
+def test_signals_are_absorbed_by_the_first_that_stays(spark):
+    import re
+
+    from attestra.operators.dedup import merged_signals
+
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefghij") * 3 for _ in range(12)] for _ in range(3)]
+    rows = [(0, "t", None, 1), (1, "t", "", 2), (2, None, "one two", 0), (3, None, "One two", 3), (4, "t", "one two", 1)]
+    for i in range(5, 90):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(12)] = rng.choice("klm")
+        rows.append((i, rng.choice("tu"), " ".join(words), rng.randrange(4)))
+
+    def grams(text):
+        words = re.sub(r"[^\w\s]", "", (text or "").lower()).split()
+        return {" ".join(words[k : k + 3]) for k in range(len(words) - 2)} or {(text or "").lower().strip()}
+
+    kept = []
+    for i, kind, text, priority in rows:
+        own = grams(text)
+        for k in kept:
+            if k[1] == kind and 2 * len(own & k[4]) >= len(own | k[4]):
+                k[2], k[3] = max(k[2], priority), k[3] + 1
+                break
+        else:
+            kept.append([i, kind, priority, 1, own])
+    out = merged_signals(spark.createDataFrame(rows, "id long, type string, content string, priority int").repartition(3))
+    assert sorted(tuple(r) for r in out.select("id", "type", "priority", "merged").collect()) == [tuple(k[:4]) for k in kept]
+    assert 10 < len(kept) < 70
