@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-for _module in ("text", "values", "matching", "intake", "rollups", "ranking", "dedup", "graph", "entries", "sources", "streams"):
+for _module in ("text", "values", "matching", "intake", "rollups", "ranking", "dedup", "graph", "entries", "drafts", "sources", "streams"):
     import_module(f"attestra.plans.{_module}")

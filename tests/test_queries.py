@@ -6,6 +6,7 @@ import duckdb
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from attestra.plans import registry
 
@@ -291,3 +292,37 @@ def test_signals_are_absorbed_by_the_first_that_stays(spark):
     out = merged_signals(spark.createDataFrame(rows, "id long, type string, content string, priority int").repartition(3))
     assert sorted(tuple(r) for r in out.select("id", "type", "priority", "merged").collect()) == [tuple(k[:4]) for k in kept]
     assert 10 < len(kept) < 70
+
+
+def test_risky_lines_are_met_by_text_or_by_numbers_and_words(spark):
+    from attestra.operators.drafts import without_risky_lines
+
+    texts = [(1, "Intro\n\nRevenue grew 12% in Q3 across northern markets\nclean line"), (2, "Revenue grew 12% in Q3 across northern markets"), (3, None), (4, "")]
+    claims = [
+        (1, 2, "Markets in northern regions: revenue up, Q3", "overstated", "high"), (1, 1, "revenue GREW 12%", "supported", "high"), (1, 3, " ", "unsupported", "high"),
+        (1, 4, "clean line and more", "needs_source", "low"), (2, 2, "GREW 12% in q3", "unsupported", "medium"), (2, 5, "northern markets", "overstated", "high"), (3, 1, "x", "unsupported", "high"),
+    ]
+    out = without_risky_lines(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(claims, "text_id int, seq int, claim string, status string, severity string"))
+    mark = "[SOURCE-CHECK QUARANTINED: {} final-output claim removed; see Source Support Caveats]".format
+    assert {r.text_id: (r.text, r.quarantined) for r in out.collect()} == {1: (f"Intro\n\n{mark('overstated')}\nclean line", 1), 2: (mark("unsupported"), 1), 3: ("", 0), 4: ("", 0)}
+
+
+def test_telling_phrases(spark):
+    from attestra.operators.drafts import phrases
+
+    rows = [(1, "Covenant breach; manual rollback (of the) Covenant breach. risk risk"), (2, None), (3, ""), (4, "Source backed entry")]
+    got = {r.i: [tuple(p) for p in r.p] for r in spark.createDataFrame(rows, "i int, t string").selectExpr("i", "t").select("i", phrases(F.col("t")).alias("p")).collect()}
+    assert got == {1: [("covenant breach", 52), ("manual rollback", 52)], 2: [], 3: [], 4: []}
+
+
+def test_targets_of_gaps(spark):
+    from attestra.operators.drafts import target_documents
+
+    docs = [("a", n, i) for i, n in enumerate(["Loan Agreement.pdf", "notes.txt", "loan.xlsx", "Term Sheet", "b"])] + [("z", "loan other", 0), ("a", None, 9)]
+    items = [(1, "a", ["LOAN"], None), (2, "a", [], []), (3, "a", ["the term sheet of May"], ["NOTES.TXT"]), (4, "a", ["", None], None), (5, "z", ["nothing"], []), (6, "none", None, None), (7, "a", ["B"], [])]
+    out = target_documents(spark.createDataFrame(items, "item_id int, board_id string, requested array<string>, parents array<string>"), spark.createDataFrame(docs, "board_id string, name string, place int"))
+    got = {}
+    for r in sorted(out.collect()):
+        got.setdefault(r.item_id, set()).add(r.name)
+    first = {"Loan Agreement.pdf", "notes.txt", "loan.xlsx"}
+    assert got == {1: {"Loan Agreement.pdf", "loan.xlsx"}, 2: first, 3: {"notes.txt", "Term Sheet"}, 4: first, 7: {"b"}}
