@@ -42,14 +42,16 @@ def phrases(text: Column, k: int = 10) -> Column:
     none = F.array().cast("array<array<string>>")
     runs = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, F.lit(n)))).otherwise(none)
     telling = lambda p: F.forall(p, lambda x: (F.length(x) >= 4) & ~x.isin(PHRASE_STOP_WORDS)) & (F.size(F.array_distinct(p)) >= 2)
-    usable = lambda p: telling(p) & ~F.array_join(p, " ").isin(LOW_VALUE_PHRASES) & (F.length(F.array_join(p, " ")) <= 90)
-    found = F.array_distinct(F.filter(F.flatten(F.transform(word_lists, lambda w: F.concat(*(runs(w, n) for n in (4, 3, 2))))), usable))
+    told = F.filter(F.flatten(F.transform(word_lists, lambda w: F.concat(*(runs(w, n) for n in (4, 3, 2))))), telling)
+    # strings are made distinct by hash, arrays would be compared pair by pair
+    found = F.filter(F.array_distinct(F.transform(told, lambda p: F.array_join(p, " "))), lambda s: ~s.isin(LOW_VALUE_PHRASES) & (F.length(s) <= 90))
 
-    def score(p: Column) -> Column:
-        hints = F.size(F.filter(p, lambda x: x.isin(HINT_WORDS)))
-        return F.size(p) * 5 + F.least(F.length(F.array_join(p, "")), F.lit(40)) + hints * 10 + F.when(hints > 0, 8).otherwise(0)
+    def score(phrase: Column) -> Column:
+        words = F.split(phrase, " ")
+        hints = F.size(F.filter(words, lambda x: x.isin(HINT_WORDS)))
+        return F.size(words) * 5 + F.least(F.length(phrase) - F.size(words) + 1, F.lit(40)) + hints * 10 + F.when(hints > 0, 8).otherwise(0)
 
-    ranked = F.array_sort(F.transform(found, lambda p: F.struct((-score(p)).alias("below"), F.array_join(p, " ").alias("phrase"))))
+    ranked = F.sort_array(F.transform(found, lambda s: F.struct((-score(s)).alias("below"), s.alias("phrase"))))
     return F.transform(F.slice(ranked, 1, k), lambda r: F.struct(r["phrase"].alias("phrase"), (-r["below"]).cast("long").alias("score")))
 
 

@@ -326,3 +326,20 @@ def test_targets_of_gaps(spark):
         got.setdefault(r.item_id, set()).add(r.name)
     first = {"Loan Agreement.pdf", "notes.txt", "loan.xlsx"}
     assert got == {1: {"Loan Agreement.pdf", "loan.xlsx"}, 2: first, 3: {"notes.txt", "Term Sheet"}, 4: first, 7: {"b"}}
+
+
+def test_a_frontier_that_fits_has_no_violations(spark):
+    from attestra.operators.boards import frontier_violations
+
+    targets = spark.createDataFrame([("a", "t")], "board_id string, target_id string")
+    sources = spark.createDataFrame([("a", f"s{i}", i, i < 4) for i in range(5)], "board_id string, source_id string, place int, is_document boolean")
+    listed = "board_id string, target_id string, place int, source_id string, priority string, reason string, batch_index int, response_rank int"
+    good = [("a", "t", 0, "s0", "definite", "r", 0, 0), ("a", "t", 1, "s2", "definite", "", 1, 0), ("a", "t", 2, "s1", "maybe", "r", 0, 1)]
+    spare = spark.createDataFrame([("a", "s3")], "board_id string, source_id string")
+    check = lambda rows, rest: sorted((r.kind, r.target_id, r.place, r.source_id) for r in frontier_violations(targets, sources, spark.createDataFrame(rows, listed), rest, 2, 1).collect())
+    # two of batch 0 are over a cap of one
+    assert check(good, spare) == [("over_cap", "t", None, None)]
+    assert check([*good[:2], ("a", "t", 2, "s2", "maybe", None, 0, 1)], spare) == [("malformed", "t", 2, "s2"), ("over_cap", "t", None, None), ("repeated", "t", 2, "s2"), ("uncovered", None, None, "s1"), ("wrong_batch", "t", 2, "s2")]
+    assert check([good[0], ("a", "x", 0, "s4", "maybe", "r", 0, 0)], spare.union(spare)) == [("dead_target", "x", 0, "s4"), ("fallback_repeated", None, None, "s3"), ("uncovered", None, None, "s1"), ("uncovered", None, None, "s2"), ("unknown_source", "x", 0, "s4")]
+    assert check([good[1], ("a", "t", 2, "s0", "definite", "r", 0, 0)], spare.limit(0)) == [("out_of_order", "t", 2, "s0"), ("uncovered", None, None, "s1"), ("uncovered", None, None, "s3")]
+    assert check([(*good[1][:2], 0, *good[1][3:]), ("a", "t", 1, "s0", "definite", "r", 0, 0)], spare)[0] == ("out_of_order", "t", 1, "s0")
