@@ -13,6 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ LOWER[65:91] += 32
 #: Keys that hold over this share of all rows are attached by broadcast: there are fewer than 1 / HOT_SHARE of them.
 HOT_SHARE = 1e-3
 _FACTORS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
-#: Folders of the tables written and not yet deleted.
-_written: list[str] = []
+#: Folders of the tables written in the innermost open block of this thread; none is open at first.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -60,12 +61,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str, listed: bool = True) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends here. listed: whether ``scratch`` and ``left_by`` know of it."""
+    """``df`` written once to the shared folder and read back: lineage ends here. listed: whether an open ``scratch`` or ``left_by`` of this thread knows of it."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/attestra/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    if listed:
-        _written.append(at)
+    open_block = _written.get()
+    if listed and open_block is not None:
+        open_block.append(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._folder = at
     return out
@@ -76,30 +78,40 @@ def deleted(spark: SparkSession, folders: list[str]) -> None:
     for at in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _written[:] = [x for x in _written if x not in set(folders)]
 
 
 @contextmanager
 def left_by() -> Iterator[list[str]]:
-    """A list that holds, after the block, the folders of the tables that were stored in it and are still there."""
-    before, out = len(_written), []
-    yield out
-    out.extend(_written[before:])
+    """A list that holds, after the block, the folders of the tables that were stored in it and are still there.
+
+    Blocks belong to the thread that opened them, so queries in several threads never see each other's tables."""
+    out: list[str] = []
+    mark = _written.set(out)
+    try:
+        yield out
+    finally:
+        _written.reset(mark)
+        outer = _written.get()
+        if outer is not None:
+            outer.extend(out)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables stored inside the block are deleted at its end, but for those that are passed to what it yields."""
-    before, kept = len(_written), set()
+    kept = set()
 
     def keep(df: DataFrame) -> DataFrame:
         kept.add(df._folder)
         return df
 
-    try:
-        yield keep
-    finally:
-        deleted(spark, [x for x in _written[before:] if x not in kept])
+    with left_by() as folders:
+        try:
+            yield keep
+        finally:
+            gone = [x for x in folders if x not in kept]
+            deleted(spark, gone)
+            folders[:] = [x for x in folders if x in kept]
 
 
 def fresh(df: DataFrame, name: str) -> str:

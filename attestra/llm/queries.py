@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and SQL where SQL can express them."""
 
-from . import exact_dedup, html_extraction, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, tokens
+from . import alignment, exact_dedup, hard_negatives, html_extraction, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, tokens, topk_search
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_html_extraction": html_extraction.op10_html_extraction,
+    "op11_cross_tokenizer_alignment": alignment.op11_cross_tokenizer_alignment,
+    "op12_exact_topk": topk_search.op12_exact_topk,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL, "op7_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL, "op7_line_dedup": line_dedup.SQL, "op12_exact_topk": topk_search.SQL, "op13_hard_negatives": hard_negatives.SQL}
