@@ -8,6 +8,7 @@ that the one before it had left in the shared folder.
 """
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from attestra.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier
 from attestra.llm.common import deleted, left_by, session, stored, table
 
-#: Folders that the plan of the last stage's result reads.
-_left: list[str] = []
+#: Folders that the plan of the last stage's result reads, per thread: runs in several threads don't share them.
+_left: ContextVar[tuple[str, ...]] = ContextVar("left", default=())
 
 
 def stage(first: bool = False) -> Callable:
@@ -26,11 +27,10 @@ def stage(first: bool = False) -> Callable:
         @wraps(f)
         def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             if not first:
-                deleted(session(spark), _left)
-            _left.clear()
+                deleted(session(spark), list(_left.get()))
             with left_by() as folders:
                 out = f(session(spark), docs, sf_dir)
-            _left.extend(folders)
+            _left.set(tuple(folders))
             return out
 
         return run_stage
@@ -80,4 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, f in STAGES[:-1]:
         before, docs = docs, stored(f(spark, docs, sf_dir), f"stage-{name}", listed=False)
         deleted(spark, [before._folder] if hasattr(before, "_folder") else [])
-    return stored(STAGES[-1][1](spark, docs, sf_dir), "stage-result", listed=False)
+    out = stored(STAGES[-1][1](spark, docs, sf_dir), "stage-result", listed=False)
+    deleted(spark, [docs._folder, *_left.get()])
+    _left.set(())
+    return out
