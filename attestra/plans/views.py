@@ -45,3 +45,30 @@ ENTRIES = "entries as (select conv_id as board_id, turn as seq, case role when '
 def entries(conversations: DataFrame) -> DataFrame:
     kind = F.when(F.col("role") == "user", "observation").when(F.col("role") == "assistant", "analysis").otherwise("strategy")
     return conversations.select(F.col("conv_id").alias("board_id"), F.col("turn").alias("seq"), kind.alias("type"), F.col("text").alias("content"))
+
+
+#: Events as entries of boards, 50 consecutive ones each: views ask (one kind of question is an artifact requirement), clicks and
+#: purchases address what stands two and three events before, errors supersede the entry four before.
+SIGNAL_ENTRIES = "signal_entries as (select cast(event_id // 50 as varchar) as board_id, cast(event_id as varchar) as entry_id, case event_type when 'click' then 'analysis' else 'observation' end as type, ts, event_id as seq, case when event_type in ('view', 'signup') then event_id % 7 else 0 end as asks, event_type, event_id from events)"
+
+
+def signal_entries(events: DataFrame) -> DataFrame:
+    e, t, s = F.col("event_id"), F.col("event_type"), lambda x: x.cast("string")
+    ask = lambda k: F.struct(F.when(k % 3 == 2, "artifact_requirement").otherwise("question").alias("type"), F.when(k % 2 == 1, "high").otherwise("medium").alias("priority"), F.when(k == 3, " ").otherwise("what of it").alias("content"))
+    opens = F.when(t.isin("view", "signup") & (e % 7 > 0), F.transform(F.sequence(F.lit(0).cast("long"), e % 7 - 1), ask))
+    at = lambda back, k: F.concat(s(e - back), F.lit(f"/{k}"))
+    addresses = F.when(t.isin("click", "purchase"), F.array(at(2, 0), at(2, 2), at(3, 0), at(3, 1), at(3, 2)))
+    return events.select(
+        s(F.floor(e / 50)).alias("board_id"), s(e).alias("entry_id"), F.when(t == "click", "analysis").otherwise("observation").alias("type"), F.col("ts").cast("timestamp").alias("ts"), e.alias("seq"),
+        opens.alias("opens"), addresses.alias("addresses"), F.when(t == "error", F.array(s(e - 1), s(e - 2))).alias("supersedes"),
+    )
+
+
+#: Events as rounds of users: signups are bulk work, clicks and purchases are progress.
+USER_ROUNDS = "user_rounds as (select cast(user_id as varchar) as board_id, ts, event_id as seq, cast(floor(value * 10) as bigint) as tokens, case when event_type = 'signup' then 5 * cast(floor(value * 10) as bigint) else 0 end as bulk_tokens, event_type in ('click', 'purchase') as progress, event_id % 5 as open_items, event_id % 3 = 0 as converge from events)"
+
+
+def user_rounds(events: DataFrame) -> DataFrame:
+    e, t, tokens = F.col("event_id"), F.col("event_type"), F.floor(F.col("value") * 10).cast("long")
+    bulk = F.when(t == "signup", tokens * 5).otherwise(F.lit(0).cast("long"))
+    return events.select(F.col("user_id").cast("string").alias("board_id"), F.col("ts").cast("timestamp").alias("ts"), e.alias("seq"), tokens.alias("tokens"), bulk.alias("bulk_tokens"), t.isin("click", "purchase").alias("progress"), (e % 5).alias("open_items"), (e % 3 == 0).alias("converge"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,14 @@ def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """All that a stream gives of the files there now, as a table in memory (for tests and small reports)."""
     stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def poured(stream: DataFrame, folder: str, schema: str) -> DataFrame:
+    """All that an appending stream gives of the files there now, as Parquet below ``folder``; going on from its checkpoint."""
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    return stream.sparkSession.read.schema(schema).parquet(f"{folder}/rows")
+
+
+def opened(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream of the Parquet at ``path``, be it a file or a folder."""
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
