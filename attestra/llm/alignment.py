@@ -4,7 +4,7 @@
    which adds the space itself), each token a byte range. Both sides tile the same bytes,
    or the text has no tokens. Texts over ``SECTION`` characters are encoded in sections,
    cut where neither tokenizer can join across (a space between two characters that are no
-   white space, or behind a line feed), so a section's end is a group's end as well.
+   white space, or behind a line feed between two such), so a section's end is a group's end as well.
 2. The tokens of many texts are laid end to end and lexsorted by start; the running maximum
    of the ends (``maximum.accumulate``) gives the groups: one ends where the next start
    reaches the maximum. Within groups the overlapping pairs of tokens are expanded: the B
@@ -45,8 +45,8 @@ PIECES = "piece_bpe_32k.model"
 SECTION = 1_000_000
 #: Pairs of ids that go to all tasks: 17 bytes each.
 FREQUENT = 300_000
-#: Neither tokenizer joins across these places: before a single space, behind a line feed.
-CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\n)(?=\S)")
+#: Neither tokenizer joins across these places: before a lone space, behind a lone line feed.
+CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S\n)(?=\S)")
 SEPARATORS = pa.array([",", "|", ";", ""])
 PART = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 

@@ -136,7 +136,7 @@ def _miner(given):
                         columns = np.flatnonzero(x.label == label) if windows.same else np.arange(len(x.row))
                         if not len(some):
                             continue
-                        least = np.minimum.reduceat(best.least[open_], first)[some]
+                        least = np.minimum.reduceat(best.reach[open_], first)[some]
                         i, j = joined(q[who[some]], anchors.norm[who[some]], least, turned[columns], x.norm[columns])
                         place, j = some[i], columns[j]
                         fit = (anchors.row[who[place]] != x.row[j]) if windows.same else anchors.label[who[place]] != x.label[j]

@@ -74,7 +74,7 @@ def _searcher(given, k: int):
 
 def met(queries: Batch, turned: np.ndarray, part: slice, x: Batch, x_turned: np.ndarray, steps: list[int], best: Best) -> None:
     """Offers what the bounds leave of a group of queries and a batch of vectors."""
-    least, norm = best.least[part], queries.norm[part]
+    least, norm = best.reach[part], queries.norm[part]
     some = np.flatnonzero(~(norm * x.norm.max() * (1 + ROUNDING) < least))  # the others' Cauchy-Schwarz bound is too low
     if not len(some):
         return
@@ -89,7 +89,7 @@ def met(queries: Batch, turned: np.ndarray, part: slice, x: Batch, x_turned: np.
             continue  # no threshold yet: this batch's own k-th best will be one
         if step == q.shape[1] and len(x.row) > best.k + 1:
             # the batch itself has k others of at least this score
-            least = np.maximum(least, np.partition(sums, len(x.row) - best.k - 1, axis=1)[:, -best.k - 1] - error.max(axis=1))
+            least = np.maximum(least, np.minimum(2.0**62, np.partition(sums, len(x.row) - best.k - 1, axis=1)[:, -best.k - 1] - error.max(axis=1)))
         rest = np.outer(np.linalg.norm(q[:, step:], axis=1), np.linalg.norm(x_turned[:, step:], axis=1))
         mask = ~(sums + rest + error < least[:, None])
         if not mask.any():
@@ -107,7 +107,7 @@ def searched(vectors: DataFrame, parts: list[tuple[int, int, float]], queries: B
         while last < len(parts) and (last == first or size + parts[last][1] <= max(RANGE, (GROW - 1) * seen)):
             size += parts[last][1]
             last += 1
-        if (queries.norm * parts[first][2] * (1 + ROUNDING) < least).all():
+        if (queries.norm * parts[first][2] * (1 + ROUNDING) < np.minimum(least, 2.0**62)).all():
             break  # no shorter vector can reach any threshold
         given = spark.sparkContext.broadcast((queries, least, axes))
         new = vectors.where(F.col("part").between(parts[first][0], parts[last - 1][0])).mapInArrow(_searcher(given, k), FOUND)

@@ -138,6 +138,11 @@ class Best:
     def __init__(self, least: np.ndarray, k: int):
         self.least, self.k, self.found, self.waiting, self.n = least.astype(np.float64), k, np.zeros(0, ENTRY), [], 0
 
+    @property
+    def reach(self) -> np.ndarray:
+        """What a key's next scores must reach, as a bound on scores before they are held inside a long: none where ``least`` is near an end."""
+        return np.where(self.least <= -(2.0**62), -np.inf, np.minimum(self.least, 2.0**62))
+
     def offer(self, key: np.ndarray, score: np.ndarray, of: Batch, at: np.ndarray) -> None:
         good = score >= self.least[key]
         new = np.zeros(int(good.sum()), ENTRY)
