@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import confidence as K
 from ..operators import custody as C
 from ..operators import graph as G
+from ..operators import ledger as L
 from .registry import query
 from .views import table
 
@@ -121,3 +123,50 @@ def source_custody(spark, sf_dir):
     s = e.select("board_id", "pos", F.explode(F.when(c("pos") % 4 == 1, F.array(c("pos") - 1, c("pos") + 1)).otherwise(F.array(c("pos") - 1))).alias("support"))
     m = e.where(F.contains(c("board_id").cast("string"), F.lit("7")) & (c("pos") % 6 == 0)).select("board_id", "pos")
     return C.quarantined(e, s, m)
+
+
+def _ledger(spark, sf_dir):
+    """Events as operations on ten targets of each of the boards (100 consecutive events each)."""
+    e, t, s = c("event_id"), c("event_type"), lambda x: x.cast("string")
+    rows = table(spark, sf_dir, "events").select(s(F.floor(e / 100)).alias("board_id"), e.alias("seq"), t.alias("event_type"), F.concat(F.lit("t"), s(e * 7 % 10)).alias("target_id"), F.floor("value").cast("long").alias("v"))
+    targets = rows.select("board_id").distinct().select("board_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(F.lit("t"), s(k)))).alias("target_id"), F.lit("open").alias("status"), F.lit("medium").alias("materiality"), F.lit("").alias("need"))
+    v = c("v")
+    op = F.when(c("event_type") == "purchase", "merge").when(c("event_type") == "signup", "reopen").when(c("event_type") == "error", F.when(v % 2 == 0, "close").otherwise("waive")).when(c("event_type") == "view", F.when(v % 3 == 0, "reprioritize").otherwise("rephrase"))
+    others = F.array(F.concat(F.lit("t"), s(v % 10)), F.concat(F.lit("t"), s((v + 3) % 10)))
+    value = F.when(op == "reprioritize", F.element_at(F.array(F.lit("high"), F.lit("low"), F.lit("none")), (v % 3 + 1).cast("int"))).otherwise(F.concat(F.lit("need "), s(v)))
+    ops = rows.where("event_type <> 'click'").select("board_id", "seq", op.alias("op"), "target_id", others.alias("others"), value.alias("value"))
+    return targets, ops, rows.where("event_type = 'click'").select("board_id", F.concat(F.lit("c"), s(v)).alias("claim_id"), "target_id", "seq")
+
+
+@query("ledger_replay")
+def ledger_replay(spark, sf_dir):
+    """All operations of all boards; tests compare the operator with a plain replay."""
+    return L.replayed(*_ledger(spark, sf_dir))[0]
+
+
+@query("ledger_edges")
+def ledger_edges(spark, sf_dir):
+    return L.replayed(*_ledger(spark, sf_dir))[1]
+
+
+#: Each entry supports the two before it and contradicts the third before it if its number says so; a fold over its effects in order.
+CONFIDENCE_SQL = """with e as (select event_id // 40 as b, event_id as s, event_id % 3 as d, case event_id % 4 when 0 then 950000 when 1 then 150000 else 600000 end as v from events),
+u as (select e.b, e.s, t.s as x, e.d, t.d as td, p from e cross join (values (0, 1), (1, 2)) k(p, back) join e t on t.b = e.b and t.s = e.s - back where e.s % 5 <> 0),
+k as (select e.b, e.s, t.s as x from e join e t on t.b = e.b and t.s = e.s - 3 where e.s % 7 = 0),
+n as (select u.*, (select count(*) from u w where w.b = u.b and w.x = u.x and w.s <= u.s and w.d = w.td) as same from u),
+f as (select b, x as who, s, 0 as phase, p, 0 as step, case when same > 2 then 20000 else 50000 end as delta from n union all select b, x, s, 1, 0, 0, -120000 from k union all select b, s, s, 1, 0, 1, -120000 from k
+ union all select k.b, u.s, k.s, 1, 0, 2, -50000 from k join u on u.b = k.b and u.x = k.x and u.s <= k.s),
+l as (select b, who, list(delta order by s, phase, p, step) as ds from f group by all)
+select cast(e.b as varchar) as board_id, cast(e.s as varchar) as entry_id, list_reduce(list_prepend(v, coalesce(ds, [])), lambda a, d: case when d >= 0 then least(980000, a + d) else greatest(100000, a + d) end) / 1000000 as confidence from e left join l on l.b = e.b and l.who = e.s"""
+
+
+@query("confidence_edges", CONFIDENCE_SQL)
+def confidence_edges(spark, sf_dir):
+    e, s = c("event_id"), lambda x: x.cast("string")
+    none = F.array().cast("array<string>")
+    back = lambda *k: F.array(*[s(e - x) for x in k])
+    entries = table(spark, sf_dir, "events").select(
+        s(F.floor(e / 40)).alias("board_id"), s(e).alias("entry_id"), e.alias("seq"), s(e % 3).alias("document"), F.when(e % 5 != 0, back(1, 2)).otherwise(none).alias("supports"), F.when(e % 7 == 0, back(3)).otherwise(none).alias("contradicts"),
+        F.when(e % 4 == 0, 0.95).when(e % 4 == 1, 0.15).otherwise(0.6).alias("confidence"),
+    )
+    return K.confidences(entries)
