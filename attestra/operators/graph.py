@@ -73,3 +73,35 @@ def folded(effects: DataFrame, by: str, order: list[str], start: Column, step) -
     """``by`` and ``value``: the effects of each target applied in order; ``step(value, effect)`` gives the next value."""
     rows = F.sort_array(F.collect_list(F.struct(*order, "delta")))
     return effects.groupBy(by).agg(F.aggregate(rows, start, step).alias("value"))
+
+
+# What a removed document costs for each conclusion broken or weakened and each contradiction hidden; conclusions.
+BROKEN, WEAKENED, HIDDEN = 10, 3, 2
+CONCLUSIONS = ["analysis", "strategy", "calculation"]
+
+
+def removal(entries: DataFrame, supports: DataFrame, contradicts: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per document broken, weakened, robust, hidden, impact, most_load_bearing; conclusions that rest on one document alone).
+
+    ``entries``: board_id, entry_id, type, status, document; the edges: board_id, src, dst; ``documents``: board_id, pos, document. An
+    entry rests on its own document and on those of all that supports it, over any number of steps and in circles too. A
+    conclusion is broken if the removed document is all it rests on, weakened if it is one of several, else robust;
+    those that rest on nothing don't count. A contradiction is hidden if one of its ends comes from the document. Of several
+    documents with the highest impact of a board the first one bears most."""
+    node = lambda x: F.struct("board_id", F.col(x).alias("entry_id"))
+    own = entries.where("document is not null").select(F.struct("board_id", "document").alias("start"), node("entry_id").alias("id")).distinct()
+    rests = reachable(own, supports.select(node("src").alias("src"), node("dst").alias("dst")).distinct()).select("start.board_id", "start.document", "id.entry_id")
+    ends = entries.where((F.col("status") == "active") & F.col("type").isin(CONCLUSIONS)).select("board_id", "entry_id")
+    held = rests.join(ends, ["board_id", "entry_id"])
+    n = held.groupBy("board_id", "entry_id").agg(F.count(F.lit(1)).alias("n"), F.min("document").alias("document"))
+    total = n.groupBy("board_id").agg(F.count(F.lit(1)).alias("all"))
+    per = held.join(n.select("board_id", "entry_id", "n"), ["board_id", "entry_id"]).groupBy("board_id", "document").agg(F.count_if(F.col("n") == 1).alias("broken"), F.count_if(F.col("n") > 1).alias("weakened"))
+    known = entries.select("board_id", "entry_id", "document")
+    sides = contradicts.join(known.select("board_id", F.col("entry_id").alias("src"), F.col("document").alias("a")), ["board_id", "src"]).join(known.select("board_id", F.col("entry_id").alias("dst"), F.col("document").alias("b")), ["board_id", "dst"])
+    hidden = sides.select("board_id", F.explode(F.array_distinct(F.array_compact(F.array("a", "b")))).alias("document")).groupBy("board_id", "document").agg(F.count(F.lit(1)).alias("hidden"))
+    zero = ["broken", "weakened", "hidden", "all"]
+    rows = documents.join(per, ["board_id", "document"], "left").join(hidden, ["board_id", "document"], "left").join(total, "board_id", "left").fillna(0, zero)
+    rows = rows.withColumn("robust", F.col("all") - F.col("broken") - F.col("weakened")).withColumn("impact", BROKEN * F.col("broken") + WEAKENED * F.col("weakened") + HIDDEN * F.col("hidden"))
+    top = rows.groupBy("board_id").agg(F.max(F.struct("impact", (-F.col("pos")).alias("low"))).alias("top"))
+    out = rows.join(top, "board_id").withColumn("most_load_bearing", (F.col("impact") == F.col("top.impact")) & (-F.col("pos") == F.col("top.low")))
+    return out.select("board_id", "document", "broken", "weakened", "robust", "hidden", "impact", "most_load_bearing"), n.where("n = 1").select("board_id", "entry_id", "document")

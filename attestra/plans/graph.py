@@ -170,3 +170,34 @@ def confidence_edges(spark, sf_dir):
         F.when(e % 4 == 0, 0.95).when(e % 4 == 1, 0.15).otherwise(0.6).alias("confidence"),
     )
     return K.confidences(entries)
+
+
+_REMOVAL = """e as (select conv_id as b, turn as t, ['observation', 'analysis', 'strategy', 'gap'][turn % 4 + 1] as type, turn % 7 <> 6 as active, case when turn % 3 <> 2 then 'd' || turn * 5 % 4 end as d from conversations),
+s as (select x.b, x.t as src, y.t as dst from e x join e y on x.b = y.b and (y.t = x.t - 2 or (x.t % 4 = 1 and y.t = x.t + 2))), k as (select x.b, x.t as src, y.t as dst, x.d as xd, y.d as yd from e x join e y on x.b = y.b and y.t = x.t - 3 and x.t % 5 = 0),
+r as (select b, d, t from e where d is not null union select r.b, r.d, s.dst from r join s on s.b = r.b and s.src = r.t),
+c as (select r.b, r.t, r.d, count(*) over (partition by r.b, r.t) as n from r join e on e.b = r.b and e.t = r.t where e.active and e.type in ('analysis', 'strategy'))"""
+_DOCS = """docs as (select distinct b, 'd' || p as d, p from e cross join range(4) x(p)), h as (select b, d, count(*) as hidden from (select b, xd as d from k where xd is not null union all select b, yd from k where yd is not null and yd is distinct from xd) group by all),
+f as (select docs.b, docs.d, p, count(*) filter (n = 1) as broken, count(*) filter (n > 1) as weakened, (select count(distinct t) from c where c.b = docs.b) as every from docs left join c on c.b = docs.b and c.d = docs.d group by all),
+g as (select f.*, coalesce(hidden, 0) as hidden, 10 * broken + 3 * weakened + 2 * coalesce(hidden, 0) as impact from f left join h on h.b = f.b and h.d = f.d)"""
+
+
+def _removal(spark, sf_dir):
+    t = c("turn")
+    kinds = F.array(*map(F.lit, ["observation", "analysis", "strategy", "gap"]))
+    entries = table(spark, sf_dir, "conversations").select(c("conv_id").alias("board_id"), t.alias("entry_id"), F.get(kinds, (t % 4).cast("int")).alias("type"), F.when(t % 7 == 6, "superseded").otherwise("active").alias("status"), F.when(t % 3 != 2, F.concat(F.lit("d"), (t * 5 % 4).cast("string"))).alias("document"))
+    known = entries.select("board_id", c("entry_id").alias("dst"))
+    edge = lambda to: entries.select("board_id", c("entry_id").alias("src"), F.explode(to).alias("dst")).join(known, ["board_id", "dst"], "left_semi")
+    k = c("entry_id")
+    documents = entries.select("board_id").distinct().select("board_id", F.posexplode(F.array(*[F.lit(f"d{i}") for i in range(4)])).alias("pos", "document"))
+    return G.removal(entries, edge(F.when(k % 4 == 1, F.array(k - 2, k + 2)).otherwise(F.array(k - 2))), edge(F.when(k % 5 == 0, F.array(k - 3))), documents)
+
+
+@query("removal_impact", f"with recursive {_REMOVAL}, {_DOCS} select b as board_id, d as document, broken, weakened, every - broken - weakened as robust, hidden, impact, row_number() over (partition by b order by impact desc, p) = 1 as most_load_bearing from g")
+def removal_impact(spark, sf_dir):
+    """Some supports go in circles here."""
+    return _removal(spark, sf_dir)[0]
+
+
+@query("fragile_conclusions", f"with recursive {_REMOVAL} select b as board_id, t as entry_id, d as document from c where n = 1")
+def fragile_conclusions(spark, sf_dir):
+    return _removal(spark, sf_dir)[1]

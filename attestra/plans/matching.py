@@ -193,6 +193,13 @@ def evidence_support(spark, sf_dir):
     return M.supporting(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("evidence_tiers")
+def evidence_tiers(spark, sf_dir):
+    """All passages against all documents; the claim says the passage's last five words. Tests compare with a plain table of common runs."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.substring_index("text", " ", -5).alias("content"))
+    return M.evidence_tiers(items, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("quote_fallback", "select doc_id, case when strpos(lower(text), 'licensed') > 0 then strpos(lower(text), 'licensed') - 1 else 0 end as start_char, least(length(text), case when strpos(lower(text), 'licensed') > 0 then strpos(lower(text), 'licensed') - 1 else 0 end + 3000) as end_char from documents")
 def quote_fallback(spark, sf_dir):
     at = F.instr(F.lower("text"), F.lit("licensed")).cast("long")
