@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What counts as a checkable value.
+#: In parity mode the suffix of an amount may be the first letter of the next word: $5 by June is five billion.
+LOOSE_DOLLARS = r"(?i)\$\s*\d+(?:\.\d+)?\s*[BMK]|\$\s*[\d,]+(?:\.\d+)?|\d+(?:,\d{3})+\s*(?:dollars|USD)"
 DOLLARS = r"(?i)\$\s*\d+(?:\.\d+)?\s*[BMK]\b|\$\s*[\d,]+(?:\.\d+)?|\d+(?:,\d{3})+\s*(?:dollars|USD)"
 PERCENTS = r"(?i)\d+(?:\.\d+)?\s*%|\d+(?:\.\d+)?\s*percent"
 DATES = r"(?i)(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}(?:st|nd|rd|th)?,?\s*\d{4}|\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2}"
@@ -18,24 +20,31 @@ def all_matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 0)
 
 
-def dollars(raw: Column) -> Column:
-    """Whole dollars of a text such as ``$1.5M``; the fraction is cut; null if it is no number."""
+def amount(raw: Column) -> Column:
+    """The amount of a text such as ``$1.5M``, fractions of a dollar included; null if it is no number."""
     s = F.lower(F.regexp_replace(raw, r"[$, ]", ""))
     suffix = F.substring(s, -1, 1)
     factor = F.when(suffix == "k", 1_000).when(suffix == "m", 1_000_000).when(suffix == "b", 1_000_000_000)
     number = F.when(factor.isNotNull(), F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s)
-    return F.floor(number.try_cast("double") * F.coalesce(factor, F.lit(1))).cast("long")
+    return number.try_cast("double") * F.coalesce(factor, F.lit(1))
+
+
+def dollars(raw: Column) -> Column:
+    """Whole dollars of a text such as ``$1.5M``; the fraction is cut; null if it is no number."""
+    return F.floor(amount(raw)).cast("long")
 
 
-def number(raw: Column) -> Column:
-    """A number in text: dollars first, then a percentage as a share, then the first number."""
+def number(raw: Column, parity: bool = False) -> Column:
+    """A number in text: an amount first, then a percentage as a share, then the first number. In parity mode the
+    fraction of a plain number is cut, as it is read as whole dollars."""
     first = F.nullif(F.regexp_extract(F.regexp_replace(raw, ",", ""), r"-?\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
-    return F.coalesce(dollars(raw).cast("double"), F.when(raw.rlike("%"), first / 100), first)
+    plain = dollars(raw).cast("double") if parity else amount(raw)
+    return F.coalesce(plain, F.when(raw.rlike("%"), first / 100), first)
 
 
-def checkable_values(text: Column) -> Column:
-    """Array of (type, raw, canonical) of all checkable values."""
-    kinds = (("dollar", DOLLARS), ("percent", PERCENTS), ("date", DATES), ("section_ref", SECTIONS), ("number_unit", UNITS))
+def checkable_values(text: Column, parity: bool = False) -> Column:
+    """Array of (type, raw, canonical) of all checkable values. In parity mode an amount takes the next word's first letter for its suffix."""
+    kinds = (("dollar", LOOSE_DOLLARS if parity else DOLLARS), ("percent", PERCENTS), ("date", DATES), ("section_ref", SECTIONS), ("number_unit", UNITS))
     none = F.lit(None).cast("long")
 
     def found(kind: str, pattern: str) -> Column:

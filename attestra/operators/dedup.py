@@ -30,15 +30,20 @@ def next_ids(known: DataFrame, new: DataFrame, prefix: str, order: list[Column],
     return new.join(top, by, "left").withColumn("id", F.concat(F.lit(prefix), (F.coalesce("top", F.lit(0)) + at).cast("string"))).drop("top")
 
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """id, grp, item, size: the rarest items of each row, of which two rows that share ``percent`` of their union have one in common."""
+    counts = sets.select("grp", F.explode("items").alias("item")).groupBy("grp", "item").agg(F.count(F.lit(1)).alias("n"))
+    items = sets.select("id", "grp", F.size("items").alias("size"), F.explode("items").alias("item")).join(counts, ["grp", "item"])
+    ranked = items.withColumn("place", F.row_number().over(Window.partitionBy("grp", "id").orderBy("n", "item")))
+    return ranked.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).where("n > 1").select("id", "grp", "item", "size")
+
+
 def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, both, either) of rows of one group whose sets share ``percent`` of their union.
 
     ``sets``: id, grp, items (distinct). Pairs come from an equi join on the rarest items of each
     row (a prefix that a similar row must share), not from all pairs of a group."""
-    counts = sets.select("grp", F.explode("items").alias("item")).groupBy("grp", "item").agg(F.count(F.lit(1)).alias("n"))
-    items = sets.select("id", "grp", F.size("items").alias("size"), F.explode("items").alias("item")).join(counts, ["grp", "item"])
-    ranked = items.withColumn("place", F.row_number().over(Window.partitionBy("grp", "id").orderBy("n", "item")))
-    prefix = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).where("n > 1").select("id", "grp", "item", "size")
+    prefix = prefixes(sets, percent)
     b = prefix.select(F.col("id").alias("b"), "grp", "item", F.col("size").alias("size_b"))
     pairs = prefix.select(F.col("id").alias("a"), "grp", "item", F.col("size").alias("size_a")).join(b, ["grp", "item"]).where("a < b and least(size_a, size_b) * 100 >= greatest(size_a, size_b) * " + str(percent)).select("a", "b").distinct()
     one, two = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
@@ -46,30 +51,57 @@ def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either")).where(f"both * 100 >= either * {percent}")
 
 
-def leaders(pairs: DataFrame, rounds: int = 64) -> DataFrame:
+def leaders(pairs: DataFrame) -> DataFrame:
     """(id, leader) of the rows that an earlier kept row absorbs.
 
     ``pairs``: before, after of similar rows, ``before`` the smaller in a fixed order; the order of
     the values is the order of the rows. A row is kept if no earlier similar row is kept. Each round
-    decides all rows whose earlier neighbours are decided, for all groups at once."""
+    decides all rows whose earlier neighbours are decided, for all groups at once; as the first undecided
+    row is always one of them, it ends after as many rounds as the longest chain of open questions."""
     pairs = cut(pairs.select("before", "after"))
-    undecided = pairs.select(F.col("before").alias("id")).union(pairs.select(F.col("after").alias("id"))).distinct()
+    undecided = cut(pairs.select(F.col("before").alias("id")).union(pairs.select(F.col("after").alias("id"))).distinct())
     kept, open_ = None, pairs.distinct()
-    for _ in range(rounds):
+    while not undecided.isEmpty():
         first = cut(undecided.join(open_.select(F.col("after").alias("id")).distinct(), "id", "left_anti"))
-        kept = first if kept is None else kept.unionByName(first)
+        kept = first if kept is None else cut(kept.unionByName(first))
         hit = open_.join(first.select(F.col("id").alias("before")), "before", "left_semi").select(F.col("after").alias("id")).distinct()
         undecided = cut(undecided.join(first, "id", "left_anti").join(hit, "id", "left_anti"))
-        if undecided.isEmpty():
-            break
         live = undecided.select("id")
         open_ = cut(open_.join(live.withColumnRenamed("id", "before"), "before", "left_semi").join(live.withColumnRenamed("id", "after"), "after", "left_semi"))
-    else:
-        raise RuntimeError(f"chains of similar rows are longer than {rounds}")
+    if kept is None:
+        return pairs.select(F.col("after").alias("id"), F.col("before").alias("leader"))
     by = pairs.join(kept.select(F.col("id").alias("before")), "before", "left_semi").join(kept.select(F.col("id").alias("after")), "after", "left_anti")
     return by.groupBy(F.col("after").alias("id")).agg(F.min("before").alias("leader"))
 
 
+def absorbed(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, leader): what ``leaders`` gives for the similar rows of ``sets`` (id, grp, items), without making pairs of rows.
+
+    Similar rows share one of their rarest items, a bucket. In a round, rows that are the first undecided one in all of their
+    buckets are kept, and meet the other rows of their buckets: one kept row a bucket and round. So a group of near copies
+    costs a row for each member, not one for each pair. A row absorbed by a kept row goes on meeting earlier ones, as
+    the first of all similar kept rows absorbs it."""
+    prefix = cut(prefixes(sets, percent))
+    found = sets.sparkSession.createDataFrame([], prefix.select("id", F.col("id").alias("leader")).schema)
+    undecided = cut(prefix.select("id").distinct())
+    while not undecided.isEmpty():
+        live = prefix.join(undecided, "id", "left_semi")
+        first_in = live.groupBy("grp", "item").agg(F.min("id").alias("first"))
+        blocked = live.join(first_in, ["grp", "item"]).where("id > first").select("id").distinct()
+        kept = cut(undecided.join(blocked, "id", "left_anti"))
+        own = prefix.join(kept, "id", "left_semi").select(F.col("id").alias("leader"), "grp", "item", F.col("size").alias("size_l"))
+        # rows that are still open, or that a later row has absorbed so far
+        rest = undecided.join(kept, "id", "left_anti").select("id", F.lit(None).cast(found.schema["leader"].dataType).alias("so_far")).unionByName(found.select("id", F.col("leader").alias("so_far")))
+        met = prefix.join(rest, "id").join(own, ["grp", "item"]).where("leader < id and (so_far is null or leader < so_far)")
+        met = met.where(f"least(size, size_l) * 100 >= greatest(size, size_l) * {percent}").select("leader", "id").distinct()
+        one, two = sets.select(F.col("id").alias("leader"), F.col("items").alias("x")), sets.select("id", F.col("items").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        hits = met.join(one, "leader").join(two, "id").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).groupBy("id").agg(F.min("leader").alias("leader"))
+        found = cut(found.unionByName(hits).groupBy("id").agg(F.min("leader").alias("leader")))
+        undecided = cut(undecided.join(kept, "id", "left_anti").join(found.select("id"), "id", "left_anti"))
+    return found
+
+
 def merged_signals(signals: DataFrame, percent: int = 50) -> DataFrame:
     """id, type, priority, merged: the signals that stay, with the highest priority and the number of those they absorb, themselves included.
 
@@ -80,18 +112,59 @@ def merged_signals(signals: DataFrame, percent: int = 50) -> DataFrame:
     sets = signals.withColumns({"grp": F.coalesce("type", F.lit("")), "items": F.sort_array(word_trigrams(F.coalesce("content", F.lit(""))))})
     nodes = sets.groupBy("grp", "items").agg(F.min("id").alias("id"), F.first("type").alias("type"), F.max("priority").alias("priority"), F.count(F.lit(1)).alias("merged"))
     nodes = cut(nodes)
-    pairs = similar_pairs(nodes, percent).select(F.col("a").alias("before"), F.col("b").alias("after"))
-    stays = nodes.join(leaders(pairs), "id", "left").withColumn("id", F.coalesce("leader", "id"))
+    stays = nodes.join(absorbed(nodes.where(F.size("items") > 0), percent), "id", "left").withColumn("id", F.coalesce("leader", "id"))
     return stays.groupBy("id").agg(F.first("type").alias("type"), F.max("priority").alias("priority"), F.sum("merged").alias("merged"))
 
 
-def roots(parents: DataFrame, rounds: int = 32) -> DataFrame:
-    """(id, root) of rows that have a parent; parents come earlier in order. Pointers double each round."""
+def roots(parents: DataFrame) -> DataFrame:
+    """(id, root) of rows that have a parent; parents come earlier in order, so there are no circles. Pointers double each round."""
     at = parents.select("id", F.col("parent").alias("root"))
-    for _ in range(rounds):
+    while True:
         up = at.select(F.col("id").alias("root"), F.col("root").alias("above"))
         step = cut(at.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
         at = step.select("id", "root")
         if step.where("moved").isEmpty():
-            break
-    return at
+            return at
+
+
+# Importance, best first; those that count as high; the section that takes what is over.
+IMPORTANCE = ["critical", "high", "medium", "low"]
+HIGH = ["critical", "high"]
+OVERFLOW = "Additional Items"
+
+
+def consolidated_items(items: DataFrame, percent: int = 85, least: int = 15) -> DataFrame:
+    """board_id, item_id, summary, importance, entry_ids (sorted), merged: near-equal items of one board and group as one.
+
+    ``items``: board_id, item_id (gives the order), grp, summary, importance, entry_ids. The longest item of similar ones stays, with the
+    entry ids of all and the best importance (an unknown one counts as medium and stays as it is unless a better one
+    is met). A board of ``least`` items or more stays as it was if over 30 % of its items would vanish, or, where more
+    than four were critical or high, over 20 % of those."""
+    words = F.array_distinct(F.filter(F.split(F.lower("summary"), r"[^\w]+"), lambda w: F.length(w) > 3))
+    place = F.struct((-F.length("summary")).alias("size"), "item_id", "board_id")
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, IMPORTANCE)), F.col("importance")), F.lit(0)), F.lit(3))
+    rows = cut(items.withColumns({"id": place, "items": words, "_rank": rank, "_grp": F.to_json(F.struct("board_id", "grp"))}))
+    led = absorbed(rows.where(F.size("items") > 0).select("id", F.col("_grp").alias("grp"), "items"), percent)
+    joined = rows.join(led, "id", "left").withColumn("into", F.coalesce("leader", "id"))
+    best = F.min_by("importance", F.struct("_rank", (F.col("id") != F.col("into")).alias("other"), "id"))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("entry_ids"))))
+    merged = joined.groupBy("into").agg(best.alias("importance"), ids.alias("entry_ids"), F.count(F.lit(1)).alias("merged"))
+    merged = merged.select(F.col("into.board_id").alias("board_id"), F.col("into.item_id").alias("item_id"), "importance", "entry_ids", "merged")
+    high = F.count_if(F.col("importance").isin(HIGH))
+    before = rows.groupBy("board_id").agg(F.count(F.lit(1)).alias("n"), high.alias("high"))
+    after = merged.groupBy("board_id").agg(F.count(F.lit(1)).alias("n_after"), high.alias("high_after"))
+    lost = (F.col("n") >= least) & ((F.col("n_after") * 10 < F.col("n") * 7) | ((F.col("high") > 4) & (F.col("high_after") * 10 < F.col("high") * 8)))
+    back = before.join(after, "board_id").select("board_id", lost.alias("back"))
+    own = rows.select("board_id", "item_id", "summary", F.col("importance").alias("i"), F.array_sort(F.array_distinct("entry_ids")).alias("e")).join(back, "board_id").join(merged, ["board_id", "item_id"], "left")
+    kept = own.where(F.col("back") | F.col("merged").isNotNull())
+    pick = lambda a, b: F.when(F.col("back"), a).otherwise(F.col(b))
+    return kept.select("board_id", "item_id", "summary", pick(F.col("i"), "importance").alias("importance"), pick(F.col("e"), "entry_ids").alias("entry_ids"), pick(F.lit(1), "merged").alias("merged"))
+
+
+def capped_sections(rows: DataFrame, most: int = 20) -> DataFrame:
+    """board_id, name, rows, section: a board with over ``most`` sections keeps the most - 1 with the most rows, in the order of their first
+    row (pos) where equal; the others go to one more section."""
+    used = rows.groupBy("board_id", "name").agg(F.count(F.lit(1)).alias("rows"), F.min("pos").alias("first"))
+    w = Window.partitionBy("board_id")
+    ranked = used.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("rows"), "first", "name")))
+    return ranked.select("board_id", "name", "rows", F.when((F.col("n") > most) & (F.col("k") >= most), OVERFLOW).otherwise(F.col("name")).alias("section"))

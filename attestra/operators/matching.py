@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 #: Words of a run that a quote and a text share; a quote of fewer whole words joins on runs of as many.
 RUN = 8
 #: Characters of a run that a quote without a whole word inside and a text share.
@@ -56,7 +58,8 @@ def quote_candidates(quotes: DataFrame, texts: DataFrame, n: int = RUN) -> DataF
     own = F.coalesce(*(F.when(F.col("length") == k, runs(F.col("inner" if k > 0 else "quote"), k)) for k in lengths))
     q = sized.select("quote_id", F.explode(F.array_distinct(own)).alias("run"))
     t = texts.select("text_id", F.explode(F.array_distinct(F.flatten(F.array(*(runs(F.col("text"), k) for k in lengths))))).alias("run"))
-    held = t.join(q.select("run").distinct(), "run", "left_semi")
+    # the runs of all texts are worked out once: the counts and the last join both need those that quotes have
+    held = cut(t.join(q.select("run").distinct(), "run", "left_semi"))
     counts = held.groupBy("run").agg(F.count(F.lit(1)).alias("texts"))
     rarest = q.join(counts, "run").groupBy("quote_id").agg(F.min_by("run", F.struct("texts", "run")).alias("run"))
     return held.join(rarest, "run").select("quote_id", "text_id")

@@ -206,6 +206,24 @@ def consolidate(spark, sf_dir):
     return consolidated(table(spark, sf_dir, "documents").select(c("doc_id").alias("item_id"), c("source").alias("board_id"), F.concat_ws("/", "source", "lang").alias("grp"), c("text").alias("summary")))
 
 
+@query("consolidate_items")
+def consolidate_items(spark, sf_dir):
+    """Documents of one source as a board's items; tests compare the operator with a plain pass in order."""
+    d = c("doc_id")
+    kinds = F.array(*map(F.lit, ["low", "medium", "odd", "high", "critical"]))
+    items = table(spark, sf_dir, "documents").select(
+        c("source").alias("board_id"), d.alias("item_id"), c("lang").alias("grp"), F.coalesce("text", F.lit("")).alias("summary"), F.get(kinds, (d % 5).cast("int")).alias("importance"), F.array(F.concat(F.lit("e"), d.cast("string")), F.concat(F.lit("e"), (d % 97).cast("string"))).alias("entry_ids"),
+    )
+    return D.consolidated_items(items).drop("summary")
+
+
+@query("section_cap", """with u as (select o_custkey % 50 as b, 's' || o_orderkey % 31 as name, count(*) as n, min(o_orderkey) as first from orders group by all), r as (select *, count(*) over (partition by b) as k, row_number() over (partition by b order by n desc, first, name) as i from u)
+ select b as board_id, name, n as rows, case when k > 20 and i >= 20 then 'Additional Items' else name end as section from r""")
+def section_cap(spark, sf_dir):
+    k = c("o_orderkey")
+    return D.capped_sections(table(spark, sf_dir, "orders").select((c("o_custkey") % 50).alias("board_id"), F.concat(F.lit("s"), (k % 31).cast("string")).alias("name"), k.alias("pos")))
+
+
 def merged_sections(rows, above=20, percent=60):
     """board_id, name, merged: names of a board with over ``above`` sections go to the most used similar name."""
     used = rows.groupBy("board_id", "name").agg(F.count(F.lit(1)).alias("rows"))

@@ -51,8 +51,10 @@ def target_blockers(spark, sf_dir):
  select l_orderkey, count(*) as bound, count(*) filter (kind = 'N') as raw, list_sort(list_distinct(list(kind))) as kinds, list(l_partkey order by q desc, l_partkey) filter (k <= 8) as best from r group by 1""")
 def target_card(spark, sf_dir):
     claims = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_returnflag").alias("kind"), F.max(F.col("l_quantity").cast("int")).alias("q"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("q")).alias("q"), "l_partkey"))), 1, 8)["l_partkey"]
-    return claims.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("bound"), F.count_if(F.col("kind") == "N").alias("raw"), F.sort_array(F.collect_set("kind")).alias("kinds"), best.alias("best"))
+    # only the eight best of a target are gathered
+    ranked = K.top_per_group(claims, ["l_orderkey"], [F.desc("q"), F.col("l_partkey")], 8)
+    best = ranked.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("rank", "l_partkey")))["l_partkey"].alias("best"))
+    return best.join(claims.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("bound"), F.count_if(F.col("kind") == "N").alias("raw"), F.sort_array(F.collect_set("kind")).alias("kinds")), "l_orderkey")
 
 
 @query("obligation_card", "select o_custkey, count(*) as units, count(*) filter (o_orderstatus = 'F') as answered, count(*) filter (o_orderstatus = 'P') as partial, count(*) filter (o_orderstatus = 'O') as open from orders group by 1")

@@ -30,9 +30,27 @@ def dollar_norm(spark, sf_dir):
 def num_parse(spark, sf_dir):
     k = F.col("o_orderkey")
     raw = F.when(k % 3 == 0, F.concat(F.lit("$"), F.format_number("o_totalprice", 2))).when(k % 3 == 1, F.concat(k % 100, F.lit(" %"))).otherwise(F.concat(F.lit("about "), k % 1000, F.lit(" items")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.number(raw, parity=True).alias("number"))
+
+
+@query("num_parse_exact", """select o_orderkey, case o_orderkey % 4 when 0 then round(o_totalprice, 2) when 1 then (o_orderkey % 100) / 100.0::double when 2 then (o_orderkey % 90) * 1000 + 250 else (o_orderkey % 1000) + 0.75 end as number from orders""")
+def num_parse_exact(spark, sf_dir):
+    """Amounts with cents, percentages, amounts with a suffix, plain decimals: nothing is cut."""
+    k = F.col("o_orderkey")
+    s = lambda x: x.cast("string")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("$"), F.format_number("o_totalprice", 2))).when(k % 4 == 1, F.concat(s(k % 100), F.lit(" %"))).when(k % 4 == 2, F.concat(F.lit("$"), s(k % 90), F.lit(".25k"))).otherwise(F.concat(s(k % 1000), F.lit(".75")))
     return table(spark, sf_dir, "orders").select("o_orderkey", S.number(raw).alias("number"))
 
 
+@query("values_parity", r"""select o_orderkey, case when o_orderkey % 3 = 0 then (o_orderkey % 50) * 1000000000 when o_orderkey % 3 = 1 then o_orderkey % 50 else (o_orderkey % 50) * 1000 end as loose, case when o_orderkey % 3 = 2 then (o_orderkey % 50) * 1000 else o_orderkey % 50 end as strict from orders""")
+def values_parity(spark, sf_dir):
+    """The first amount of a text in both modes: ``$5 by June`` differs, ``$5 and`` and ``$5k`` don't."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("pay $"), (k % 50).cast("string"), F.when(k % 3 == 0, " by June").when(k % 3 == 1, " and more").otherwise("k a day"))
+    first = lambda parity: F.filter(S.checkable_values(text, parity), lambda v: v["type"] == "dollar")[0]["canonical"]
+    return table(spark, sf_dir, "orders").select("o_orderkey", first(True).alias("loose"), first(False).alias("strict"))
+
+
 @query("digits_conserved", """with c as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, 'part ' || l_partkey || ' line ' || l_linenumber as content, 'line ' || l_linenumber || ' part ' || (l_partkey + case when l_suppkey % 5 = 0 then 1 else 0 end) as evidence, 'order ' || l_orderkey || ' part ' || l_partkey || ' line ' || l_linenumber as slice from lineitem)
  select l_orderkey, count(*) as claims, count(*) filter (len(list_filter(regexp_extract_all(content, '[0-9]+'), lambda x: not list_contains(regexp_extract_all(evidence, '[0-9]+'), x))) = 0 and len(list_filter(regexp_extract_all(evidence, '[0-9]+'), lambda x: not list_contains(regexp_extract_all(slice, '[0-9]+'), x))) = 0) as conserved from c group by l_orderkey""")
 def digits_conserved(spark, sf_dir):
