@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-for _module in ("text", "values", "matching", "intake", "rollups", "ranking", "dedup", "graph", "entries", "drafts", "boards", "sources", "streams", "reports", "commitments", "pages"):
+for _module in ("text", "values", "matching", "intake", "rollups", "ranking", "dedup", "graph", "entries", "drafts", "boards", "sources", "streams", "reports", "commitments", "pages", "board_tables"):
     import_module(f"attestra.plans.{_module}")
