@@ -174,3 +174,31 @@ def scored_windows(items: DataFrame, docs: DataFrame, width: int = 900, stride:
     held = words.join(holds, "word").select("doc_id", "start_char", "term").distinct()
     hits = held.join(terms, "term").groupBy("item_id", "doc_id", "start_char").agg(F.count(F.lit(1)).alias("hits")).join(sizes, "item_id")
     return top_per_group(hits, ["item_id", "doc_id"], [F.desc("hits"), F.col("start_char")], k).select("item_id", "doc_id", "start_char", "hits", "n", "rank")
+
+
+# What opens a sheet, what separates a table's head, the sheet of rows before any; characters of a sheet's name.
+SHEET, SEPARATOR, FIRST_SHEET, SHEET_NAME = r"(?i)^#{1,3}\s*Sheet:\s*(.+)$", r"^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?$", "Analysis", 31
+
+
+def sheet_rows(lines: DataFrame) -> DataFrame:
+    """text_id, sheet, row_no (from 1), cells: the rows of the sheets that a text of pipe tables describes.
+
+    ``lines``: text_id, line_no, line. A line like "# Sheet: name" opens a sheet, or goes on with it if it was there; separators and blank lines
+    give nothing; a line with two bars or more is cut into trimmed cells, any other one is a row of one cell."""
+    line = stripped(F.col("line"))
+    name = F.substring(F.coalesce(F.nullif(stripped(F.regexp_replace(F.regexp_extract(line, SHEET, 1), r"[\[\]*?/\\:]", " ")), F.lit("")), F.lit("Sheet")), 1, SHEET_NAME)
+    order = Window.partitionBy("text_id").orderBy("line_no")
+    rows = lines.withColumn("s", line).where("s <> ''").withColumn("opened", F.when(line.rlike(SHEET), name))
+    rows = rows.withColumn("sheet", F.coalesce(F.last("opened", ignorenulls=True).over(order), F.lit(FIRST_SHEET))).where(F.col("opened").isNull() & ~line.rlike(SEPARATOR))
+    table_row = F.size(F.split("s", r"\|", -1)) > 2
+    cells = F.when(table_row, F.transform(F.split(F.regexp_replace("s", r"^\|+|\|+$", ""), r"\|", -1), lambda x: stripped(x))).otherwise(F.array("s"))
+    number = F.row_number().over(Window.partitionBy("text_id", "sheet").orderBy("line_no"))
+    return rows.select("text_id", "sheet", number.cast("long").alias("row_no"), cells.alias("cells"))
+
+
+def typed_paragraph(line: Column) -> Column:
+    """(kind, level, text) of a line: heading of level 1 to 4, bullet, numbered, blank or text, without its mark."""
+    s = stripped(line)
+    mark, told = F.regexp_extract(s, r"^(#{1,4}) ", 1), F.regexp_replace(s, r"^(#{1,4}|[-*]|[0-9]+[.)]) ", "")
+    kind = F.when(s == "", "blank").when(mark != "", "heading").when(s.rlike("^[-*] "), "bullet").when(s.rlike("^[0-9]+[.)] "), "numbered").otherwise("text")
+    return F.struct(kind.alias("kind"), F.when(kind == "heading", F.length(mark)).alias("level"), F.when(kind == "text", s).otherwise(told).alias("text"))

@@ -69,31 +69,31 @@ def snap_events(spark, sf_dir):
     return S.board_table(_snapshots(spark, sf_dir), "events")
 
 
-_FOUND = """r as (select conv_id, turn, case turn % 3 when 0 then 'observation' when 1 then 'calculation' else 'musing' end as given, trim(text) as content, case when turn % 4 < 2 then 'doc_' || conv_id % 3 when turn % 4 = 2 then 'doc_9' end as source from conversations),
-f as (select *, case given when 'musing' then 'observation' else given end as kind, turn % 4 < 2 and conv_id % 3 < 2 as known from r)"""
+_FOUND = """r as (select conv_id, turn, case turn % 3 when 0 then 'observation' when 1 then 'calculation' else 'musing' end as given, trim(case when turn % 5 = 0 then 'There is no ' else '' end || text) as content, case when turn % 4 < 2 then 'doc_' || conv_id % 3 when turn % 4 = 2 then 'doc_9' end as source from conversations),
+f as (select *, case given when 'musing' then 'observation' else given end as kind, source is not null and not (turn % 4 < 2 and conv_id % 3 < 2) as lost from r)"""
 
 
 def _findings(spark, sf_dir):
     t, board = c("turn"), c("conv_id")
-    text = F.to_json(F.array("text"))
+    text = F.to_json(F.array(F.concat(F.when(t % 5 == 0, "There is no ").otherwise(""), "text")))
     kind = F.when(t % 3 == 0, '"observation"').when(t % 3 == 1, '"calculation"').otherwise('"musing"')
     source = F.when(t % 4 < 2, F.concat(F.lit('"doc_'), (board % 3).cast("string"), F.lit('"'))).when(t % 4 == 2, '"doc_9"').otherwise("null")
     level = F.when(t % 4 == 0, '"0.5"').when(t % 4 == 1, "7").when(t % 4 == 2, "-1").otherwise('"high"')
-    reply = F.concat(F.lit('{"claims": [{"kind": '), kind, F.lit(', "content": '), F.substring(text, F.lit(2), F.length(text) - 2), F.lit(', "source": '), source, F.lit(', "confidence": '), level, F.lit(', "tags": ["a", 1, null]}, "none"]}'))
+    reply = F.concat(F.lit('{"findings": [{"type": '), kind, F.lit(', "content": '), F.substring(text, F.lit(2), F.length(text) - 2), F.lit(', "source_document": '), source, F.lit(', "confidence": '), level, F.lit(', "tags": ["a", 1, null]}, "none"]}'))
     turns = table(spark, sf_dir, "conversations")
     replies = turns.select(F.concat_ws("/", board.cast("string"), t.cast("string")).alias("reply_id"), board.alias("board_id"), F.parse_json(reply).alias("reply"))
     known = turns.select(board.alias("board_id")).distinct().select("board_id", F.explode(F.array(F.lit("doc_0"), F.lit("doc_1"))).alias("source"))
     return S.findings(replies, known)
 
 
-@query("worker_findings", f"""with {_FOUND} select conv_id || '/' || turn as reply_id, 0 as pos, case when length(content) >= 20 and not known and kind <> 'observation' then 'gap' else kind end as kind, content, source, case turn % 4 when 0 then 0.5 when 1 then 1 when 2 then 0 else 0.6 end::double as confidence, ['a'] as tags,
- case when length(content) < 20 then 'too_short' when not known and kind = 'observation' then 'refused' when not known then 'gap' else 'kept' end as outcome from f""")
+@query("worker_findings", f"""with {_FOUND}, o as (select *, case when length(content) < 20 then 'too_short' when lost and kind = 'observation' then 'refused' when lost then 'gap' else 'kept' end as outcome from f)
+select conv_id || '/' || turn as reply_id, 0 as pos, case when outcome = 'gap' then 'gap' else kind end as kind, content, case when outcome <> 'gap' then source end as source, case turn % 4 when 0 then 0.5 when 1 then 1 when 2 then 0 else 0.6 end::double as confidence, ['a'] as tags, outcome from o""")
 def worker_findings(spark, sf_dir):
     return _findings(spark, sf_dir)
 
 
-@query("finding_gate", rf"""with {_FOUND} select conv_id || '/' || turn as reply_id, length(content) >= 30 and (kind <> 'observation' or source is not null) and (kind <> 'calculation' or (len(regexp_extract_all(content, '[0-9]')) >= 2 and regexp_matches(content, '[+\-*/=×÷%]')))
- and not regexp_matches(lower(content), '^(no relevant|no information|not found|no evidence|the document does not|document does not contain)') as passes from (select *, kind as k from f) where length(content) >= 20 and not (not known and kind = 'observation') and not (not known and kind <> 'observation')""")
+@query("finding_gate", rf"""with {_FOUND} select conv_id || '/' || turn as reply_id, (kind <> 'observation' or (source is not null and not regexp_matches(lower(content), '^(does not contain|no mention of|not found in|the document does not|there is no|the provided text does not|no information about|the text does not|no evidence of|no reference to|this document does not)')))
+ and (kind <> 'calculation' or (len(regexp_extract_all(content, '[0-9]')) >= 2 and regexp_matches(content, '[=+×*/%−]'))) as passes from f where length(content) >= 20 and not lost""")
 def finding_gate(spark, sf_dir):
     """The gate over what is kept of the findings."""
     return _findings(spark, sf_dir).where("outcome = 'kept'").select("reply_id", S.passes_gate(c("kind"), c("content"), c("source")).alias("passes"))

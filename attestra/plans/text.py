@@ -8,6 +8,8 @@ from ..operators import text as T
 from .registry import query
 from .views import HEADED, LINES, headed, lines, table
 
+c = F.col
+
 _TRIM = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
 _LEVEL = r"""case when regexp_matches(s, '^#\s+(.+)$') then 1 when regexp_matches(s, '^(ARTICLE|Article)\s+[IVXLCDM\d]+') then 1 when regexp_matches(s, '^(SECTION|Section)\s+[\d.]+') then 2
  when regexp_matches(s, '^##\s+(.+)$') then 2 when regexp_matches(s, '^###\s+(.+)$') then 3 when regexp_matches(s, '^\s*\d+\.\d+\s+[A-Z]') then 3
@@ -164,3 +166,24 @@ def strip_heading(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.trim(F.coalesce("text", F.lit("")), F.lit(T.BLANKS + "\n")).alias("text"))
     top = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n## 1. **"), F.upper("source"), F.lit("**\n\n"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("# Sheet:  "), F.col("source"), F.lit("\n"))).otherwise("Notes\n")
     return docs.select("doc_id", T.without_heading(F.concat(top, "text"), F.col("source")).alias("text"))
+
+
+_SHEETS = f"""{LINES}, m as (select doc_id as text_id, line_no, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as w, case when line_no % 7 = 3 then '## Sheet: S' || line_no % 3 || '/' || doc_id % 2 when line_no % 7 = 4 then '|---|:---:|' when line_no % 7 in (5, 6) then '| ' || line || ' | x|' || line_no || ' |' else line end as line from lines)"""
+
+
+@query("sheet_cells", rf"""with {_SHEETS}, z as (select *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as z from m), n as (select *, case when line_no % 7 = 3 then 'S' || line_no % 3 || ' ' || text_id % 2 end as opened from z where z <> ''),
+ r as (select *, coalesce(last_value(opened ignore nulls) over (partition by text_id order by line_no), 'Analysis') as sheet from n), k as (select * from r where opened is null and not regexp_matches(z, '^\|?\s*:?-{{3,}}:?\s*(\|\s*:?-{{3,}}:?\s*)+\|?$'))
+ select text_id, sheet, row_number() over (partition by text_id, sheet order by line_no) as row_no, case when length(z) - length(replace(z, '|', '')) >= 2 then list_transform(string_split(trim(z, '|'), '|'), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) else [z] end as cells from k""")
+def sheet_cells(spark, sf_dir):
+    k, line = c("line_no") % 7, c("line")
+    marked = F.when(k == 3, F.concat(F.lit("## Sheet: S"), (c("line_no") % 3).cast("string"), F.lit("/"), (c("doc_id") % 2).cast("string"))).when(k == 4, "|---|:---:|").when(k.isin(5, 6), F.concat(F.lit("| "), line, F.lit(" | x|"), c("line_no").cast("string"), F.lit(" |"))).otherwise(line)
+    return T.sheet_rows(lines(table(spark, sf_dir, "documents")).select(c("doc_id").alias("text_id"), "line_no", marked.alias("line")))
+
+
+@query("typed_paragraphs", f"""with {LINES}, m as (select doc_id, line_no, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as w from lines)
+ select doc_id, line_no, case line_no % 5 when 0 then 'heading' when 1 then 'bullet' when 2 then 'numbered' when 3 then 'blank' else case when w = '' then 'blank' else 'text' end end as kind, case when line_no % 5 = 0 then line_no % 4 + 1 end as level, case when line_no % 5 = 3 then '' else w end as text from m where w <> '' or line_no % 5 > 2""")
+def typed_paragraphs(spark, sf_dir):
+    k, line = c("line_no") % 5, T.stripped(c("line"))
+    marked = F.when(k == 0, F.concat(F.repeat(F.lit("#"), (c("line_no") % 4 + 1).cast("int")), F.lit(" "), line)).when(k == 1, F.concat(F.lit("* "), line)).when(k == 2, F.concat(F.lit("12) "), line)).when(k == 3, " ").otherwise(c("line"))
+    rows = lines(table(spark, sf_dir, "documents")).where((line != "") | (k > 2)).select("doc_id", c("line_no").cast("long").alias("line_no"), T.typed_paragraph(marked).alias("p"))
+    return rows.select("doc_id", "line_no", "p.*")

@@ -27,11 +27,14 @@ TABLES = {
     "units": {"id": (TEXT, ""), "name": (TEXT, ""), "obligation_ref": (TEXT, ""), "anchor": (TEXT, ""), "claim_refs": (LIST, None), "status": (TEXT, "discovered"), "reason": (TEXT, "")},
     "events": {"iteration": (WHOLE, 0), "kind": (TEXT, ""), "summary": (TEXT, ""), "model": (TEXT, ""), "tokens": (WHOLE, 0), "tokens_in": (WHOLE, 0), "tokens_out": (WHOLE, 0)},
 }
-#: Kinds of claims that workers may hand in, and their words for none; words that open a finding of nothing.
-KINDS = ["observation", "analysis", "calculation", "strategy", "gap"]
-NOTHING_FOUND = ["no relevant", "no information", "not found", "no evidence", "the document does not", "document does not contain"]
-#: Characters of a finding and of one that passes the gate.
-LEAST, GATE = 20, 30
+#: Kinds of findings; openings of findings of nothing; operators of a calculation; characters of a finding.
+KINDS = ["observation", "analysis", "calculation", "strategy", "contradiction", "gap"]
+NOTHING_FOUND = [
+    "does not contain", "no mention of", "not found in", "the document does not", "there is no", "the provided text does not",
+    "no information about", "the text does not", "no evidence of", "no reference to", "this document does not",
+]
+OPERATORS = ["=", "+", "×", "*", "/", "%", "−"]
+LEAST = 20
 
 
 def texts(v: Column, path: str) -> Column:
@@ -71,27 +74,31 @@ def board_table(boards: DataFrame, name: str) -> DataFrame:
 def findings(replies: DataFrame, sources: DataFrame) -> DataFrame:
     """reply_id, pos, kind, content, source, confidence, tags, outcome of what workers hand in.
 
-    ``replies``: reply_id, board_id, reply (VARIANT with ``claims``); ``sources``: board_id, source (known names). Unknown kinds are
+    ``replies``: reply_id, board_id, reply (VARIANT with ``findings``); ``sources``: board_id, source (known names). Unknown kinds are
     observations; confidence is held inside 0 to 1, 0.6 where out of form; tags that are no text are left out. Outcomes: too_short
-    (under 20 characters), refused (an observation without a known source), gap (any other kind without one), kept."""
-    rows = replies.select("reply_id", "board_id", F.posexplode(field(c("reply"), "claims", "array<variant>")).alias("pos", "item")).where(F.schema_of_variant("item").startswith("OBJECT"))
-    kind = field(c("item"), "kind", "string")
+    (under 20 characters), refused (an observation that names an unknown source), gap (any other kind that does: it becomes a
+    gap without a source, to be looked into), kept. A finding that names no source is kept; the gate judges it."""
+    rows = replies.select("reply_id", "board_id", F.posexplode(field(c("reply"), "findings", "array<variant>")).alias("pos", "item")).where(F.schema_of_variant("item").startswith("OBJECT"))
+    kind = field(c("item"), "type", "string")
     tags = F.filter(field(c("item"), "tags", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
     read = rows.select(
-        "reply_id", "board_id", "pos", F.when(kind.isin(KINDS), kind).otherwise("observation").alias("kind"), F.trim(F.coalesce(field(c("item"), "content", "string"), F.lit(""))).alias("content"), field(c("item"), "source", "string").alias("source"),
+        "reply_id", "board_id", "pos", F.when(kind.isin(KINDS), kind).otherwise("observation").alias("kind"), F.trim(F.coalesce(field(c("item"), "content", "string"), F.lit(""))).alias("content"), F.nullif(field(c("item"), "source_document", "string"), F.lit("")).alias("source"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(field(c("item"), "confidence", "double"), F.lit(0.6)))).alias("confidence"), F.coalesce(F.transform(tags, lambda x: F.try_variant_get(x, "$", "string")), F.array().cast("array<string>")).alias("tags"),
     )
     known = sources.select("board_id", "source", F.lit(True).alias("known")).distinct()
     seen = read.join(known, ["board_id", "source"], "left")
-    lost = c("known").isNull()
+    lost = c("known").isNull() & c("source").isNotNull()
     outcome = F.when(F.length("content") < LEAST, "too_short").when(lost & (c("kind") == "observation"), "refused").when(lost, "gap").otherwise("kept")
-    return seen.select("reply_id", "pos", F.when(outcome == "gap", "gap").otherwise(c("kind")).alias("kind"), "content", "source", "confidence", "tags", outcome.alias("outcome"))
+    gap = outcome == "gap"
+    return seen.select("reply_id", "pos", F.when(gap, "gap").otherwise(c("kind")).alias("kind"), "content", F.when(~gap, c("source")).alias("source"), "confidence", "tags", outcome.alias("outcome"))
 
 
-def passes_gate(kind: Column, content: Column, source: Column) -> Column:
-    """Whether a finding is worth a place: long enough, an observation sourced, a calculation with two digits and an operator, and no report of finding nothing."""
+def passes_gate(kind: Column, content: Column, source: Column, answers: Column | None = None) -> Column:
+    """Whether a finding is worth a place: 20 characters, an observation sourced, a calculation with two digits and an operator,
+    and no observation of having found nothing (unless it ``answers`` a question)."""
     low = F.lower(F.trim(content))
-    noise = F.exists(F.array(*map(F.lit, NOTHING_FOUND)), lambda x: F.startswith(low, x))
-    computed = (F.regexp_count(content, F.lit("[0-9]")) >= 2) & content.rlike(r"[+\-*/=×÷%]")
-    ok = (F.length(F.trim(content)) >= GATE) & ~noise & ((kind != "observation") | source.isNotNull()) & ((kind != "calculation") | computed)
+    noise = F.exists(F.array(*map(F.lit, NOTHING_FOUND)), lambda x: F.startswith(low, x)) & ~(F.lit(False) if answers is None else F.coalesce(answers, F.lit(False)))
+    computed = (F.regexp_count(content, F.lit("[0-9]")) >= 2) & F.exists(F.array(*map(F.lit, OPERATORS)), lambda x: F.contains(content, x))
+    observed = kind == "observation"
+    ok = (F.length(F.trim(content)) >= LEAST) & (~observed | (source.isNotNull() & ~noise)) & ((kind != "calculation") | computed)
     return F.coalesce(ok, F.lit(False))
