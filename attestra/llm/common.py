@@ -18,7 +18,7 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
@@ -122,6 +122,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as one name, whatever dots and marks it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct."""
+    return F.struct(*columns_of(df))
+
+
 def attached(rows: DataFrame, unique: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
     """``rows`` joined to the one row of ``unique`` per key, keys without such a row left out.
 

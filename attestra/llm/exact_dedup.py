@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, fresh, scratch, session, stored, table, utf8
+from .common import BROADCAST_ROWS, LOWER, fresh, scratch, session, stored, table, utf8, whole_row
 
 #: Keys of a block aimed at, and keys a pilot places together.
 BLOCK_KEYS, GROUP_KEYS = 4096, 4
@@ -180,7 +180,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return without(docs, gone, "left_anti")
     plain = without(without(docs, odd, "left_anti"), gone, "left_anti")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    rows = without(docs, odd, "left_semi").select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), mine.alias("id"), F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256).alias("text_sha256"))
+    rows = without(docs, odd, "left_semi").select(whole_row(docs).alias("row"), mine.alias("id"), F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256).alias("text_sha256"))
     won = rows.join(small(stay.select(F.col("doc_id").alias("won"), F.col("text_sha256").alias("sha"))), F.col("id").eqNullSafe(F.col("won")) & (F.col("text_sha256") == F.col("sha")), "left_semi")
     return plain.unionByName(won.groupBy("id", "text_sha256").agg(F.first("row").alias("row")).select("row.*"))
 

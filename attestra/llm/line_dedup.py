@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, session, stored, table
+from .common import scratch, session, stored, table, whole_row
 
 #: A line on so many sites goes. Estimates within this share of it are counted exactly.
 SITES, NEAR = 8, 0.5
@@ -53,8 +53,9 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
         spread = stored(keyed.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(REGISTERS)).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - NEAR)), "spread")
         sure = spread.where(F.col("estimate") > sites * (1 + NEAR)).select("line")
         near = spread.where(F.col("estimate") <= sites * (1 + NEAR)).select("line")
-        near = F.broadcast(near) if near.count() <= BROADCAST_LINES else near
-        exact = keyed.join(near, "line").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("one").alias("n")).where(F.col("n") >= sites).select("line")
+        few = near.count() <= BROADCAST_LINES
+        # lines that go through a shuffle go once for each site, however often they are there
+        exact = (keyed.join(F.broadcast(near), "line") if few else keyed.distinct().join(near, "line")).groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("one").alias("n")).where(F.col("n") >= sites).select("line")
         return keep(stored(sure.unionByName(exact), "common-lines"))
 
 
@@ -63,7 +64,7 @@ def marked(docs: DataFrame, sites: int = SITES) -> DataFrame:
     common = boilerplate(docs, sites).select(F.col("line").alias("key"))
     # rows with the same doc_id and text are alike, so their digest names what to remove
     name = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.coalesce("text", F.lit("")))))
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), name.alias("name"), F.col("text"))
+    rows = docs.select(whole_row(docs).alias("row"), name.alias("name"), F.col("text"))
     at = rows.select("name", F.posexplode(lines_of(F.col("text"))).alias("i", "line")).where(full(F.col("line"))).select("name", "i", line_key(F.col("line")).alias("key"))
     if common.count() <= BROADCAST_LINES:
         hits = at.join(F.broadcast(common), "key")

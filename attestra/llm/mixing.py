@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import deleted, fresh, scratch, session, stored, table
+from .common import columns_of, deleted, fresh, scratch, session, stored, table, whole_row
 
 CAP = 3
 SALTS = 64
@@ -174,11 +174,11 @@ def mixed(docs: DataFrame) -> DataFrame:
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
     place = report.where("copies > 0 and doc_id is not null").join(small(odd), F.col("doc_id") == F.col("o"), "left_anti").select(F.col("doc_id").alias(own), F.col("copies").alias(copies))
     repeated = lambda df: df.withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
-    plain = repeated(docs.join(small(place), mine == F.col(own))).select([F.col(c) for c in docs.columns])
+    plain = repeated(docs.join(small(place), mine == F.col(own))).select(columns_of(docs))
     if odd.isEmpty():
         return plain
     key = ["d", "s", "n", "t"]
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), mine.alias("d"), F.col("source").cast("string").alias("s"), "text")
+    rows = docs.select(whole_row(docs).alias("row"), mine.alias("d"), F.col("source").cast("string").alias("s"), "text")
     rows = rows.join(small(odd), F.col("d").eqNullSafe(F.col("o")), "left_semi").select("row", "d", "s", words_in(F.col("text")).alias("n"), tie(F.col("d"), F.col("text")).alias("t"), F.xxhash64("text").alias("h"))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("h")))
     given = report.join(small(odd), F.col("doc_id").eqNullSafe(F.col("o")), "left_semi").withColumn("pk", F.row_number().over(Window.partitionBy("doc_id", "source", "size", "tie").orderBy("copies"))).where("copies > 0")

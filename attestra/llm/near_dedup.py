@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, attached, chained, deleted, digest, digests_of, fresh, mix, ngrams, scratch, session, slices, stored, table, utf8, words_of
+from .common import LOWER, attached, chained, deleted, digest, digests_of, fresh, mix, ngrams, scratch, session, slices, stored, table, utf8, whole_row, words_of
 from .graphs import components
 
 REGISTERS, ROWS = 128, 4
@@ -378,7 +378,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return out
     # rows without doc_id: the least digest of each component that has no id, once; and the texts without words
     stay = nameless.where(F.col("component") >= NO_ID).groupBy("component").agg(F.min("digest").alias("digest")).select("digest")
-    own = docs.where("doc_id is null").select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text")
+    own = docs.where("doc_id is null").select(whole_row(docs).alias("row"), "text")
     own = own.mapInArrow(_row_digests, T.StructType([own.schema["row"], T.StructField("digest", T.BinaryType())]))
     kept = own.join(stay, "digest").dropDuplicates(["digest"]).select("row.*").unionByName(own.where("digest is null").select("row.*"))
     return out.where("doc_id is not null").unionByName(kept)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import codes_of, per_doc, scratch, session, slices, stored, table, utf8, words_of
+from .common import codes_of, per_doc, scratch, session, slices, stored, table, utf8, whole_row, words_of
 
 FIT_ROWS = 20_000
 TREES, DEPTH, PENALTY, STEPS = 24, 3, 0.0003, 40
@@ -147,7 +147,7 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, all columns as they were."""
     rules = fit(docs, labels)
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text")
+    rows = docs.select(whole_row(docs).alias("row"), "text")
     return measured(rows).where(rules.score() >= THRESHOLD).select("row.*")
 
 

@@ -30,6 +30,8 @@ from .common import session, slices, table, utf8
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of the broadcast table, of a task's head, and of a worker's cache.
 FREQUENT, HEAD, CACHE = 20_000, 4_000, 300_000
+#: Characters of a pre-token that either tier or the cache may hold; longer ones are encoded each time.
+SHORT = 64
 #: A task's counter is cut to its heavier half at this size.
 COUNTER = 200_000
 LIMIT = 1024
@@ -81,8 +83,8 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for part in text.split(mark):
                     seen.update(find.findall(part))
             if len(seen) > COUNTER:
-                seen = Counter(dict(seen.most_common(COUNTER // 2)))
-    head = seen.most_common(HEAD)
+                seen = Counter({k: n for k, n in seen.most_common(COUNTER // 2) if len(k) <= SHORT})
+    head = [(k, n) for k, n in seen.most_common(HEAD) if len(k) <= SHORT]
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in head], pa.string()), pa.array([n for _, n in head], pa.int64())], ["piece", "n"])
 
 
@@ -110,6 +112,9 @@ def _counter(path: str, tier, limit: int):
                 known.update(zip(missing, (len(e.ids) for e in encode(missing, add_special_tokens=False))))
                 size = known.__getitem__
                 totals += [len(encode([text], add_special_tokens=False)[0].ids) if p is None else sum(map(size, p)) + (text.count(mark) if mark in text else 0) for text, p in zip(texts, pieces)]
+                for piece in missing:
+                    if len(piece) > SHORT:
+                        del known[piece]
             n = pa.array(totals, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at[1:] - at[:-1]), n, pa.array([x > limit for x in totals], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -189,3 +189,33 @@ def test_queries_in_threads_keep_their_own_tables(spark):
     with ThreadPoolExecutor(len(names)) as pool:
         at_once = list(pool.map(run, names))
     assert at_once == [run(name) for name in names]
+
+
+def test_names_with_dots_and_marks(spark):
+    """Operators that keep all columns take any names of theirs; rows with null and repeated ids go their longer ways."""
+    from attestra.llm import exact_dedup, line_dedup, mixing, near_dedup, quality_classifier
+
+    rng = random.Random(4)
+    words = [f"word{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(20, 60))) for _ in range(40)]
+    texts += [texts[0], texts[1].upper(), texts[2] + " more", None, ""]
+    rows = [(None if k % 9 == 4 else k % 40, t, "en", f"s{k % 5}", len(t or ""), k, k, "m") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `row.x` int, `back``tick` string")
+    for kept in (exact_dedup.deduplicated(docs), near_dedup.deduplicated(docs), line_dedup.cleaned(docs, 3), mixing.mixed(docs)):
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert got and all(r["a.b"] == r["row.x"] and r["back`tick"] == "m" for r in got)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.accepted(docs, labels).columns == docs.columns
+
+
+def test_very_long_pre_tokens_stay_out_of_all_tables(spark):
+    from attestra.llm import tokens
+
+    texts = ["short words " * 5, "x" * 300_000, "y" * 200_000 + " tail", "ab" * 40, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    path = tokens.vocabulary_path()
+    assert max(map(len, tokens.frequent(docs, path))) <= tokens.SHORT
+    library = tokens.library(path)
+    want = {k: len(library.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in tokens.token_counts(docs).collect()} == want
