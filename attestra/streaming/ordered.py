@@ -56,13 +56,14 @@ class InOrder(StatefulProcessor):
         for r in rows:
             at = micros(r.ts)
             self.waiting.appendValue((at, *(r[f] for f in self.fields)))
-            times.add(-(-at // 1000))
+            times.add(at // 1000 - 1)  # a timer goes off only once the watermark is beyond it
         for ms in times:
             self.handle.registerTimer(ms)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = 1000 * max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        # watermarks are whole milliseconds: all of the last one counts
+        now = 1000 * timerValues.getCurrentWatermarkInMs() + 999
         rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         due, rest = sorted((r for r in rows if r[0] <= now), key=lambda r: r[:3]), [r for r in rows if r[0] > now]
         if due:
