@@ -16,6 +16,17 @@ UNITS = r"(?i)\b\d+(?:,\d{3})*(?:\.\d+)?\s*(?:days?|months?|years?|shares?)\b"
 STOP_WORDS = "the a an is are was were be been of in to for with on at by from and or not that this but if as has had have will shall may must should".split()
 
 
+#: Characters whose upper case is longer than themselves but has a form of one character too (ß: ẞ), with that form.
+SHORT_UPPER = {c.lower(): c for c in map(chr, range(0x110000)) if len(c.lower()) == 1 and c.lower() != c and len(c.lower().upper()) > 1}
+
+
+def upper_each(text: Column) -> Column:
+    """Upper case of each character by itself: none becomes two (ß turns into ẞ, not into SS), so lower case brings the text back."""
+    short = F.translate(text, "".join(SHORT_UPPER), "".join(SHORT_UPPER.values()))
+    one = lambda x: F.when(F.length(F.upper(x)) == 1, F.upper(x)).otherwise(x)
+    return F.array_join(F.transform(F.regexp_extract_all(short, F.lit("(?s)."), 0), one), "")
+
+
 def all_matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 0)
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import upper_each
 from ..operators import matching as M
 from .registry import query
 from .views import ORDER_TEXT, order_text, table
@@ -40,7 +41,7 @@ def admission_summary(spark, sf_dir):
  select quote_id, doc_id as text_id, case when contains(text, quote) then 1 when contains(ct, cq) then 2 else 3 end as tier from n, d where contains(text, quote) or contains(ct, cq) or contains(lower(ct), lower(cq))""")
 def quote_find(spark, sf_dir):
     k = F.col("item_id") % 3
-    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.when(k == 0, F.col("text")).when(k == 1, F.upper("text")).otherwise(F.regexp_replace("text", " ", "  ")).alias("quote"))
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.when(k == 0, F.col("text")).when(k == 1, upper_each(F.col("text"))).otherwise(F.regexp_replace("text", " ", "  ")).alias("quote"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
     return M.locate_quotes(quotes, docs).select("quote_id", "text_id", "tier")
 
