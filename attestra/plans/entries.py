@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import upper_each
 from ..operators import dedup as D
 from ..operators import entries as E
 from ..operators import matching as M
@@ -182,7 +183,7 @@ def quote_fuzzy(spark, sf_dir):
     """Quotes are the upper-cased middles of documents, so that neither an exact nor a spaced match finds them."""
     d = table(spark, sf_dir, "documents")
     start = F.greatest(F.lit(1), F.floor(F.length("text") / 2).cast("int") - 100)
-    quotes = d.select(c("doc_id").alias("quote_id"), c("doc_id").alias("text_id"), F.upper(F.substring(c("text"), start, F.lit(200))).alias("quote"))
+    quotes = d.select(c("doc_id").alias("quote_id"), c("doc_id").alias("text_id"), upper_each(F.substring(c("text"), start, F.lit(200))).alias("quote"))
     return M.fuzzy_spans(quotes, d.select(c("doc_id").alias("text_id"), "text")).withColumnRenamed("quote_id", "doc_id")
 
 

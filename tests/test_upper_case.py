@@ -6,7 +6,7 @@ import pytest
 from attestra.plans import registry
 
 
-@pytest.mark.parametrize("name", ["quote_find"])
+@pytest.mark.parametrize("name", ["quote_find", "quote_fuzzy"])
 def test_upper_case_quotes_of_letters_with_a_longer_upper_case(spark, tmp_path, name):
     texts = ["Die große Straße führt außen vorbei an den Häusern. " * 4, "Ein Gruß ohne Anlaß: ﬁnal ŉ ᾳ ǰ", "Straße " * 90 + "große Füße draußen " * 20, "nothing of that kind"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
