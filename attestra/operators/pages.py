@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 c = F.col
 #: Sources of a page.
 LIMIT = 60
@@ -19,25 +22,34 @@ def rotated_place(place: Column, size: Column, iteration: Column, stride: Column
 
 
 def _dealt(limit: int):
-    """Turns over a board's targets: each takes its next source that isn't on the page yet, until the page is full or all lists end."""
+    """Turns over a board's targets: each takes its next source that isn't on the page yet, until the page is full or all lists end.
+    Rows come by board, turn and place; a board's rows are together in one partition, a task holds one board at a time."""
 
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["turn", "place"])
-        queues = [iter(x) for _, x in rows.groupby("turn")["source_id"]]
-        page: list[str] = []
-        seen: set[str] = set()
+    def page_of(rows: Iterator[tuple]) -> list[str]:
+        queues = [iter([x[3] for x in own]) for _, own in groupby(rows, key=lambda x: x[1])]
+        page: dict[str, None] = {}
         while queues and len(page) < limit:
             left = []
             for queue in queues:
                 if len(page) == limit:
                     break
-                new = next((s for s in queue if s not in seen), None)
+                new = next((s for s in queue if s not in page), None)
                 if new is not None:
-                    page.append(new)
-                    seen.add(new)
+                    page[new] = None
                     left.append(queue)
             queues = left
-        return pd.DataFrame({"board_id": rows["board_id"].iloc[0], "slot": range(len(page)), "source_id": page, "part": "target"})
+        return list(page)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (x for b in batches for x in zip(b["board_id"], b["turn"], b["place"], b["source_id"]))
+        out: list[tuple] = []
+        frame = lambda: pd.DataFrame(out, columns=["board_id", "slot", "source_id", "part"])
+        for board, own in groupby(rows, key=lambda x: x[0]):
+            out += [(board, slot, source, "target") for slot, source in enumerate(page_of(own))]
+            if len(out) >= 10_000:
+                yield frame()
+                out.clear()
+        yield frame()
 
     return deal
 
@@ -68,15 +80,17 @@ def balanced_page(boards: DataFrame, targets: DataFrame, candidates: DataFrame,
     # a source that a target lists twice stands at its first place after the rotation
     near = placed.groupBy("board_id", "turn", "source_id").agg(F.min("place").alias("place"))
     near = near.withColumn("near", F.row_number().over(Window.partitionBy("board_id", "turn").orderBy("place"))).where(c("near") <= 2 * limit).drop("near")
-    page = near.groupBy("board_id").applyInPandas(_dealt(limit), "board_id string, slot long, source_id string, part string")
-    for part, read in (("unread", False), ("read", True)):
-        taken = page.groupBy("board_id").agg(F.count(F.lit(1)).alias("taken"))
-        rest = first.where(c("read") == read).join(page.select("board_id", "source_id"), ["board_id", "source_id"], "left_anti").join(boards, "board_id").join(taken, "board_id", "left")
-        numbered = rest.withColumn("size", F.count(F.lit(1)).over(board)).withColumn("i", F.row_number().over(board.orderBy("pos")) - 1)
-        place = rotated_place(c("i"), c("size"), c("iteration"), F.lit(limit)).cast("long")
-        slot = F.coalesce("taken", F.lit(0).cast("long")) + place
-        page = page.unionByName(numbered.select("board_id", slot.alias("slot"), "source_id", F.lit(part).alias("part")).where(c("slot") < limit))
-    return page
+    lists = near.select("board_id", "turn", "place", "source_id").repartition("board_id").sortWithinPartitions("board_id", "turn", "place")
+    # dealt once: what is left over and the page itself both need it
+    page = cut(lists.mapInPandas(_dealt(limit), "board_id string, slot long, source_id string, part string"))
+    taken = page.groupBy("board_id").agg(F.count(F.lit(1)).alias("taken"))
+    rest = first.where("read is not null").join(page.select("board_id", "source_id"), ["board_id", "source_id"], "left_anti").join(boards, "board_id").join(taken, "board_id", "left")
+    same = Window.partitionBy("board_id", "read")
+    numbered = rest.withColumn("unread", F.count_if(~c("read")).over(board)).withColumn("size", F.count(F.lit(1)).over(same)).withColumn("i", F.row_number().over(same.orderBy("pos")) - 1)
+    place = rotated_place(c("i"), c("size"), c("iteration"), F.lit(limit)).cast("long")
+    slot = F.coalesce("taken", F.lit(0).cast("long")) + F.when(c("read"), c("unread")).otherwise(0) + place
+    part = F.when(c("read"), "read").otherwise("unread")
+    return page.unionByName(numbered.select("board_id", slot.alias("slot"), "source_id", part.alias("part")).where(c("slot") < limit))
 
 
 def section_items(sections: DataFrame, claims: DataFrame, coverage: DataFrame, units: DataFrame, requirements: DataFrame) -> DataFrame:

@@ -89,3 +89,19 @@ def test_evidence_tiers(spark):
     rows = [tuple(r) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
     assert sum(x[2] == "ordered" for x in want) > 20
+
+
+def test_pages_are_dealt_once_whatever_the_batches(spark):
+    """What is left over and the page itself come from one dealing, and a board's rows may come in several batches."""
+    boards = spark.createDataFrame([(b, 1) for b in "abcd"], "board_id string, iteration int")
+    targets = spark.createDataFrame([(b, f"t{k}", k, True, False) for b in "abcd" for k in range(3)], "board_id string, target_id string, pos int, open boolean, material boolean")
+    candidates = spark.createDataFrame([(b, f"t{k}", i, f"s{3 * i + k}") for b in "abcd" for k in range(3) for i in range(4)], "board_id string, target_id string, pos int, source_id string")
+    sources = spark.createDataFrame([(b, i, f"s{i}", i >= 14) for b in "abcd" for i in range(20)], "board_id string, pos int, source_id string, read boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = P.balanced_page(boards, targets, candidates, sources, 18)
+        assert "InPandas" not in got._jdf.queryExecution().toString()
+        pages = {(r.board_id, r.slot): (r.source_id, r.part) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert pages == {(b, i): (f"s{i}", "target" if i < 12 else "unread" if i < 14 else "read") for b in "abcd" for i in range(18)}
