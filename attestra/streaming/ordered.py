@@ -52,15 +52,16 @@ class InOrder(StatefulProcessor):
         self.waiting = handle.getListState("waiting", f"at long, {self.ROW}")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        times = set()
-        for r in rows:
-            at = micros(r.ts)
-            self.waiting.appendValue((at, *(r[f] for f in self.fields)))
-            times.add(at // 1000 - 1)  # a timer goes off only once the watermark is beyond it
-        for ms in times:
-            self.handle.registerTimer(ms)
+        new = [(micros(r.ts), *(r[f] for f in self.fields)) for r in rows]
+        self.waiting.appendList(new)
+        self.due(new)
         return iter([])
 
+    def due(self, rows: list[tuple]) -> None:
+        """One timer for the earliest of the rows; once it goes off, those still waiting get the next."""
+        if rows:
+            self.handle.registerTimer(min(r[0] for r in rows) // 1000 - 1)  # a timer goes off only once the watermark is beyond it
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # watermarks are whole milliseconds: all of the last one counts
         now = 1000 * timerValues.getCurrentWatermarkInMs() + 999
@@ -68,6 +69,7 @@ class InOrder(StatefulProcessor):
         due, rest = sorted((r for r in rows if r[0] <= now), key=lambda r: r[:3]), [r for r in rows if r[0] > now]
         if due:
             self.waiting.put(rest) if rest else self.waiting.clear()
+            self.due(rest)
         before = dict(zip(self.kept, self.state.get())) if self.state.exists() else None
         state, out = before, []
         for row in due:
