@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import cut
+from .ranking import tasks_for
 
 c = F.col
 #: Sources of a page.
@@ -110,19 +111,27 @@ def section_items(sections: DataFrame, claims: DataFrame, coverage: DataFrame, u
     once = routed.groupBy("board_id", "obligation_id").agg(F.min(first).alias("f")).select("board_id", "obligation_id", "f.section_no", c("f.pos").alias("cover_pos"))
     binding = requirements.select("board_id", "claim_id", F.lit(True).alias("binding")).distinct()
 
+    tasks = tasks_for(claims)
     target = sections.groupBy("board_id", "section_no", "target_id").agg(F.min("target_pos").alias("target_pos"))
-    in_targets = target.join(claims, ["board_id", "target_id"]).join(binding, ["board_id", "claim_id"], "left_anti")
+    # of a claim that a target holds several times, the first place counts
+    held = claims.repartition(tasks, "board_id", "target_id").groupBy("board_id", "target_id", "claim_id").agg(F.min("pos").alias("pos"))
+    in_targets = held.join(target.repartition(tasks, "board_id", "target_id"), ["board_id", "target_id"])
     in_targets = in_targets.select("board_id", "section_no", "claim_id", F.struct(F.lit(0).alias("phase"), c("target_pos").cast("long").alias("a"), c("pos").cast("long").alias("b"), F.lit(0).cast("long").alias("d")).alias("at"), "target_id", F.lit(None).cast("string").alias("unit_id"), F.lit(None).cast("string").alias("obligation_id"))
     placed = once.join(units, ["board_id", "obligation_id"])
     in_units = placed.select("board_id", "section_no", "obligation_id", "unit_id", "cover_pos", "pos", F.posexplode_outer(F.array_distinct("claim_ids")).alias("i", "claim_id"))
     at = F.struct(F.lit(1).alias("phase"), c("cover_pos").cast("long").alias("a"), c("pos").cast("long").alias("b"), F.coalesce("i", F.lit(0)).cast("long").alias("d")).alias("at")
     rows = in_targets.unionByName(in_units.select("board_id", "section_no", "claim_id", at, F.lit(None).cast("string").alias("target_id"), "unit_id", "obligation_id"))
-    rows = rows.join(binding, ["board_id", "claim_id"], "left")
+    # one shuffle by claim serves what is binding and what comes first
+    rows = rows.repartition(tasks, "board_id", "claim_id").join(binding.repartition(tasks, "board_id", "claim_id"), ["board_id", "claim_id"], "left")
+    unit = c("at.phase") == 1
+    rows = rows.where(unit | c("binding").isNull())
     seen = rows.withColumn("nth", F.row_number().over(Window.partitionBy("board_id", "section_no", "claim_id").orderBy("at")))
-    kind = F.when(c("unit_id").isNull(), "claim").otherwise("unit")
-    shown = seen.where((kind == "unit") | (c("nth") == 1))
+    shown = cut(seen.where(unit | (c("nth") == 1)))
+    # a claim shown is a row already; only units are gathered, each of them the claims that it lists
+    none = F.array().cast("array<string>")
+    of_claims = shown.where(~unit).select("board_id", "section_no", F.lit("claim").alias("kind"), "target_id", "obligation_id", "unit_id", F.array_compact(F.array("claim_id")).alias("canonical"), none.alias("context"), none.alias("requirements"), "at")
     chosen = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test & c("claim_id").isNotNull(), F.struct("at", "claim_id")))), lambda x: x["claim_id"])
     bound = F.coalesce("binding", F.lit(False))
-    by = ["board_id", "section_no", kind.alias("kind"), "target_id", "obligation_id", "unit_id", F.when(kind == "claim", c("claim_id")).alias("_claim")]
-    items = shown.groupBy(*by).agg(chosen(~bound & (c("nth") == 1)).alias("canonical"), chosen(~bound & (c("nth") > 1)).alias("context"), chosen(bound).alias("requirements"), F.min("at").alias("at"))
-    return items.drop("_claim")
+    by = ["board_id", "section_no", F.lit("unit").alias("kind"), "target_id", "obligation_id", "unit_id"]
+    of_units = shown.where(unit).groupBy(*by).agg(chosen(~bound & (c("nth") == 1)).alias("canonical"), chosen(~bound & (c("nth") > 1)).alias("context"), chosen(bound).alias("requirements"), F.min("at").alias("at"))
+    return of_claims.unionByName(of_units)

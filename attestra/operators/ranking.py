@@ -7,6 +7,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a measured table that one task of its shuffles takes.
+TASK_ROWS = 500_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks the shuffles of a table's rows take, so that a task's memory doesn't grow with the table: as many as the session says, or more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
+
+
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(rank) <= k)
 

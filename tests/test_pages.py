@@ -105,3 +105,24 @@ def test_pages_are_dealt_once_whatever_the_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert pages == {(b, i): (f"s{i}", "target" if i < 12 else "unread" if i < 14 else "read") for b in "abcd" for i in range(18)}
+
+
+def test_section_items_take_more_tasks_for_more_claims(spark, monkeypatch):
+    """A claim that a target holds twice, one without id, a binding one; tasks hold a bounded number of rows."""
+    from attestra.operators import ranking
+    from attestra.operators.pages import section_items
+
+    sections = spark.createDataFrame([("b", 1, "k1", 0, "t0"), ("b", 1, "k1", 1, "t1"), ("b", 2, "k2", 0, "t1")], "board_id string, section_no int, key string, target_pos int, target_id string")
+    claims = [("b", "t1", 5, "c1"), ("b", "t0", 7, "c1"), ("b", "t0", 3, "c1"), ("b", "t0", 4, None), ("b", "t1", 6, "c2"), ("b", "t1", 1, "c9")] + [("b", "t0", 10 + i, f"d{i}") for i in range(60)]
+    claims = spark.createDataFrame(claims, "board_id string, target_id string, pos long, claim_id string")
+    coverage = spark.createDataFrame([("b", 0, "k1", "o1")], "board_id string, pos int, key string, obligation_id string")
+    units = spark.createDataFrame([("b", "o1", 0, "u1", ["c1", "c5", "c9"]), ("b", "o1", 1, "u2", ["c5"]), ("b", "o1", 2, "u3", [])], "board_id string, obligation_id string, pos int, unit_id string, claim_ids array<string>")
+    requirements = spark.createDataFrame([("b", "c9")], "board_id string, claim_id string")
+    monkeypatch.setattr(ranking, "TASK_ROWS", 5)
+    got = section_items(sections, claims, coverage, units, requirements)
+    assert got.rdd.getNumPartitions() >= 14
+    rows = {(r.section_no, r.target_id or r.unit_id, tuple(r.canonical), tuple(r.context), tuple(r.requirements), r.at.b) for r in got.collect() if not (r.canonical or [""])[0].startswith("d")}
+    assert rows == {
+        (1, "t0", ("c1",), (), (), 3), (1, "t0", (), (), (), 4), (1, "t1", ("c2",), (), (), 6), (2, "t1", ("c1",), (), (), 5), (2, "t1", ("c2",), (), (), 6),
+        (1, "u1", ("c5",), ("c1",), ("c9",), 0), (1, "u2", (), ("c5",), (), 1), (1, "u3", (), (), (), 2),
+    }
