@@ -1,8 +1,8 @@
 """Run folders: a data source that lists and writes them, and what is read out of them.
 
 ``RUN_FOLDER`` is a Spark data source. Reading gives one row per file (path, name, ext, size) without its content: the driver
-looks at folders only until there are enough subtrees for all tasks, which list them; filters on ``ext`` are pushed into the
-listing. Writing is in two steps: tasks write to a staging folder, the driver's commit puts what the successful attempts
+looks at folders only until there are enough subtrees for all tasks, which list some of them each; filters on ``ext`` are pushed into the
+listing. ``json_files`` reads the contents of such rows in tasks. Writing is in two steps: tasks write to a staging folder, the driver's commit puts what the successful attempts
 wrote in place, an abort removes it, so that failed tasks and failed jobs leave no row. Layouts:
 
 * ``log``: rows (value) as lines of files in a folder of their own for each batch, put in place by one rename: readers see all of
@@ -31,6 +31,8 @@ from .files import EXTENSIONS
 RUN_FOLDER = "attestra_run_folder"
 LISTING = "path string, name string, ext string, size long"
 STAGING = ".staging-"
+#: Folders within one that the driver hands out one by one, a wider one is listed by one task; files of a batch of the listing; bytes of a batch of contents.
+WIDE, ROWS, BYTES = 10_000, 10_000, 1 << 26
 # Folders that hold a task's documents, the first one there wins; files that control a task.
 DOCUMENT_FOLDERS = ["source_documents", "input_documents", "documents", "docs"]
 CONTROL_FILES = ["task.json", "instruction.md", "scores.json", "status.json"]
@@ -53,6 +55,7 @@ def extension(name: str) -> str:
 class Subtree(InputPartition):
     folder: str
     deep: bool
+    others: tuple = ()
 
 
 class FolderReader(DataSourceReader):
@@ -75,23 +78,40 @@ class FolderReader(DataSourceReader):
         from pyarrow import fs
 
         store, root = filesystem(self.path)
-        flat, todo = [], [root]
-        while todo and len(flat) + len(todo) < self.parallel:
-            flat += todo
-            todo = [x.path for folder in todo for x in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if x.type == fs.FileType.Directory and not x.base_name.startswith(STAGING)]
-        return [Subtree(x, False) for x in flat] + [Subtree(x, True) for x in todo]
+        flat, deep, todo = [], [], [root]
+        while todo and len(flat) + len(deep) + len(todo) < self.parallel:
+            inner = []
+            for folder in todo:
+                own = [x.path for x in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if x.type == fs.FileType.Directory and not x.base_name.startswith(STAGING)]
+                if len(own) > WIDE:
+                    deep.append(folder)
+                else:
+                    flat.append(folder)
+                    inner += own
+            todo = inner
+        found = [(x, False) for x in flat] + [(x, True) for x in deep + todo]
+        tasks = len(found) if len(found) <= 4 * self.parallel else self.parallel
+        return [Subtree(*found[i], tuple(found[i + tasks :: tasks])) for i in range(tasks)]
 
     def read(self, partition: Subtree) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, _ = filesystem(self.path)
         rows = []
-        for x in store.get_file_info(fs.FileSelector(partition.folder, recursive=partition.deep, allow_not_found=True)):
-            ext = extension(x.base_name)
-            if x.type == fs.FileType.File and STAGING not in x.path and (self.wanted is None or ext in self.wanted):
-                rows.append((x.path, x.base_name, ext, x.size))
-        columns = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], ["path", "name", "ext", "size"])
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * 4
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], ["path", "name", "ext", "size"])
+
+        for folder, deep in [(partition.folder, partition.deep), *partition.others]:
+            for x in store.get_file_info(fs.FileSelector(folder, recursive=deep, allow_not_found=True)):
+                ext = extension(x.base_name)
+                if x.type == fs.FileType.File and STAGING not in x.path and (self.wanted is None or ext in self.wanted):
+                    rows.append((x.path, x.base_name, ext, x.size))
+                if len(rows) >= ROWS:
+                    yield batch()
+        yield batch()
 
 
 @dataclass
@@ -230,11 +250,34 @@ def discovered(files: DataFrame, folder: str, depth: int = 1) -> DataFrame:
     return rows.join(first, ["task", "_rank"]).where(good).select("task", "path", "name", "ext", "size")
 
 
+def _contents(folder: str):
+    """(path, value): the bytes of listed files."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = filesystem(folder)
+        paths, values, size = [], [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(values, pa.binary())], ["path", "value"])
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                with store.open_input_stream(path) as file:
+                    values.append(file.read())
+                paths.append(path)
+                size += len(values[-1])
+                if len(paths) >= ROWS or size >= BYTES:
+                    yield batch()
+                    paths, values, size = [], [], 0
+        yield batch()
+
+    return read
+
+
 def json_files(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """path (below the folder), json (VARIANT) of the files with these names; what is no JSON object is left out."""
-    glob = "{" + ",".join(names) + "}" if len(names) > 1 else names[0]
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
-    rows = texts.select(below(c("_metadata.file_path"), folder).alias("path"), F.try_parse_json(F.regexp_replace("value", "^﻿", "")).alias("json"))
+    """path (below the folder), json (VARIANT) of the files with these names; what is no JSON object is left out, and what is hidden
+    (below the folder, with a name that begins with a dot or an underscore)."""
+    path = below(c("path"), folder)
+    files = listed(spark, folder).where(c("ext").isin(sorted({extension(n) for n in names})) & c("name").isin(names)).where(~path.rlike("(^|/)([.]|_[^/=]*(/|$))"))
+    texts = files.select("path").repartition("path").mapInArrow(_contents(folder), "path string, value binary")
+    rows = texts.select(path.alias("path"), F.try_parse_json(F.regexp_replace(c("value").cast("string"), "^\ufeff", "")).alias("json"))
     return rows.where(F.schema_of_variant("json").startswith("OBJECT"))
 
 

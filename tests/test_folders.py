@@ -84,3 +84,28 @@ def test_scores_and_broken_json(spark, tmp_path):
     files(spark, at, ("x/scenario-1/scores.json", "﻿" + json.dumps({"n_passed": 2, "n_criteria": 3})), ("y/scores.json", "{broken"), ("z/scores.json", "[1]"), ("w/scores.json", json.dumps({"all_pass": True, "n_passed": "none"})))
     got = {r.task: (r.task_key, r.n_passed, r.n_criteria, r.rate, r.all_pass) for r in D.scores(spark, at).collect()}
     assert got == {"x/scenario-1": ("x", 2, 3, 66.7, False), "w": ("w", 0, 0, 0.0, True)}
+
+
+def test_many_folders_are_few_tasks(spark, tmp_path):
+    """A task lists several folders; a wide folder is listed whole; hidden files stay out, names are as they are on disk."""
+    from attestra.sources import folders as D
+
+    for i in range(200):
+        at = tmp_path / str(i % 2) / f"scenario-{i}" / "x y%20"
+        at.mkdir(parents=True)
+        (at / "scores.json").write_bytes(b'\xef\xbb\xbf{"n_passed": %d, "n_criteria": 400}' % i)
+    for hidden in (".h/scores.json", "_h/x/scores.json", "0/other.json", "0/_k=1/scores.json"):
+        (tmp_path / hidden).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / hidden).write_text('{"n_passed": 1}')
+    reader = D.FolderReader({"path": str(tmp_path), "parallel": "16"})
+    parts = reader.partitions()
+    names = lambda parts: sorted(p for part in parts for b in reader.read(part) for p in b.column("path").to_pylist())
+    assert len(parts) <= 16 and len(names(parts)) == 204
+    wide = D.WIDE
+    try:
+        D.WIDE, D.ROWS = 50, 7
+        assert names(reader.partitions()) == names(parts)
+    finally:
+        D.WIDE, D.ROWS = wide, 10_000
+    got = {(r.task, r.task_key, r.n_passed) for r in D.scores(spark, str(tmp_path)).collect()}
+    assert got == {(f"{i % 2}/scenario-{i}/x y%20", f"{i % 2}/x y%20", i) for i in range(200)} | {("0/_k=1", "0/_k=1", 1)}
