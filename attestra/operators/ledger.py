@@ -13,7 +13,7 @@ merges make paths (into, out of, first place, last place), joined end to end by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import cut
@@ -32,25 +32,39 @@ def status_events(targets: DataFrame, ops: DataFrame) -> DataFrame:
     merged = ops.where("op = 'merge'").select("board_id", c("target_id").alias("keep"), "seq", F.posexplode("others").alias("pos", "target_id"))
     absorbed = merged.where("keep <> target_id").join(known.withColumnRenamed("target_id", "keep"), ["board_id", "keep"], "left_semi").select("board_id", "target_id", "seq", "pos", F.lit("absorb").alias("op"), "keep")
     events = cut(plain.unionByName(absorbed).join(known, ["board_id", "target_id"], "left_semi").withColumn("holds", F.lit(True)))
+    start = _first(targets).select("*", F.lit(None).cast("string").alias("op"), F.lit(None).cast("string").alias("keep"), F.lit(None).cast("string").alias("of"), F.lit(True).alias("holds"))
+    w = Window.partitionBy("board_id", "target_id").orderBy(c("seq").asc_nulls_first(), "pos", c("of").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     while True:
-        before = status_before(targets, events, events.select("board_id", "target_id", *AT))
-        of_keep = status_before(targets, events, events.where("keep is not null").select("board_id", c("keep").alias("target_id"), *AT).distinct())
-        of_keep = of_keep.select("board_id", c("target_id").alias("keep"), *AT, c("before").alias("keep_before"))
-        seen = events.join(before, ["board_id", "target_id", *AT], "left").join(of_keep, ["board_id", "keep", *AT], "left")
-        holds = F.when(c("op") == "reopen", c("before") == "closed").when(c("op") == "absorb", (c("before") == "open") & (c("keep_before") == "open")).otherwise(True)
+        # one pass in order: what a target was before an event, and before the questions of those that it absorbs (``of``)
+        own = events.select("board_id", "target_id", *AT, F.when(c("holds"), _new()).alias("new"), "op", "keep", F.lit(None).cast("string").alias("of"), "holds")
+        asked = events.where("keep is not null").select("board_id", c("keep").alias("target_id"), *AT, F.lit(None).cast("string").alias("new"), "op", "keep", c("target_id").alias("of"), "holds")
+        seen = start.unionByName(own).unionByName(asked).withColumn("before", F.last("new", ignorenulls=True).over(w)).where("op is not null")
+        # a question goes back to its event as a row of the same key
+        mine = lambda status: F.max(F.when(c("of").isNull(), c("before") == status))
+        seen = seen.groupBy("board_id", F.coalesce("of", "target_id").alias("target_id"), *AT, "op", "keep", "holds").agg(mine("open").alias("open"), mine("closed").alias("closed"), F.max(F.when(c("of").isNotNull(), c("before") == "open")).alias("keep_open"))
+        holds = F.when(c("op") == "reopen", c("closed")).when(c("op") == "absorb", c("open") & c("keep_open")).otherwise(True)
         judged = cut(seen.select("board_id", "target_id", *AT, "op", "keep", holds.alias("holds"), (holds != c("holds")).alias("_changed")))
         changed, events = not judged.where("_changed").isEmpty(), judged.drop("_changed")
         if not changed:
             return events.where("holds")
 
 
-def status_before(targets: DataFrame, events: DataFrame, asked: DataFrame) -> DataFrame:
-    """``asked`` (board_id, target_id, seq, pos; each once) with the status that the target has before that place."""
+def _new() -> Column:
+    """What an event makes of its target's status."""
     new = F.lit(None).cast("string")
     for op, status in STATUS.items():
         new = F.when(c("op") == op, status).otherwise(new)
-    start = targets.select("board_id", "target_id", F.lit(None).cast("long").alias("seq"), F.lit(0).alias("pos"), c("status").alias("new"), F.lit(False).alias("asks"))
-    rows = start.unionByName(events.where("holds").select("board_id", "target_id", *AT, new.alias("new"), F.lit(False).alias("asks")))
+    return new
+
+
+def _first(targets: DataFrame) -> DataFrame:
+    return targets.select("board_id", "target_id", F.lit(None).cast("long").alias("seq"), F.lit(0).alias("pos"), c("status").alias("new"))
+
+
+def status_before(targets: DataFrame, events: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (board_id, target_id, seq, pos; each once) with the status that the target has before that place."""
+    start = _first(targets).withColumn("asks", F.lit(False))
+    rows = start.unionByName(events.where("holds").select("board_id", "target_id", *AT, _new().alias("new"), F.lit(False).alias("asks")))
     rows = rows.unionByName(asked.select("board_id", "target_id", *AT, F.lit(None).cast("string").alias("new"), F.lit(True).alias("asks")))
     # a question comes before the events of its own place
     w = Window.partitionBy("board_id", "target_id").orderBy(c("seq").asc_nulls_first(), "pos", F.desc("asks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -96,3 +96,22 @@ def test_confidence_equals_a_replay(spark):
         got = {(r.board_id, r.entry_id): round(r.confidence * 1e6) for r in C.confidences(entries, block).collect()}
         assert got == value
     assert C.confidences(entries.limit(0)).count() == 0
+
+
+def test_a_round_of_the_ledger_is_one_pass(spark, monkeypatch):
+    """What targets and those that absorb them were before comes out of one window, without a join."""
+    from attestra.operators import graph, ledger
+
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return graph.cut(df)
+
+    monkeypatch.setattr(ledger, "cut", kept)
+    targets = spark.createDataFrame([("b", t, "open") for t in ("x", "y", "z")], "board_id string, target_id string, status string")
+    ops = [(1, "merge", "x", ["y", "x", "q"]), (2, "merge", "y", ["z"]), (3, "close", "x", []), (4, "merge", "z", ["x"]), (5, "reopen", "x", []), (6, "merge", "z", ["x", "y"]), (7, "reopen", "z", [])]
+    ops = spark.createDataFrame([("b", *o) for o in ops], "board_id string, seq long, op string, target_id string, others array<string>")
+    got = {(r.target_id, r.seq, r.pos, r.op, r.keep) for r in ledger.status_events(targets, ops).collect()}
+    assert got == {("y", 1, 0, "absorb", "x"), ("x", 3, 0, "close", None), ("x", 5, 0, "reopen", None), ("x", 6, 0, "absorb", "z")}
+    assert len(plans) > 2 and all(p.count("Window [") == 1 and "Join" not in p for p in plans[1:])
