@@ -55,8 +55,8 @@ LINK, FLOOR = 80, 0.58
 EQUAL = 0.58
 #: Weight of the nodes of a block of a bucket, on average; a node weighs its shingles and NODE.
 BLOCK, NODE = 500_000, 64
-#: Pairs of a block whose sketches are compared at once.
-BATCH = 100_000
+#: Pairs of a block whose sketches are compared at once, about a kilobyte each.
+BATCH = 10_000
 #: Ids are broadcast up to this measured number (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Nodes of rows without doc_id lie above all ids.
