@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
 
 #: Rows of a measured table that one task of its shuffles takes.
 TASK_ROWS = 500_000
@@ -16,6 +17,21 @@ def tasks_for(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str, tasks: int) -> DataFrame:
+    """``df`` with the place of each row in its group, from 0, for few groups of any size: rows are sorted over all tasks in ranges, and a
+    row's place is its place in its range behind the group's rows in earlier ranges. A range and group are one row of a small table.
+    The numbered rows are written once. Rows alike in ``by`` and ``order`` come in any order."""
+    at = F.monotonically_increasing_id()
+    rows = cut(df.repartitionByRange(tasks, *by, *order).sortWithinPartitions(*by, *order).withColumn("_at", at).withColumn("_range", F.shiftright("_at", 33)))
+    parts = rows.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("_range", *[F.col(b).alias(f"_{b}") for b in by], (earlier - F.col("_first")).alias("_start"))
+    same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
+    renamed = starts.withColumnRenamed("_range", "_of")
+    found = rows.join(F.broadcast(renamed), [F.col("_range") == F.col("_of"), *same])
+    return found.select(*df.columns, (F.col("_at") + F.col("_start")).cast("long").alias(name))
+
+
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(rank) <= k)
 

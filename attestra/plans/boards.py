@@ -1,9 +1,9 @@
 """Queries of effects between entries and of frontier checks."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import boards as B
+from ..operators import ranking as K
 from .registry import query
 from .views import table
 
@@ -70,16 +70,17 @@ def signals_reopened(spark, sf_dir):
  select board_id, kind, cast(target_id as varchar) as target_id, place, cast(source_id as varchar) as source_id from v""")
 def frontier_checks(spark, sf_dir):
     """Parts as the sources of three boards, line items as candidates for targets by line number."""
-    by = Window.partitionBy("board_id").orderBy("source_id")
     p = table(spark, sf_dir, "part").select((c("p_size") % 3).alias("board_id"), c("p_partkey").alias("source_id"), (c("p_partkey") % 11 != 0).alias("is_document"))
-    s = p.withColumn("place", (F.row_number().over(by) - 1).cast("long"))
+    s = K.numbered(p, ["board_id"], ["source_id"], "place", K.tasks_for(p))
     targets = s.select("board_id").distinct().select("board_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("target_id"))
-    both = table(spark, sf_dir, "lineitem").join(s, c("l_partkey") == c("source_id"))
-    order = Window.partitionBy("board_id", "l_linenumber").orderBy("l_quantity", "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
-    k = both.select(
-        "board_id", c("l_linenumber").alias("target_id"), (F.row_number().over(order) - 1).cast("long").alias("_place"), "source_id", F.when(c("l_quantity") < 25, "definite").when(c("l_quantity") < 49, "maybe").otherwise("later").alias("priority"),
-        F.when(c("l_orderkey") % 40 != 0, c("l_returnflag")).alias("reason"), (F.floor(c("place") / 150) + F.when(c("l_orderkey") % 50 == 0, 1).otherwise(0)).alias("batch_index"), c("l_suppkey").alias("response_rank"),
-    ).withColumnRenamed("_place", "place")
+    lines = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity", "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    both = lines.join(s.select("board_id", "source_id", c("place").alias("source_place")), c("l_partkey") == c("source_id"))
+    # three boards of seven lines: few lists, each a large share of all rows
+    ranked = K.numbered(both, ["board_id", "l_linenumber"], ["l_quantity", "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"], "place", K.tasks_for(lines))
+    k = ranked.select(
+        "board_id", c("l_linenumber").alias("target_id"), "place", "source_id", F.when(c("l_quantity") < 25, "definite").when(c("l_quantity") < 49, "maybe").otherwise("later").alias("priority"),
+        F.when(c("l_orderkey") % 40 != 0, c("l_returnflag")).alias("reason"), (F.floor(c("source_place") / 150) + F.when(c("l_orderkey") % 50 == 0, 1).otherwise(0)).alias("batch_index"), c("l_suppkey").alias("response_rank"),
+    )
     some = lambda when, sign=1: s.where(when).select("board_id", (c("source_id") * sign).alias("source_id"))
     fallback = some("source_id % 4 = 0").unionByName(some("source_id % 20 = 0")).unionByName(some("source_id % 30 = 0", -1))
     return B.frontier_violations(targets, s, k, fallback)
