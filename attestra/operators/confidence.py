@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+from .ranking import tasks_for
+
 c = F.col
 # Fixed values, in millionths: raise, raise beyond FEW supporters of one document, contradiction, weakened support; bounds.
 RAISE, SMALL_RAISE, LOWER, WEAKEN, TOP, FLOOR, FEW = 50_000, 20_000, 120_000, 50_000, 980_000, 100_000, 2
@@ -25,13 +28,16 @@ def effects(entries: DataFrame) -> DataFrame:
 
     ``entries``: board_id, entry_id, seq, document, supports, contradicts (arrays of entry ids). An entry acts on those that came
     before, and on itself."""
-    known = entries.select("board_id", c("entry_id").alias("to"), c("seq").alias("to_seq"), c("document").alias("to_document"))
+    tasks = tasks_for(entries)
+    to = [tasks, "board_id", "to"]
+    known = entries.select("board_id", c("entry_id").alias("to"), c("seq").alias("to_seq"), c("document").alias("to_document")).repartition(*to)
 
     def edges(name: str) -> DataFrame:
         rows = entries.select("board_id", "entry_id", "seq", "document", F.posexplode(name).alias("pos", "to"))
-        return rows.join(known, ["board_id", "to"])
+        return rows.repartition(*to).join(known, ["board_id", "to"])
 
-    # a reference counts from its entry on, even to an entry that comes later; it has effects only on one that is there
+    # a reference counts from its entry on, even to an entry that comes later; it has effects only on one that is there.
+    # All that is asked of a target stays in the tasks that its references were dealt to, as many as the entries need
     supports, contradicts = edges("supports"), edges("contradicts").where("to_seq <= seq")
     target = Window.partitionBy("board_id", "to").orderBy("seq", "pos")
     mine = Window.partitionBy("board_id", "to", "entry_id").orderBy("pos")
@@ -42,7 +48,7 @@ def effects(entries: DataFrame) -> DataFrame:
     down = lambda shift: [F.lit(-shift).cast("long").alias("shift"), F.lit(FLOOR).cast("long").alias("low"), F.lit(FAR).alias("high")]
     raised = counted.where("to_seq <= seq").select("board_id", c("to").alias("entry_id"), at(0, 0), *up(F.when(c("n") > FEW, SMALL_RAISE).otherwise(RAISE)))
     hit = contradicts.select("board_id", c("to").alias("entry_id"), at(1, 0), *down(LOWER))
-    first = contradicts.groupBy("board_id", "entry_id", "seq").agg(F.min("pos").alias("pos"))
+    first = contradicts.repartition(tasks, "board_id", "entry_id").groupBy("board_id", "entry_id", "seq").agg(F.min("pos").alias("pos"))
     own = first.select("board_id", "entry_id", at(1, 1), *down(LOWER))
     backers = supports.select("board_id", "to", c("entry_id").alias("backer"), c("seq").alias("backer_seq")).distinct()
     weakened = contradicts.join(backers, ["board_id", "to"]).where("backer_seq <= seq").select("board_id", c("backer").alias("entry_id"), at(1, 2), *down(WEAKEN))
@@ -51,8 +57,10 @@ def effects(entries: DataFrame) -> DataFrame:
 
 def applied(rows: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
     """key, shift, low, high: the effects of each key one after the other, as one effect."""
+    # the effects are worked out once: their number says how many tasks they take
+    rows = cut(rows)
     order = Window.partitionBy(*key).orderBy("at")
-    numbered = rows.select(*key, F.row_number().over(order).cast("long").alias("n"), "shift", "low", "high")
+    numbered = rows.repartition(tasks_for(rows), *key).select(*key, F.row_number().over(order).cast("long").alias("n"), "shift", "low", "high")
     most = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
     def one(effects):
@@ -73,6 +81,8 @@ def confidences(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     """board_id, entry_id, confidence (double): after all entries have come. ``entries`` as above, with confidence."""
     key = ["board_id", "entry_id"]
     start = entries.select(*key, F.round(c("confidence") * 1_000_000).cast("long").alias("v"))
-    rows = start.join(applied(effects(entries), key, block), key, "left")
+    folded = applied(effects(entries), key, block)
+    tasks = tasks_for(entries)
+    rows = start.repartition(tasks, *key).join(folded.repartition(tasks, *key), key, "left")
     after = F.when(c("shift").isNull(), c("v")).otherwise(F.least(c("high"), F.greatest(c("low"), c("v") + c("shift"))))
     return rows.select(*key, (after / 1_000_000).alias("confidence"))
