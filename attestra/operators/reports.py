@@ -56,21 +56,26 @@ def count_map(v, path: str) -> Column:
     return F.coalesce(read, F.create_map().cast("map<string,long>"))
 
 
-def objects(reports: DataFrame, path: str, *keep: str) -> DataFrame:
-    """task_id, pos, item: the objects of a list, in order."""
-    rows = reports.select("task_id", *keep, F.posexplode(field("report", path, "array<variant>")).alias("pos", "item"))
-    return rows.where(F.schema_of_variant("item").startswith("OBJECT"))
+def objects(reports: DataFrame, kind: str, path: str, known: str) -> DataFrame:
+    """task_id, pos, item: the objects of a list in reports of a kind, in order. What has the ``known`` field is an object without a further look."""
+    rows = reports.where(c("kind") == kind).select("task_id", F.posexplode(field("report", path, "array<variant>")).alias("pos", "item"))
+    return rows.where(field("item", known, "variant").isNotNull() | F.schema_of_variant("item").startswith("OBJECT"))
 
 
 def of_kind(reports: DataFrame, kind: str) -> DataFrame:
-    """The reports of a kind that hold anything; the others count as missing."""
-    return reports.where((c("kind") == kind) & (F.to_json("report") != "{}")).select("task_id", "report")
+    """The reports of a kind that hold anything; the others count as missing. One with an item isn't written out to be judged."""
+    return reports.where((c("kind") == kind) & (field("report", "items[0]", "variant").isNotNull() | (F.to_json("report") != "{}"))).select("task_id", "report")
 
 
-def counted(items: DataFrame, **keys: Column) -> DataFrame:
-    """task_id and a count map per name, of keys that aren't null. Keys are counted before they are gathered: a map has a row each."""
+def alike(items: DataFrame, **fields: Column) -> DataFrame:
+    """task_id, the fields and n: how many items of a task are alike in all of them. Sums and maps both come from these rows."""
+    return items.select("task_id", *[v.alias(k) for k, v in fields.items()]).groupBy("task_id", *fields).agg(F.count(F.lit(1)).alias("n"))
+
+
+def counted(rows: DataFrame, **keys: Column) -> DataFrame:
+    """task_id and a count map per name, of keys that aren't null, from rows that stand for n items. Keys are counted before they are gathered: a map has a row each."""
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), k.cast("string").alias("key")) for n, k in keys.items()]))
-    n = items.select("task_id", pairs.alias("p")).where("p.key is not null").groupBy("task_id", "p.name", "p.key").agg(F.count(F.lit(1)).alias("n"))
+    n = rows.select("task_id", "n", pairs.alias("p")).where("p.key is not null").groupBy("task_id", "p.name", "p.key").agg(F.sum("n").alias("n"))
     entry = F.struct("key", "n")
     return n.groupBy("task_id").agg(*[F.map_from_entries(F.array_sort(F.collect_list(F.when(c("name") == k, entry)))).alias(k) for k in keys])
 
@@ -87,17 +92,25 @@ def joined(rows: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def traced(items: DataFrame, reports: DataFrame, id_field: str, source: str | None = None) -> DataFrame:
-    """Items with ``trace``, what the task's survival trace says of their id (its last word); null where it says nothing."""
-    said_of = objects(of_kind(reports, TRACE), "items")
+    """Items (task_id, id, ...) with what the task's survival trace says of their id (its last word) as ``obligated``, ``found``
+    and ``lost_by``; nothing where it says nothing. Of a trace only these three travel."""
+    said_of = objects(reports, TRACE, "items", id_field)
     if source:
         said_of = said_of.where(F.coalesce(field("item", "commitment_source", "string") == source, F.lit(False)))
-    key = lambda name: F.coalesce(F.to_json(field("item", name, "variant")), F.lit("null")).alias("_id")
-    last = said_of.select("task_id", key(id_field), "pos", F.to_json("item").alias("text")).groupBy("task_id", "_id").agg(F.max_by("text", "pos").alias("text"))
-    return items.select("*", key("id")).join(last.select("task_id", "_id", F.parse_json("text").alias("trace")), ["task_id", "_id"], "left")
+    word = F.struct(truthy("item", "obligated").alias("obligated"), truthy("item", "found_in_artifact").alias("found"), said("item", "death_mode").alias("lost_by"))
+    last = said_of.select("task_id", written(id_field).alias("id"), "pos", word.alias("word")).groupBy("task_id", "id").agg(F.max_by("word", "pos").alias("word"))
+    no = lambda name: F.coalesce(f"word.{name}", F.lit(False)).alias(name)
+    return items.join(last, ["task_id", "id"], "left").select(*[x for x in items.columns if x != "id"], no("obligated"), no("found"), "word.lost_by")
+
 
+def written(name: str) -> Column:
+    """A field of an item as JSON text, to be compared; null where it is missing."""
+    return F.coalesce(F.to_json(field("item", name, "variant")), F.lit("null"))
 
-def total(flag: Column, name: str) -> Column:
-    return F.sum(flag.cast("long")).alias(name)
+
+def total(flag: Column | str, name: str) -> Column:
+    """How many items have a flag, of rows that stand for n items."""
+    return F.sum(F.when(c(flag) if isinstance(flag, str) else flag, c("n")).otherwise(0)).alias(name)
 
 
 def first_of(own: Column, else_: Column) -> Column:
@@ -108,14 +121,16 @@ def first_of(own: Column, else_: Column) -> Column:
 def gap_sensors(reports: DataFrame) -> DataFrame:
     """Selected and actionable gap items, what executing them created, and what became of them in the files."""
     own = of_kind(reports, "debt_sensors")
-    items = traced(objects(own, "items"), reports, "debt_sensor_id", "debt_sensor")
-    status, created, found = field("item", "status", "string"), truthy("item", "created_entry_ids"), truthy("trace", "found_in_artifact")
-    actionable = F.coalesce(status == "actionable_gap", F.lit(False))
+    items = objects(reports, "debt_sensors", "items", "id").select(
+        "task_id", written("id").alias("id"), F.coalesce(said("item", "type"), F.lit("unknown")).alias("type"), F.coalesce(said("item", "status"), F.lit("unknown")).alias("status"), truthy("item", "created_entry_ids").alias("created")
+    )
+    items = alike(traced(items, reports, "debt_sensor_id", "debt_sensor"), **{k: c(k) for k in ("type", "status", "created", "obligated", "found", "lost_by")})
+    actionable = c("status") == "actionable_gap"
     sums = items.groupBy("task_id").agg(
-        F.count(F.lit(1)).alias("n_items"), total(F.coalesce(said("item", "status") == "actionable_gap", F.lit(False)), "n_actionable"), total(actionable & ~created, "unresolved"),
-        total(truthy("trace", "obligated"), "obligated"), total(found, "survived"), total(~found & created, "lost"),
+        F.sum("n").alias("n_items"), total(actionable, "n_actionable"), total(actionable & ~c("created"), "unresolved"),
+        total("obligated", "obligated"), total("found", "survived"), total(~c("found") & c("created"), "lost"),
     )
-    maps = counted(items, own_types=F.coalesce(said("item", "type"), F.lit("unknown")), own_statuses=F.coalesce(said("item", "status"), F.lit("unknown")), death_modes=said("trace", "death_mode"))
+    maps = counted(items, own_types=c("type"), own_statuses=c("status"), death_modes=c("lost_by"))
     rows = joined(own, sums, maps)
     made = {k: whole("report", f"{k}_execution_summary.entries_created") for k in EXECUTIONS}
     made = {f"created_{k}": F.when(n != 0, n).otherwise(length("report", f"created_{k}_entry_ids")) for k, n in made.items()}
@@ -133,23 +148,27 @@ def gap_sensors(reports: DataFrame) -> DataFrame:
 def derived_work(reports: DataFrame) -> DataFrame:
     """Derived work items: executable, executed, what they created and what became of it."""
     own = of_kind(reports, "derived_work_items")
-    items = traced(objects(own, "items"), reports, "derived_work_id")
-    executed, found = F.coalesce(field("item", "status", "string") == "executed", F.lit(False)), truthy("trace", "found_in_artifact")
+    items = objects(reports, "derived_work_items", "items", "id").select(
+        "task_id", written("id").alias("id"), truthy("item", "execution_eligible").alias("executable"), F.coalesce(said("item", "status"), F.lit("unknown")).alias("status"), length("item", "created_entry_ids").alias("created"), said("item", "death_mode").alias("mode")
+    )
+    items = traced(items, reports, "derived_work_id").withColumn("mode", F.coalesce("mode", "lost_by"))
+    items = alike(items, **{k: c(k) for k in ("executable", "status", "created", "mode", "obligated", "found")})
+    executed = c("status") == "executed"
     sums = items.groupBy("task_id").agg(
-        F.count(F.lit(1)).alias("selected"), total(truthy("item", "execution_eligible"), "executable"), total(executed, "executed"), F.sum(length("item", "created_entry_ids")).alias("entries_created"),
-        total(truthy("trace", "obligated"), "obligated"), total(found, "artifact_survived"), total(~found & executed, "lost"),
+        F.sum("n").alias("selected"), total("executable", "executable"), total(executed, "executed"), F.sum(c("created") * c("n")).alias("entries_created"),
+        total("obligated", "obligated"), total("found", "artifact_survived"), total(~c("found") & executed, "lost"),
     )
-    maps = counted(items, death_modes=F.coalesce(said("item", "death_mode"), said("trace", "death_mode")), status_counts=F.coalesce(said("item", "status"), F.lit("unknown")))
+    maps = counted(items, death_modes=c("mode"), status_counts=c("status"))
     return joined(own.select("task_id"), sums, maps)
 
 
 def artifact_placement(reports: DataFrame) -> DataFrame:
     """Placements: targeted, traceable, found in their file, in native form, elsewhere, lost."""
     own = of_kind(reports, "artifact_placement_trace")
-    items = objects(own, "items")
     flags = {"targeted": "target_file", "traceable": "placement_traceable", "found_in_target_file": "found_in_target_file", "native_form_satisfied": "native_form_satisfied", "found_elsewhere": "found_elsewhere"}
-    sums = items.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_items"), *[total(truthy("item", path), f"n_{name}") for name, path in flags.items()])
-    maps = counted(items, own_modes=said("item", "death_mode"), own_forms=F.coalesce(said("item", "native_form"), F.lit("unknown")))
+    items = alike(objects(reports, "artifact_placement_trace", "items", "target_file"), mode=said("item", "death_mode"), form=F.coalesce(said("item", "native_form"), F.lit("unknown")), **{name: truthy("item", path) for name, path in flags.items()})
+    sums = items.groupBy("task_id").agg(F.sum("n").alias("n_items"), *[total(name, f"n_{name}") for name in flags])
+    maps = counted(items, own_modes=c("mode"), own_forms=c("form"))
     rows = joined(own, sums, maps).select(
         "task_id", "report", whole("report", "summary.selected", c("n_items")).alias("selected"), *[whole("report", f"summary.{name}", c(f"n_{name}")).alias(name) for name in flags],
         first_of(count_map("report", "summary.death_modes"), c("own_modes")).alias("death_modes"), first_of(count_map("report", "summary.native_forms"), c("own_forms")).alias("native_forms"),
@@ -188,8 +207,8 @@ def maintenance(reports: DataFrame) -> DataFrame:
 def source_claims(reports: DataFrame) -> DataFrame:
     """Claims checked against sources, by status and severity, and the files that needed a fallback."""
     own = of_kind(reports, "source_claim_verification")
-    files = objects(own, "files").groupBy("task_id").agg(
-        total(truthy("item", "fallback_used"), "fallback_files"), F.sum(whole("item", "fallback_candidate_count")).alias("fallback_candidate_count"), F.sum(whole("item", "evidence_entry_count")).alias("evidence_entry_count")
+    files = objects(reports, "source_claim_verification", "files", "fallback_used").groupBy("task_id").agg(
+        F.sum(truthy("item", "fallback_used").cast("long")).alias("fallback_files"), F.sum(whole("item", "fallback_candidate_count")).alias("fallback_candidate_count"), F.sum(whole("item", "evidence_entry_count")).alias("evidence_entry_count")
     )
     plain = [whole("report", f"summary.{n}").alias(n) for n in ("files_checked", "claims_checked", "risky_claims")]
     maps = [count_map("report", f"summary.{n}").alias(n) for n in ("status_counts", "severity_counts")]

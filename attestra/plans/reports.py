@@ -6,6 +6,8 @@ the figures out from the orders, without any JSON.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ def _n(x: Column) -> Column:
     return x.cast("string")
 
 
-def report_texts(spark, sf_dir) -> DataFrame:
-    """t, kind, text."""
+def _texts(spark, sf_dir) -> tuple[DataFrame, dict[str, Column]]:
+    """Tasks with their lists of items, and the text of each kind of report over them."""
     k, status = c("k"), c("o_orderstatus")
     created = F.when(k % 3 == 0, '["e1", "e2"]').otherwise("[]")
     gap = _json(id=_s(F.concat(F.lit("d"), k)), type=F.when(k % 11 != 0, _s(c("o_orderpriority"))), status=F.when(status == "F", '"executed"').when(status == "O", '"actionable_gap"'), created_entry_ids=created)
@@ -70,11 +72,19 @@ def report_texts(spark, sf_dir) -> DataFrame:
         ),
         "source_claim_verification": _json(mode='"x"', summary=_json(files_checked="2", claims_checked=_n(n), risky_claims=_n(t % 4), status_counts=_json(ok=_n(n)), severity_counts=_json(high=_n(t % 4))), files=F.concat(F.lit('[{"fallback_used": true, "fallback_candidate_count": '), _n(t % 3), F.lit(', "evidence_entry_count": "4"}, "no object", {"fallback_used": 0, "fallback_candidate_count": 1.9, "evidence_entry_count": null}]'))),
     }
+    return by, texts
+
+
+def report_texts(spark, sf_dir) -> DataFrame:
+    """t, kind, text."""
+    by, texts = _texts(spark, sf_dir)
     return by.select("t", F.explode(F.map_from_arrays(F.array(*map(F.lit, texts)), F.array(*texts.values()))).alias("kind", "text"))
 
 
 def _reports(spark, sf_dir) -> DataFrame:
-    texts = report_texts(spark, sf_dir)
+    """A part for each kind: a roll-up composes only the reports of the kinds that it reads."""
+    by, kinds = _texts(spark, sf_dir)
+    texts = reduce(DataFrame.unionByName, [by.select("t", F.lit(kind).alias("kind"), text.alias("text")) for kind, text in kinds.items()])
     return texts.select(c("t").cast("string").alias("task_id"), "kind", F.parse_json("text").alias("report"))
 
 
