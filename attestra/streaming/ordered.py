@@ -11,10 +11,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+#: Rows that a task holds while it looks for the earliest ones of its keys.
+HELD = 200_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,6 +36,8 @@ class InOrder(StatefulProcessor):
 
     ROW = "seq long"
     STATE = "n long"
+    #: Rows that can still change a key at most, from the earliest on; later ones don't wait. None: all can.
+    most: int | None = None
 
     def names(self, fields: str) -> list[str]:
         return [x.split()[0] for x in fields.split(",")]
@@ -53,10 +60,18 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         new = [(micros(r.ts), *(r[f] for f in self.fields)) for r in rows]
-        self.waiting.appendList(new)
+        if self.most is None:
+            self.waiting.appendList(new)
+        else:  # a row with as many before it is never applied, whatever still arrives
+            new = sorted([tuple(r) for r in self.waiting.get()] + new, key=self.order)[: self.most]
+            self.waiting.put(new)
         self.due(new)
         return iter([])
 
+    @staticmethod
+    def order(row: tuple) -> tuple:
+        return row[:3]
+
     def due(self, rows: list[tuple]) -> None:
         """One timer for the earliest of the rows; once it goes off, those still waiting get the next."""
         if rows:
@@ -65,12 +80,13 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # watermarks are whole milliseconds: all of the last one counts
         now = 1000 * timerValues.getCurrentWatermarkInMs() + 999
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due, rest = sorted((r for r in rows if r[0] <= now), key=lambda r: r[:3]), [r for r in rows if r[0] > now]
+        rows = [tuple(r) for r in self.waiting.get()]
+        due, rest = sorted((r for r in rows if r[0] <= now), key=self.order), [r for r in rows if r[0] > now]
         if due:
             self.waiting.put(rest) if rest else self.waiting.clear()
             self.due(rest)
-        before = dict(zip(self.kept, self.state.get())) if self.state.exists() else None
+        held = self.state.get()
+        before = dict(zip(self.kept, held)) if held else None
         state, out = before, []
         for row in due:
             state, said = self.apply(state, {"at": row[0], **dict(zip(self.fields, row[1:]))})
@@ -88,8 +104,42 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def earliest(table: pa.Table, key: list[str], by: list[str], most: int) -> pa.Table:
+    """The first ``most`` rows of each key."""
+    table = table.take(pc.sort_indices(table, sort_keys=[(x, "ascending") for x in key + by]))
+    at, new = np.arange(table.num_rows), np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in key:
+        codes = pc.fill_null(pc.dictionary_encode(table[k].combine_chunks()).indices, -1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return table.filter(pa.array(at - np.maximum.accumulate(np.where(new, at, 0)) < most))
+
+
+def thinned(rows: DataFrame, key: list[str], by: list[str], most: int) -> DataFrame:
+    """Rows without such as have ``most`` others of their key before them; some of those may stay, as a task holds few rows at a time.
+    Stateless, in batches; the watermark's mark on the columns is kept."""
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= HELD:
+                left = earliest(pa.Table.from_batches(held), key, by, most)
+                held, size = left.to_batches(), left.num_rows
+                if 2 * size > HELD:
+                    yield from held
+                    held, size = [], 0
+        if held:
+            yield from earliest(pa.Table.from_batches(held), key, by, most).to_batches()
+
+    return rows.repartition(*key).mapInArrow(thin, rows.schema)
+
+
 def in_order(rows: DataFrame, key: list[str], processor: InOrder, out: str) -> DataFrame:
     """``rows`` (key, ts with a watermark, the processor's columns) through the processor; append mode."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # timers and several states need it
     processor.key = key
+    if processor.most is not None:
+        rows = thinned(rows, key, ["ts", *processor.names(processor.ROW)[:2]], processor.most)
     return rows.groupBy(*key).transformWithState(processor, out, "append", "eventTime")

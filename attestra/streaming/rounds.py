@@ -45,6 +45,7 @@ class RunState(InOrder):
 
     def __init__(self, budget: int, rounds: int = ROUNDS, stop_pct: float = STOP_PCT, most_quiet: int = QUIET, reframes: tuple[int, ...] = REFRAMES):
         self.budget, self.rounds, self.stop_pct, self.most_quiet, self.reframes = budget, rounds, stop_pct, most_quiet, reframes
+        self.most = max(rounds, 1)  # the last round stops the board
 
     def apply(self, state: dict | None, row: dict) -> tuple[dict | None, list[dict]]:
         s = state or {"round": 0, "used": 0, "budget": self.budget, "quiet": 0, "open_before": None, "stop": None}
