@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from heapq import nsmallest
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,7 @@ HINT_WORDS = [
 ]
 #: Where phrases end, and what a word of a phrase is.
 SEGMENT_END, PHRASE_WORD = r"[\n.;:(){}\[\]|]+", "[a-z][a-z0-9'-]*"
+_SEGMENTS, _WORDS, _STOPS, _HINTS = re.compile(SEGMENT_END), re.compile(PHRASE_WORD), frozenset(PHRASE_STOP_WORDS), frozenset(HINT_WORDS)
 #: Numbers, dates and quarters that a claim rests on; words that don't tell one claim from another.
 CLAIM_NUMBERS = r"(?i)\$?\b\d{1,3}(?:,\d{3})*(?:\.\d+)?%?\b|\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b|\bQ[1-4]\b"
 CLAIM_STOP_WORDS = ["the", "and", "for", "with", "from", "that", "this", "based", "calculated", "total", "count", "per", "is", "as", "of", "to", "through", "source"]
@@ -33,26 +38,47 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
 
 
+def _told(text: str) -> tuple[set[str], bool]:
+    """The phrases of a lower-cased text, and whether any holds a telling word."""
+    found: set[str] = set()
+    hinted = False
+    for segment in _SEGMENTS.split(text):
+        words = _WORDS.findall(segment)
+        ends = [i for i, w in enumerate(words) if len(w) < 4 or w in _STOPS]
+        for start, end in zip([-1, *ends], [*ends, len(words)]):
+            if end - start > 2:  # words between two that no phrase holds
+                one = words[start + 1 : end]
+                two, three = one[1:], one[2:]
+                found.update(map(" ".join, zip(one, two)), map(" ".join, zip(one, two, three)), map(" ".join, zip(one, two, three, one[3:])))
+                hinted = hinted or not _HINTS.isdisjoint(one)
+                found.difference_update(" ".join([w] * n) for w, x in zip(one, two) if w == x for n in (2, 3, 4))
+    found.difference_update(LOW_VALUE_PHRASES)
+    return found, hinted
+
+
+def _hints(phrase: str) -> int:
+    """What the telling words of a phrase add to its score."""
+    n = sum(w in _HINTS for w in phrase.split(" "))
+    return n * 10 + 8 if n else 0
+
+
 def phrases(text: Column, k: int = 10) -> Column:
     """Array of (phrase, score): the k most telling runs of two to four words of a text, best first, ties by the phrase.
 
     Runs stay inside a segment, hold no stop word and no word under four letters, and are not one word repeated.
     A projection of the row alone: nothing is shuffled. A null text has none."""
-    word_lists = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), SEGMENT_END), lambda s: F.regexp_extract_all(s, F.lit(PHRASE_WORD), 0))
-    none = F.array().cast("array<array<string>>")
-    runs = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, F.lit(n)))).otherwise(none)
-    telling = lambda p: F.forall(p, lambda x: (F.length(x) >= 4) & ~x.isin(PHRASE_STOP_WORDS)) & (F.size(F.array_distinct(p)) >= 2)
-    told = F.filter(F.flatten(F.transform(word_lists, lambda w: F.concat(*(runs(w, n) for n in (4, 3, 2))))), telling)
-    # strings are made distinct by hash, arrays would be compared pair by pair
-    found = F.filter(F.array_distinct(F.transform(told, lambda p: F.array_join(p, " "))), lambda s: ~s.isin(LOW_VALUE_PHRASES) & (F.length(s) <= 90))
-
-    def score(phrase: Column) -> Column:
-        words = F.split(phrase, " ")
-        hints = F.size(F.filter(words, lambda x: x.isin(HINT_WORDS)))
-        return F.size(words) * 5 + F.least(F.length(phrase) - F.size(words) + 1, F.lit(40)) + hints * 10 + F.when(hints > 0, 8).otherwise(0)
-
-    ranked = F.sort_array(F.transform(found, lambda s: F.struct((-score(s)).alias("below"), s.alias("phrase"))))
-    return F.transform(F.slice(ranked, 1, k), lambda r: F.struct(r["phrase"].alias("phrase"), (-r["below"]).cast("long").alias("score")))
+
+    def best(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            found, hinted = _told(t)
+            plain = [((gaps := p.count(" ")) * 5 + 5 + min(len(p) - gaps, 40), p) for p in found if len(p) <= 90]
+            scored = [(-n - _hints(p), p) for n, p in plain] if hinted else [(-n, p) for n, p in plain]
+            out.append([{"phrase": p, "score": -below} for below, p in nsmallest(k, scored)])
+        return pd.Series(out, dtype=object)
+
+    # lower-cased by Spark, as its letters decide
+    return F.pandas_udf(best, "array<struct<phrase string, score bigint>>")(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def claim_numbers(claim: Column, most: int = 8) -> Column:
