@@ -1,7 +1,7 @@
 """Life cycle of signals as keyed state with timers, and its batch twin.
 
 Entries come as a stream (board_id, entry_id, type, ts, seq, opens, addresses, supersedes). What they do to signals is
-made into rows per signal, so that the state is keyed by board and signal and a large board is many keys:
+made into rows per signal, so that the state is held by board and signal and a large board is many signals:
 
 * an entry opens a signal for each of its first ``OPENS`` texts in ``opens`` (struct of type, priority, content) that isn't blank;
 * it addresses signals by id; one of type ``artifact_requirement`` only if the entry is of a type in ``ANSWERS``;
@@ -10,7 +10,8 @@ made into rows per signal, so that the state is keyed by board and signal and a
 
 A signal of priority medium or low that is open for ``expiry`` seconds expires. The state holds a signal's rows until the
 watermark has passed them, so rows are applied in the order of event time (ts, seq, open before address before supersede)
-in whatever order they arrive; a timer is set for each of them and for the expiry of an open signal. So the stream gives
+in whatever order they arrive; a timer is set for the earliest of them and for the next expiry of an open signal. Signals are dealt
+to a fixed number of parts that have one state each, as a call to the state takes longer than a signal's rows. So the stream gives
 the changes of the batch twin, after restarts from its checkpoint as well.
 
 Defined results: rows about a signal before it is opened, and a second opening, do nothing. Rows without board, entry or time
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import cut
-from .ordered import InOrder, in_order
+from .ordered import ManyInOrder, in_order
 
 c = F.col
 
@@ -48,13 +49,13 @@ def signal_rows(entries: DataFrame, late: str = "1 day") -> DataFrame:
     opened = opened.select("board_id", F.concat("entry_id", F.lit("/"), c("k").cast("string")).alias("signal_id"), "ts", "seq", F.lit(OPEN).alias("step"), "entry_id", F.lit(False).alias("may_answer"), c("o.type").alias("type"), c("o.priority").alias("priority"))
     addressed = given.select("board_id", F.explode(F.array_distinct("addresses")).alias("signal_id"), "ts", "seq", F.lit(ADDRESS).alias("step"), "entry_id", may, nothing.alias("type"), nothing.alias("priority"))
     superseding = given.select("board_id", F.explode(F.array_distinct("supersedes")).alias("entry_id"), "ts", "seq")
-    earlier = given.select(c("board_id").alias("b"), c("entry_id").alias("e"), c("ts").alias("was"), c("seq").alias("was_seq"), F.explode(F.array_distinct("addresses")).alias("signal_id"))
+    earlier = given.select(c("board_id").alias("b"), c("entry_id").alias("e"), c("ts").alias("was"), c("seq").alias("was_seq"), F.array_distinct("addresses").alias("was_addressed")).where(F.size("was_addressed") > 0)
     on = (c("board_id") == c("b")) & (c("entry_id") == c("e")) & (F.struct("was", "was_seq") <= F.struct("ts", "seq"))
-    reopened = superseding.join(earlier, on).select("board_id", "signal_id", "ts", "seq", F.lit(REOPEN).alias("step"), "entry_id", F.lit(False).alias("may_answer"), nothing.alias("type"), nothing.alias("priority"))
+    reopened = superseding.join(earlier, on).select("board_id", F.explode("was_addressed").alias("signal_id"), "ts", "seq", F.lit(REOPEN).alias("step"), "entry_id", F.lit(False).alias("may_answer"), nothing.alias("type"), nothing.alias("priority"))
     return opened.unionByName(addressed).unionByName(reopened)
 
 
-class LifeCycle(InOrder):
+class LifeCycle(ManyInOrder):
     """One signal: status, by whom addressed, since when open, type, priority."""
 
     ROW = "seq long, step int, entry_id string, may_answer boolean, type string, priority string"
